@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import packing, quality
 
 #: The folder of the public tokenizers' files.
 TOKENIZERS = "/opt/tokenizers"
@@ -18,8 +18,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 def queries():
-    return {"op4_packing": op4_packing}
+    return {f.__name__: f for f in (op4_packing, op10_quality)}
 
 
 def oracle_sql():
