@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, near_dedup, packing, quality
+from . import decontam, html_extract, near_dedup, packing, quality
 
 #: The folder of the public tokenizers' files.
 TOKENIZERS = "/opt/tokenizers"
@@ -22,6 +22,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(_read(spark, sf_dir, "documents"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_read(spark, sf_dir, "pages"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("spans")
 
@@ -31,7 +35,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op4_packing, op5_near_dedup, op8_decontamination, op10_quality)}
+    return {f.__name__: f for f in (op4_packing, op5_near_dedup, op6_html, op8_decontamination, op10_quality)}
 
 
 def oracle_sql():
