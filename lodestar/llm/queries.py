@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_extract, near_dedup, packing, quality, warc
+from . import decontam, html_extract, lm_score, near_dedup, packing, quality, warc
 
 #: The folder of the public tokenizers' files.
 TOKENIZERS = "/opt/tokenizers"
@@ -34,12 +34,16 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_read(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
 def queries():
-    return {f.__name__: f for f in (op4_packing, op5_near_dedup, op6_html, op7_warc, op8_decontamination, op10_quality)}
+    return {f.__name__: f for f in (op4_packing, op5_near_dedup, op6_html, op7_warc, op8_decontamination, op9_lm_score, op10_quality)}
 
 
 def oracle_sql():
