@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_extract, lm_score, near_dedup, packing, quality, url_filter, warc
+from . import decontam, html_extract, lm_score, near_dedup, packing, quality, secret_scan, url_filter, warc
 
 #: The folder of the public tokenizers' files.
 TOKENIZERS = "/opt/tokenizers"
@@ -18,6 +18,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_read(spark, sf_dir, "pages"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_read(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
@@ -47,7 +51,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op2_url_filter, op4_packing, op5_near_dedup, op6_html, op7_warc, op8_decontamination, op9_lm_score, op10_quality)}
+    return {f.__name__: f for f in (op2_url_filter, op3_secrets, op4_packing, op5_near_dedup, op6_html, op7_warc, op8_decontamination, op9_lm_score, op10_quality)}
 
 
 def oracle_sql():
