@@ -3,7 +3,7 @@
 One 64-bit hash per shingle. A document keeps its k smallest; documents with the same whole set are one class,
 and only the class's smallest id goes on. Inverted lists of the first few retained values give candidates;
 values that many classes retain are listed by pairs of such values instead. Within a list, every class first
-meets the list's smallest and largest id; once those links have joined components, the rest of the list meets only
+meets the list's smallest id and the class whose values most others share; once those links have joined components, the rest of the list meets only
 across components, so groups of copies never make all their pairs, yet no pair that could join two components
 goes unseen. The union of two sketches estimates their similarity and filters; full sets decide.
 """
@@ -14,19 +14,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Words, as_array, byte_table, hashes, mixed, saved, slices, translated, windows
 
 SHINGLE, PERCENT = 4, 80
 #: Values in a sketch; of these, the first LISTED make lists. Two sets of similarity 0.8 share none of the
-#: first 12 values of their union with probability 4e-9, fewer than two with 2e-7.
-RETAINED, LISTED = 48, 12
+#: first 10 values of their union with probability 1e-7, fewer than two with 4e-6.
+RETAINED, LISTED = 192, 10
+#: Common values that make pairs; two linked classes share at least two of the first 8 but for 8e-5, and a class
+#: of a large group has many others that link it.
+PAIRED = 8
+#: Best-known classes of a list of many that all others of it meet first.
+LEADERS = 16
 #: A value in more lists than this is common, and lists pairs of common values.
 COMMON = 40
-#: Least estimate that goes on to exact verification: below it a similarity of 0.8 has probability under 1e-6.
-LEAST_ESTIMATE = 0.5
+#: Standard deviations of the estimate below percent that still go on to exact verification.
+DEVIATIONS = 4.9
 TABLE = byte_table()
 
 
@@ -46,21 +51,23 @@ def _each(batch: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """Per document: doc_id, n_shingles, two hashes of the whole set, and its sketch in ascending order."""
+    """Per document: doc_id, n_shingles, two hashes of the whole set, its smallest values, and its sketch (the upper halves of more of them), both ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "t"):
-                size, a, b, kept = [], [], [], []
+                size, a, b, listed, kept = [], [], [], [], []
                 for s in _each(batch, shingle):
                     size.append(len(s))
                     a.append(int(np.bitwise_xor.reduce(mixed(s)).astype(np.int64)) if len(s) else 0)
                     b.append(int(mixed(s + np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
-                    kept.append((s[:RETAINED] ^ np.uint64(1 << 63)).astype(np.int64))  # signed order is the hash's
-                yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(size, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(kept, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_a", "set_b", "sketch"])
+                    signed = (s[:RETAINED] ^ np.uint64(1 << 63)).astype(np.int64)  # in the order of the hash
+                    listed.append(signed[:LISTED])
+                    kept.append((signed >> 32).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(size, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(listed, pa.list_(pa.int64())), pa.array(kept, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "set_a", "set_b", "listed", "sketch"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, f"doc_id {kind}, n_shingles long, set_a long, set_b long, sketch array<long>")
+    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, f"doc_id {kind}, n_shingles long, set_a long, set_b long, listed array<long>, sketch array<int>")
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -110,13 +117,21 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _lists(classes: DataFrame) -> DataFrame:
-    """(key, second, doc_id, n_shingles) for every list of two classes or more."""
-    values = classes.select("doc_id", "n_shingles", F.explode(F.slice("sketch", 1, LISTED)).alias("key"))
+    """(key, second, doc_id, n_shingles, known, before) for every list of two classes or more; known counts who share the class's listed values.
+
+    before has the values that would list the class earlier, so that two classes meet only in the first list
+    they share: for a single value, the smaller rare ones; for a pair, all rare ones and the common ones below
+    the second value but for the first.
+    """
+    values = classes.select("doc_id", "n_shingles", F.explode("listed").alias("key"))
     counts = values.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = saved(values.join(counts, "key"), "values")
-    single = shared.where(F.col("n") <= COMMON).select("key", F.lit(0).cast("long").alias("second"), "doc_id", "n_shingles")
-    common = shared.where(F.col("n") > COMMON).groupBy("doc_id", "n_shingles").agg(F.sort_array(F.collect_set("key")).alias("v"))
-    pairs = common.select("doc_id", "n_shingles", "v", F.posexplode("v").alias("at", "key")).select("key", F.explode(F.slice("v", F.col("at") + 2, LISTED)).alias("second"), "doc_id", "n_shingles")
+    marks = shared.groupBy("doc_id", "n_shingles").agg(F.sum("n").alias("known"), *(F.array_sort(F.collect_set(F.when(c, F.col("key")))).alias(k) for k, c in (("rare", F.col("n") <= COMMON), ("common", F.col("n") > COMMON))))
+    marks = saved(marks, "marks")
+    single = marks.select(F.explode("rare").alias("key"), F.lit(None).cast("long").alias("second"), "doc_id", "n_shingles", "known", "rare")
+    single = single.withColumn("before", F.filter("rare", lambda v: v < F.col("key"))).drop("rare")
+    pairs = marks.select("doc_id", "n_shingles", "known", "rare", F.slice("common", 1, PAIRED).alias("common"), F.posexplode(F.slice("common", 1, PAIRED)).alias("at", "key")).select("key", F.explode(F.slice("common", F.col("at") + 2, PAIRED)).alias("second"), "doc_id", "n_shingles", "known", "rare", "common")
+    pairs = pairs.withColumn("before", F.concat("rare", F.filter("common", lambda v: (v < F.col("second")) & (v != F.col("key"))))).drop("rare", "common")
     repeated = pairs.groupBy("key", "second").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     return single.unionByName(pairs.join(repeated, ["key", "second"]))
 
@@ -125,10 +140,25 @@ def _sizes_fit(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _estimate_fits(a: str, b: str) -> Column:
-    """Whether the k smallest values of the union of two sketches are shared often enough."""
+def _estimate_fits(x: str, y: str, percent: int) -> Column:
+    """Whether the k smallest values of the union of two sketches are shared often enough.
+
+    They are a sample without replacement of the union, which has at most (x + y) / (1 + percent / 100) shingles
+    if the pair is linked; so the estimate scatters less the more of the union it sees, and not at all if it
+    sees all. One part in a hundred is left for chance equality of half hashes.
+    """
+    a, b, p = f"{x}sketch", f"{y}sketch", percent / 100
+    most = (F.col(f"{x}n_shingles") + F.col(f"{y}n_shingles")) / (1 + p)
+    seen = F.least(most, F.lit(float(RETAINED)))
+    least = p - 0.01 - DEVIATIONS * F.sqrt(p * (1 - p) / seen * (1 - seen / most))
+    both = F.size(F.array_intersect(a, b))
+    enough = both >= least * F.greatest(F.size(a), F.size(b))
+    # Whole sets need no union: its size follows from theirs.
+    whole = F.greatest(F.col(f"{x}n_shingles"), F.col(f"{y}n_shingles")) <= RETAINED
+    exact = both >= (p - 0.01) * (F.size(a) + F.size(b) - both)
     union = F.slice(F.array_sort(F.array_union(a, b)), 1, RETAINED)
-    return F.size(F.array_intersect(F.array_intersect(a, b), union)) >= LEAST_ESTIMATE * F.size(union)
+    sampled = F.size(F.array_intersect(F.array_intersect(a, b), union)) >= least * F.size(union)
+    return enough & F.when(whole, exact).otherwise(sampled)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -145,35 +175,38 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     # Different sets of this similarity have a union of least 100 / (100 - percent) shingles, so smaller ones need no lists.
     least = max(1, -(-100 // max(1, 100 - percent)) - 1)
     chosen = heads.where(F.col("n_shingles") >= least).groupBy(F.col("head").alias("doc_id")).agg(F.min(F.struct(*same)).alias("s")).select("doc_id", "s.*")
-    classes = saved(named.join(chosen, ["doc_id", *same]).dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sketch"), "classes")
-
-    lists = saved(_lists(classes), "lists")
-    bounds = saved(lists.groupBy("key", "second").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("members")), "bounds")
-    led = lists.join(bounds, ["key", "second"]).join(classes.select(F.col("doc_id").alias("low"), F.col("n_shingles").alias("size_low")), "low").join(classes.select(F.col("doc_id").alias("high"), F.col("n_shingles").alias("size_high")), "high")
-    led = led.select("doc_id", "n_shingles", F.explode(F.array(F.struct(F.col("low").alias("id"), F.col("size_low").alias("size")), F.struct(F.col("high").alias("id"), F.col("size_high").alias("size")))).alias("leader"))
-    led = led.where((F.col("doc_id") != F.col("leader.id")) & _sizes_fit("n_shingles", "leader.size", percent))
-    pairs = led.select(F.least("doc_id", "leader.id").alias("a"), F.greatest("doc_id", "leader.id").alias("b")).distinct()
-    ours = classes.select("doc_id", "sketch")
-    pairs = pairs.join(ours.withColumnsRenamed({"doc_id": "a", "sketch": "x"}), "a").join(ours.withColumnsRenamed({"doc_id": "b", "sketch": "y"}), "b").where(_estimate_fits("x", "y")).select("a", "b")
+    classes = saved(named.join(chosen, ["doc_id", *same]).dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "listed", "sketch"), "classes")
+
+    lists = saved(_lists(classes).withColumn("list", F.struct("key", "second")).drop("key", "second"), "lists")
+    bounds = saved(lists.groupBy("list").agg(F.min("doc_id").alias("low"), F.max(F.struct("known", "doc_id"))["doc_id"].alias("high"), F.count("*").alias("members")), "bounds")
+    ends = bounds.select("list", F.explode(F.array("low", "high")).alias("leader"))
+    best = Window.partitionBy("list").orderBy(F.desc("known"), "doc_id")
+    many = lists.join(bounds.where(F.col("members") > COMMON).select("list"), "list").withColumn("place", F.row_number().over(best)).where(F.col("place") <= LEADERS)
+    leaders = saved(ends.unionByName(many.select("list", F.col("doc_id").alias("leader"))).distinct().join(classes.select(F.col("doc_id").alias("leader"), F.col("n_shingles").alias("size")), "leader"), "leaders")
+    led = lists.join(leaders, "list").where((F.col("doc_id") != F.col("leader")) & _sizes_fit("n_shingles", "size", percent))
+    pairs = led.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
+    ours = classes.select("doc_id", "sketch", "n_shingles")
+    x, y = (ours.select(F.col("doc_id").alias(c), F.struct("sketch", "n_shingles").alias(f"of_{c}")) for c in ("a", "b"))
+    pairs = pairs.join(x, "a").join(y, "b").where(_estimate_fits("of_a.", "of_b.", percent)).select("a", "b")
     first = _verified(docs, id_col, text_col, shingle, percent, pairs, chosen)
     labels = components(first)
 
-    # What leaders did not join: in lists of four or more, all classes against those of other components.
-    known = lists.join(bounds.where("members > 3").select("key", "second"), ["key", "second"]).join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    # What these did not join: in lists of four or more, all classes against those of other components.
+    known = lists.join(bounds.where("members > 3").select("list"), "list").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     known = saved(known, "known")
-    mixed_lists = known.groupBy("key", "second").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("key", "second")
-    open_ = saved(known.join(mixed_lists, ["key", "second"]).join(ours, "doc_id"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
+    several = known.groupBy("list").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("list")
+    met = saved(known.join(several, "list").join(ours.drop("n_shingles"), "doc_id").select("list.key", "list.second", "*").drop("list"), "met")
+    x, y = met.alias("x"), met.alias("y")
     rest = x.join(
         y,
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.second") == F.col("y.second")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
-        & _sizes_fit("x.n_shingles", "y.n_shingles", percent) & _estimate_fits("x.sketch", "y.sketch"),
-    ).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+        (F.col("x.key") == F.col("y.key")) & F.col("x.second").eqNullSafe(F.col("y.second")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
+        & _sizes_fit("x.n_shingles", "y.n_shingles", percent) & ~F.arrays_overlap("x.before", "y.before") & _estimate_fits("x.", "y.", percent),
+    ).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
     second = _verified(docs, id_col, text_col, shingle, percent, rest, chosen)
     labels = components(first.unionByName(second))
 
     named_heads = heads.join(labels.withColumnRenamed("node", "head"), "head", "left").select(*same, F.coalesce("component", "head").alias("component"))
-    out = every.drop("sketch").join(named_heads, same, "left")
+    out = every.drop("listed", "sketch").join(named_heads, same, "left")
     own = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 
