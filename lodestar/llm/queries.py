@@ -8,6 +8,8 @@ from . import decontam, html_extract, line_dedup, lm_score, near_dedup, packing,
 
 #: The folder of the public tokenizers' files.
 TOKENIZERS = "/opt/tokenizers"
+TOKENIZER = f"{TOKENIZERS}/word_bpe_49k.json"
+QUALITY_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,7 +29,7 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return packing.pack(_read(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +53,7 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return quality.judge(_read(spark, sf_dir, "documents"), QUALITY_MODEL)
 
 
 def queries():
