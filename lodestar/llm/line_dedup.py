@@ -3,10 +3,10 @@
 A line is the set of its lower-cased words. Lines of equal sets are one class, found by two hashes, and the
 class's first occurrence stands for it. Words are ordered by rarity (counts of all words, hashed into a table
 of fixed size, then the word's hash); sets of similarity 0.8 share a word in short prefixes of that order.
-Prefix words that several classes share list them, with their sizes and positions, which bound the overlap a
-pair can still have. Each listed class first meets the earliest class of each of its lists; only classes that
-found no match there go on to meet the rest of their lists, so groups of near copies never make all pairs.
-Overlaps of the full sets decide. All of it is DataFrame operations.
+Prefix words that several classes share list them, with their sizes, positions and a word of parity bits, all of
+which bound the overlap a pair can still have. Each listed class first meets the earliest class of each of its
+lists; only classes that found no match there go on to meet the rest of their lists, so groups of near copies
+never make all pairs. Overlaps of the full sets decide. All of it is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -22,11 +22,13 @@ PERCENT = 80
 COUNTERS = 1 << 14
 #: Bits of a word's hash in its key; the bits above hold the logarithm of its count.
 HASH_BITS = 52
-_SPACE = "[ \t-\r]+"
+#: Lines to verify that are sent to all tasks at most (some 50 bytes each); more of them are shuffled.
+SENT_LINES = 200_000
+_WORD = "[^ \t-\r]"
 
 
 def _words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), _SPACE), "")
+    return F.array_remove(F.split(F.translate(F.lower(text), "\t\n\v\f\r", "     "), " "), "")
 
 
 def _rarity(docs: DataFrame, text_col: str) -> Column:
@@ -41,15 +43,21 @@ def _rarity(docs: DataFrame, text_col: str) -> Column:
 def _keys(line: Column, rarity: Column) -> Column:
     """The sorted keys of a line's distinct words: rarest first, in one order for all lines."""
 
-    def key(word: Column) -> Column:
-        h = F.xxhash64(word)
+    def key(h: Column) -> Column:
         return F.shiftleft(F.get(rarity, h.bitwiseAND(COUNTERS - 1).cast("int")).cast("long"), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
 
-    return F.array_sort(F.transform(F.array_distinct(_words(line)), key))
+    return F.sort_array(F.transform(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), key))
+
+
+def _parity(keys: Column) -> Column:
+    """64 bits, of which each word of a set turns one: sets differ in at least as many words as in bits."""
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col), "\n")).alias("no", "line"))
+    """(rep, line) of every line that has a word; rep is (doc, no)."""
+    each = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col), "\n")).alias("no", "line"))
+    return each.where(F.col("line").rlike(_WORD)).select(F.struct("doc", "no").alias("rep"), "line")
 
 
 def _prefix(size: Column, percent: int) -> Column:
@@ -58,14 +66,20 @@ def _prefix(size: Column, percent: int) -> Column:
 
 
 def _fit(a: str, b: str, percent: int) -> Column:
-    """Length and positional filter for entries (size, at) of one list."""
+    """Length, positional and parity filters for entries (size, at, bits) of one list."""
     sizes = [F.col(f"{x}.size") for x in (a, b)]
     left = F.least(*(F.col(f"{x}.size") - F.col(f"{x}.at") for x in (a, b)))
-    return (100 * F.least(*sizes) >= percent * F.greatest(*sizes)) & ((100 + percent) * left >= percent * (sizes[0] + sizes[1]))
+    both = sizes[0] + sizes[1]
+    apart = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+    # Overlap o must reach percent / (100 + percent) of both sizes; it is at most left, and (both - apart) / 2.
+    return (100 * F.least(*sizes) >= percent * F.greatest(*sizes)) & ((100 + percent) * left >= percent * both) & ((100 + percent) * (both - apart) >= 2 * percent * both)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of distinct pairs (y, x), those whose sets are similar enough."""
+def _confirmed(pairs: DataFrame, lines: DataFrame, rarity: Column, percent: int) -> DataFrame:
+    """Of distinct pairs (y, x), those whose full sets, made again from the lines that need it, are similar enough."""
+    needed = saved(pairs.select(F.explode(F.array("y", "x")).alias("rep")).distinct(), "needed")
+    few = needed.count() <= SENT_LINES
+    sets = saved(lines.join(F.broadcast(needed) if few else needed, "rep", "left_semi").select("rep", _keys(F.col("line"), rarity).alias("keys")), "sets")
     full = pairs.join(sets.withColumnsRenamed({"rep": "y", "keys": "of_y"}), "y").join(sets.withColumnsRenamed({"rep": "x", "keys": "of_x"}), "x")
     both = F.size(F.array_intersect("of_x", "of_y"))
     return full.where(100 * both >= percent * (F.size("of_x") + F.size("of_y") - both)).select("y", "x")
@@ -79,33 +93,28 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     """
     rarity = _rarity(docs, text_col)
     lines = _lines(docs, id_col, text_col)
-    keys = _keys(F.col("line"), rarity)
-    sized = lines.select("doc", "no", keys.alias("keys")).where(F.size("keys") > 0)
-    occurrences = sized.select(F.struct("doc", "no").alias("rep"), F.xxhash64("keys").alias("a"), F.xxhash64(F.lit(1), "keys").alias("b"), F.size("keys").alias("size"), F.slice("keys", 1, _prefix(F.size("keys"), percent)).alias("prefix"))
-    classes = saved(occurrences.groupBy("a", "b").agg(F.min("rep").alias("rep"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "classes")
+    own = lines.select("rep", _keys(F.col("line"), rarity).alias("keys"))
+    keyed = saved(own.select("rep", F.xxhash64("keys").alias("a"), F.xxhash64(F.lit(1), "keys").alias("b"), F.size("keys").alias("size"), _parity(F.col("keys")).alias("bits"), F.slice("keys", 1, _prefix(F.size("keys"), percent)).alias("prefix")), "lines")
+    classes = saved(keyed.groupBy("a", "b").agg(F.min("rep").alias("rep")), "classes")
 
     # Different sets of this similarity have a union of least 100 / (100 - percent) words.
     least = max(1, -(-100 // max(1, 100 - percent)) - 1)
-    entries = classes.where(F.col("size") >= least).select("rep", "size", F.posexplode("prefix").alias("at", "key"))
-    counts = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    listed = saved(entries.join(counts, "key"), "listed")
-    first = listed.groupBy("key").agg(F.min(F.struct("rep", "size", "at")).alias("x"))
-    led = listed.select("key", "n", F.struct("rep", "size", "at").alias("y")).join(first, "key").where((F.col("x.rep") != F.col("y.rep")) & _fit("x", "y", percent))
+    entries = keyed.where(F.col("size") >= least).join(classes.select("rep"), "rep", "left_semi").select(F.struct("rep", "size", "bits").alias("own"), F.posexplode("prefix").alias("at", "key"))
+    entries = saved(entries.select("key", F.struct("own.rep", "own.size", "at", "own.bits").alias("y")), "entries")
+    first = saved(entries.groupBy("key").agg(F.min("y").alias("x"), F.count("*").alias("n")).where("n > 1"), "first")
+    led = entries.join(first, "key").where((F.col("x.rep") != F.col("y.rep")) & _fit("x", "y", percent))
     one = saved(led.select(F.col("y.rep").alias("y"), F.col("x.rep").alias("x")).distinct(), "pairs")
+    done = saved(_confirmed(one, lines, rarity, percent).select("y").distinct(), "matched")
 
-    needed = listed.select("rep").distinct()
-    sets = saved(lines.select(F.struct("doc", "no").alias("rep"), "line").join(needed, "rep", "left_semi").select("rep", keys.alias("keys")), "sets")
-    done = saved(_confirmed(one, sets, percent).select("y").distinct(), "matched")
-
-    rest = listed.where("n > 2")
-    y = rest.join(done, rest.rep == done.y, "left_anti").select("key", F.struct("rep", "size", "at").alias("y"))
-    x = rest.select("key", F.struct("rep", "size", "at").alias("x"))
+    rest = entries.join(first.where("n > 2").select("key"), "key", "left_semi")
+    y = rest.join(done, rest["y.rep"] == done.y, "left_anti")
+    x = rest.withColumnRenamed("y", "x")
     two = y.join(x, "key").where((F.col("x.rep") < F.col("y.rep")) & _fit("x", "y", percent)).select(F.col("y.rep").alias("y"), F.col("x.rep").alias("x")).distinct()
-    more = _confirmed(two.join(one, ["y", "x"], "left_anti"), sets, percent).select("y").distinct()
+    more = _confirmed(saved(two.join(one, ["y", "x"], "left_anti"), "pairs"), lines, rarity, percent).select("y").distinct()
 
     gone = done.unionByName(more).distinct().withColumnRenamed("y", "rep")
     later = classes.join(gone.withColumn("gone", F.lit(True)), "rep", "left").select("a", "b", "rep", F.coalesce("gone", F.lit(False)).alias("gone"))
-    return occurrences.select(F.col("rep").alias("own"), "a", "b").join(later, ["a", "b"]).where(F.col("gone") | (F.col("own") > F.col("rep"))).select("own.doc", "own.no")
+    return keyed.select(F.col("rep").alias("own"), "a", "b").join(later, ["a", "b"]).where(F.col("gone") | (F.col("own") > F.col("rep"))).select("own.doc", "own.no")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
