@@ -21,7 +21,7 @@ from .shared import Words, as_array, hashes, mixed, slices, windows
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 SYMBOLS = "#*$%&|<>"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 
 class Band(NamedTuple):
