@@ -191,8 +191,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     first = _verified(docs, id_col, text_col, shingle, percent, pairs, chosen)
     labels = components(first)
 
-    # What these did not join: in lists of four or more, all classes against those of other components.
-    known = lists.join(bounds.where("members > 3").select("list"), "list").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    # What these did not join: in lists of three or more, all classes against those of other components. In a list
+    # of three one class can be both low and high, and then the other two have not met.
+    known = lists.join(bounds.where("members > 2").select("list"), "list").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     known = saved(known, "known")
     several = known.groupBy("list").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("list")
     met = saved(known.join(several, "list").join(ours.drop("n_shingles"), "doc_id").select("list.key", "list.second", "*").drop("list"), "met")

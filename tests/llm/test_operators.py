@@ -131,6 +131,13 @@ def test_near_dedup_matches_brute_force(documents, texts):
     assert got == {i: (len(sets[i]), root(i), root(i) == i) for i in ids}
 
 
+def test_near_dedup_links_in_lists_of_three(spark):
+    sets = {1: (1, 2, 3, 4, 6, 7, 8), 2: (1, 2, 3, 4), 3: (1, 2, 3, 4, 5), 4: (6, 7, 8, 9, 10, 11, 12)}
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in s)) for i, s in sets.items()], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.groups(docs, shingle=1).collect()}
+    assert got == {1: 1, 2: 2, 3: 2, 4: 4}
+
+
 def test_html():
     page = "<html><head><title>t</title></head><body><nav>menu</nav><article><h1>Head &amp; more</h1><p>One\n two <b>three</b></p><div class='comments'><p>me too</p></div><script>x()</script></article><footer>f</footer></body></html>"
     assert html_extract.main_text(page) == "Head & more\n\nOne two three"
