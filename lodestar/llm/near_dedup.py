@@ -1,8 +1,8 @@
 """Near-duplicate documents by bottom-k sketches, inverted lists of retained values and exact Jaccard.
 
 One 64-bit hash per shingle. A document keeps its k smallest; documents with the same whole set are one class,
-and only the class's smallest id goes on. Inverted lists of the first few retained values give candidates;
-values that many classes retain are listed by pairs of such values instead. Within a list, every class first
+and only the class's smallest id goes on. Inverted lists of the first few retained values, common
+ones too, give candidates. Within a list, every class first
 meets the list's smallest id and the class whose values most others share; once those links have joined components, the rest of the list meets only
 across components, so groups of copies never make all their pairs, yet no pair that could join two components
 goes unseen. The union of two sketches estimates their similarity and filters; full sets decide.
@@ -23,12 +23,9 @@ SHINGLE, PERCENT = 4, 80
 #: Values in a sketch; of these, the first LISTED make lists. Two sets of similarity 0.8 share none of the
 #: first 10 values of their union with probability 1e-7, fewer than two with 4e-6.
 RETAINED, LISTED = 192, 10
-#: Common values that make pairs; two linked classes share at least two of the first 8 but for 8e-5, and a class
-#: of a large group has many others that link it.
-PAIRED = 8
 #: Best-known classes of a list of many that all others of it meet first.
 LEADERS = 16
-#: A value in more lists than this is common, and lists pairs of common values.
+#: A list of more classes than this has such leaders.
 COMMON = 40
 #: Standard deviations of the estimate below percent that still go on to exact verification.
 DEVIATIONS = 4.9
@@ -116,24 +113,25 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _lists(classes: DataFrame) -> DataFrame:
-    """(key, second, doc_id, n_shingles, known, before) for every list of two classes or more; known counts who share the class's listed values.
+def _lists(classes: DataFrame, percent: int) -> DataFrame:
+    """(list, doc_id, n_shingles, known, at, before) for every listed value that two classes or more hold; known counts who share the class's listed values.
 
-    before has the values that would list the class earlier, so that two classes meet only in the first list
-    they share: for a single value, the smaller rare ones; for a pair, all rare ones and the common ones below
-    the second value but for the first.
+    A value is a list however many hold it. at is its place in the class's set, before has the class's smaller
+    lists, so that two classes meet only in the first list they share. A linked pair shares a value within the
+    first (100 - percent) in a hundred of either set, and one, so values further on make no lists.
     """
-    values = classes.select("doc_id", "n_shingles", F.explode("listed").alias("key"))
+    values = classes.select("doc_id", "n_shingles", F.posexplode("listed").alias("at", "key")).where(100 * (F.col("n_shingles") - F.col("at")) >= percent * F.col("n_shingles"))
     counts = values.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = saved(values.join(counts, "key"), "values")
-    marks = shared.groupBy("doc_id", "n_shingles").agg(F.sum("n").alias("known"), *(F.array_sort(F.collect_set(F.when(c, F.col("key")))).alias(k) for k, c in (("rare", F.col("n") <= COMMON), ("common", F.col("n") > COMMON))))
-    marks = saved(marks, "marks")
-    single = marks.select(F.explode("rare").alias("key"), F.lit(None).cast("long").alias("second"), "doc_id", "n_shingles", "known", "rare")
-    single = single.withColumn("before", F.filter("rare", lambda v: v < F.col("key"))).drop("rare")
-    pairs = marks.select("doc_id", "n_shingles", "known", "rare", F.slice("common", 1, PAIRED).alias("common"), F.posexplode(F.slice("common", 1, PAIRED)).alias("at", "key")).select("key", F.explode(F.slice("common", F.col("at") + 2, PAIRED)).alias("second"), "doc_id", "n_shingles", "known", "rare", "common")
-    pairs = pairs.withColumn("before", F.concat("rare", F.filter("common", lambda v: (v < F.col("second")) & (v != F.col("key"))))).drop("rare", "common")
-    repeated = pairs.groupBy("key", "second").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return single.unionByName(pairs.join(repeated, ["key", "second"]))
+    marks = saved(shared.groupBy("doc_id", "n_shingles").agg(F.sum("n").alias("known"), F.array_sort(F.collect_list(F.struct("key", "at"))).alias("held")), "marks")
+    each = marks.select("doc_id", "n_shingles", "known", F.col("held.key").alias("keys"), F.explode("held").alias("v"))
+    return each.select(F.col("v.key").alias("list"), "doc_id", "n_shingles", "known", "v.at", F.filter("keys", lambda k: k < F.col("v.key")).alias("before"))
+
+
+def _places_fit(percent: int) -> Column:
+    """Whether rows x and y that meet first in this list have enough values from it on for a link."""
+    left = F.least(F.col("x.n_shingles") - F.col("x.at"), F.col("y.n_shingles") - F.col("y.at"))
+    return 100 * left >= percent * (F.col("x.n_shingles") + F.col("y.n_shingles") - left)
 
 
 def _sizes_fit(a: str, b: str, percent: int) -> Column:
@@ -177,7 +175,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     chosen = heads.where(F.col("n_shingles") >= least).groupBy(F.col("head").alias("doc_id")).agg(F.min(F.struct(*same)).alias("s")).select("doc_id", "s.*")
     classes = saved(named.join(chosen, ["doc_id", *same]).dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "listed", "sketch"), "classes")
 
-    lists = saved(_lists(classes).withColumn("list", F.struct("key", "second")).drop("key", "second"), "lists")
+    lists = saved(_lists(classes, percent), "lists")
     bounds = saved(lists.groupBy("list").agg(F.min("doc_id").alias("low"), F.max(F.struct("known", "doc_id"))["doc_id"].alias("high"), F.count("*").alias("members")), "bounds")
     ends = bounds.select("list", F.explode(F.array("low", "high")).alias("leader"))
     best = Window.partitionBy("list").orderBy(F.desc("known"), "doc_id")
@@ -196,12 +194,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     known = lists.join(bounds.where("members > 2").select("list"), "list").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     known = saved(known, "known")
     several = known.groupBy("list").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("list")
-    met = saved(known.join(several, "list").join(ours.drop("n_shingles"), "doc_id").select("list.key", "list.second", "*").drop("list"), "met")
+    met = saved(known.join(several, "list").join(ours.drop("n_shingles"), "doc_id"), "met")
     x, y = met.alias("x"), met.alias("y")
     rest = x.join(
         y,
-        (F.col("x.key") == F.col("y.key")) & F.col("x.second").eqNullSafe(F.col("y.second")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
-        & _sizes_fit("x.n_shingles", "y.n_shingles", percent) & ~F.arrays_overlap("x.before", "y.before") & _estimate_fits("x.", "y.", percent),
+        (F.col("x.list") == F.col("y.list")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
+        & _sizes_fit("x.n_shingles", "y.n_shingles", percent) & _places_fit(percent) & ~F.arrays_overlap("x.before", "y.before") & _estimate_fits("x.", "y.", percent),
     ).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
     second = _verified(docs, id_col, text_col, shingle, percent, rest, chosen)
     labels = components(first.unionByName(second))

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -138,6 +139,19 @@ def test_near_dedup_links_in_lists_of_three(spark):
     assert got == {1: 1, 2: 2, 3: 2, 4: 4}
 
 
+def test_near_dedup_links_by_one_common_value(spark):
+    names = [f"w{k}" for k in range(9000)]
+    hashed = near_dedup.mixed(near_dedup.hashes(pa.array(names)))
+    low = [names[i] for i in np.argsort(near_dedup.windows(hashed, 1))]
+    a, b, one, both, rest = low[:9], low[9:18], low[18], low[19:91], iter(low[91:])
+    sets = {0: [*a, one, *both], 1: [*b, one, *both]}  # 73 of 91 shared; of the smallest ten each, one
+    for i in range(90):
+        sets[i + 2] = [*(a if i % 2 else b), one, *(next(rest) for _ in range(80))]
+    docs = spark.createDataFrame([(i, " ".join(s)) for i, s in sets.items()], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.groups(docs, shingle=1).collect()}
+    assert got == {i: 0 if i == 1 else i for i in sets}
+
+
 def test_html():
     page = "<html><head><title>t</title></head><body><nav>menu</nav><article><h1>Head &amp; more</h1><p>One\n two <b>three</b></p><div class='comments'><p>me too</p></div><script>x()</script></article><footer>f</footer></body></html>"
     assert html_extract.main_text(page) == "Head & more\n\nOne two three"
