@@ -144,10 +144,11 @@ def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, list[str]]]]:
-    """The items' words in blocks of about block_words, read a partition at a time."""
+    """The items' words, split as those of documents, in blocks of about block_words, read a partition at a time."""
     block, size = [], 0
     for row in items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).toLocalIterator():
-        words = [] if row.t is None else translated(as_array(pa.array([row.t], pa.string())), TABLE)[0].as_py().split()
+        own = Words(translated(as_array(pa.array([row.t], pa.string())), TABLE))
+        words = own.vocabulary.take(pa.array(own.codes)).to_pylist()
         if block and size + len(words) > block_words:
             yield block
             block, size = [], 0

@@ -194,6 +194,17 @@ def test_decontamination_matches_brute_force(spark, documents, texts):
         assert r.items_sha256 == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
 
 
+def test_decontamination_splits_items_as_documents(spark):
+    spaces = "\u0085 \u00a0 \u2000 \u2009 \u2028 \u2029 \u202f \u3000".split(" ")
+    passages = [f"Une{s}phrase courte" for s in spaces] + [" ".join(f"mot{k}" for k in range(6)) + f"{s}: " + " ".join(f"fin{k}" for k in range(5)) for s in spaces]
+    items = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"avant cela {p} et la suite") for i, p in enumerate(passages)], "doc_id long, text string")
+    split = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower()) if w]
+    for r in decontam.find(docs, items).collect():
+        assert (r.n_hit, r.n_items) == (len(split(passages[r.doc_id])), 1)
+    assert {r.text for r in decontam.clean(docs, items, max_coverage=1.0).collect()} == {"avant cela   et la suite"}
+
+
 def test_language_model(documents, texts):
     training = {i: zlib.crc32(str(i).encode()) % 5 != 1 for i in texts}
     counts = Counter(w for i, t in texts.items() if training[i] for w in [*words(t), "\n"])
