@@ -2,8 +2,10 @@
 
 Markup is stripped into lines, one per block of the page. Lines inside what is never main text (navigation,
 header, footer, asides, adverts, forms, scripts, comments of readers, ...) weigh nothing; where the page
-names its article, so do the lines outside it. Over the weights of all lines, sums over sliding windows rise
-from nothing at a surge point and fall to nothing at a dive point; the lines between them are the main text.
+names its article, so do the lines outside it, and the lines inside are the main text. Where it names none,
+text and links decide: a line weighs its characters outside links, or nothing if most are in links. Sums over
+sliding windows rise above a threshold at a surge point and fall below half of it at a dive point; the lines
+between them, from the first to the last that is heavy for its window, are the main text.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ from pyspark.sql import functions as F
 
 from .shared import slices
 
-#: Lines in a sliding window, and the least text (characters) of a window at a surge.
-WINDOW_LINES, LEAST_SURGE = 3, 1
+#: Lines in a sliding window, and the text (characters outside links) of a window at a surge; a page whose windows
+#: are all below twice that is held against half of its largest window instead, so short pages keep their text.
+WINDOW_LINES, LEAST_SURGE = 3, 86
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 # Element names of the HTML standard, by what they mean for main text.
 RAW = {"script", "style", "textarea", "title", "noscript", "xmp", "iframe", "noembed", "noframes"}
@@ -35,30 +39,40 @@ MAIN = {"article": 2, "main": 1}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
 _HINTED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_HREF = re.compile(r"\bhref\s*=", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s/=]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _SPACE = re.compile(r"\s+")
 
 
-def blocks(page: str) -> list[tuple[str, bool, int]]:
-    """(text, is in a part that is never main text, 2 in an article or 1 in a main element) of every block, in page order."""
-    out: list[tuple[str, bool, int]] = []
+def blocks(page: str) -> list[tuple[str, bool, int, int, bool]]:
+    """(text, is in a part that is never main text, 2 in an article or 1 in a main element, characters in links, is a heading) of every block, in page order."""
+    out: list[tuple[str, bool, int, int, bool]] = []
     stack: list[tuple[str, bool]] = []
     words: list[str] = []
+    linked: list[str] = []
     never, named = 0, {"article": 0, "main": 0}
     position = 0
 
     def flush() -> None:
         text = _SPACE.sub(" ", html.unescape("".join(words))).strip()
+        in_links = len(_SPACE.sub(" ", html.unescape("".join(linked))).strip())
         words.clear()
+        linked.clear()
         if text:
-            out.append((text, never > 0, max(MAIN[k] for k, n in named.items() if n) if any(named.values()) else 0))
+            level = max(MAIN[k] for k, n in named.items() if n) if any(named.values()) else 0
+            out.append((text, never > 0, level, in_links, any(name in HEADINGS for name, _ in stack)))
+
+    def add(text: str) -> None:
+        words.append(text)
+        if any(name == "a" for name, _ in stack):
+            linked.append(text)
 
     while position < len(page):
         tag = _TAG.search(page, position)
         if tag is None:
-            words.append(page[position:])
+            add(page[position:])
             break
-        words.append(page[position : tag.start()])
+        add(page[position : tag.start()])
         position = tag.end()
         if tag[2] is None:
             continue
@@ -81,7 +95,7 @@ def blocks(page: str) -> list[tuple[str, bool, int]]:
         hints = " ".join(next(filter(None, m.groups()), "") for m in _HINTED.finditer(tag[3]))
         hinted = bool((HINT_MAIN if name in MAIN else HINT).search(hints)) and name not in ("html", "body")
         no = name in NEVER or hinted or bool(_HIDDEN.search(tag[3]))
-        stack.append((name, no))
+        stack.append(("anchor" if name == "a" and not _HREF.search(tag[3]) else name, no))
         never += no
         if name in named:
             named[name] += 1
@@ -92,23 +106,34 @@ def blocks(page: str) -> list[tuple[str, bool, int]]:
     return out
 
 
+def region_lines(weights: np.ndarray, headings: list[bool], window: int, least: float) -> np.ndarray:
+    """Which lines lie between a surge and a dive; a light line before the first or after the last heavy one does not, but for a heading before it."""
+    sums = np.convolve(weights, np.ones(window, np.int64))[window - 1 :]  # of each line and those after it in its window
+    least = min(least, sums.max() / 2)
+    kept, inside, begin = np.zeros(len(weights), bool), False, 0
+    for i, weight in enumerate(weights.tolist()):
+        heavy = weight * window >= least and weight > 0
+        if not inside and sums[i] >= least and (heavy or headings[i] and weight):
+            inside, begin = True, i  # surge
+        if inside and heavy:
+            kept[begin : i + 1] = True
+            begin = i + 1
+        if inside and 2 * sums[i] < least:
+            inside = False  # dive
+    return kept & (weights > 0)
+
+
 def main_text(page: str, window: int = WINDOW_LINES, least: int = LEAST_SURGE) -> str:
     """The main text of a page, its blocks joined by two line feeds; empty if there is none."""
     lines = blocks(page)
-    named = max((level for _, never, level in lines if not never), default=0)
-    weights = np.array([0 if never or level < named else len(text) for text, never, level in lines], np.int64)
+    named = max((level for _, never, level, _, _ in lines if not never), default=0)
+    if named:
+        return "\n\n".join(text for text, never, level, _, _ in lines if not never and level == named)
+    weights = np.array([0 if never or 2 * linked > len(text) else len(text) - linked for text, never, _, linked, _ in lines], np.int64)
     if not weights.any():
         return ""
-    sums = np.convolve(weights, np.ones(window, np.int64))[window - 1 :]  # of each line and those after it in its window
-    kept, inside = [], False
-    for i, (text, _, _) in enumerate(lines):
-        if not inside and sums[i] >= least and weights[i]:
-            inside = True  # surge: this window rises from nothing
-        if inside and weights[i]:
-            kept.append(text)
-        if inside and not sums[i]:
-            inside = False  # dive: nothing follows within a window
-    return "\n\n".join(kept)
+    kept = region_lines(weights, [heading for *_, heading in lines], window, least)
+    return "\n\n".join(text for (text, *_), k in zip(lines, kept, strict=True) if k)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

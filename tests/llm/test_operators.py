@@ -158,6 +158,19 @@ def test_html():
     assert html_extract.main_text("") == "" == html_extract.main_text("<nav>only</nav>")
 
 
+def test_html_without_semantic_tags():
+    story = ["The bridge over the river was built by the people of the town in a single dry summer.", "It stood for two hundred years.", "Then, one night in March, the water rose above the road and took three of its arches away."]
+    page = (
+        "<html><body><div class=x1><ul><li>Home</li><li>Products</li><li>About us</li><li>Contact</li></ul></div>"
+        "<table><tr><td><a href=/a>Ten ways to cook potatoes that your neighbours have never heard of</a></td><td><a href=/b>What the mayor said about the new market hall on Monday</a></td></tr></table>"
+        f"<div class=x2><h2>The old bridge</h2>{''.join(f'<p>{p}</p>' for p in story)}</div>"
+        "<div class=x3><div>Print</div><div>Back to top</div><div>Imprint</div><div>Terms</div><div>All rights reserved</div></div></body></html>"
+    )
+    assert html_extract.main_text(page) == "\n\n".join(["The old bridge", *story])
+    assert html_extract.main_text("<p>hi</p>") == "hi"
+    assert html_extract.main_text("<div><a name=top>  <a href=/h>Home</a></div><div><a href=/a>About</a></div>") == ""
+
+
 def test_warc_round_trip(spark, odd_pages):
     for pages in (spark.read.parquet(f"{FOLDER}/pages.parquet"), odd_pages):
         rows = pages.select("page_id", "html").collect()
