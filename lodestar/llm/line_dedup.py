@@ -1,63 +1,65 @@
 """Line dedup: an exact set-similarity join of lines, after which lines that match an earlier one go.
 
-A line is the set of its lower-cased words. Lines of equal sets are one class, found by two hashes, and the
-class's first occurrence stands for it. Words are ordered by rarity (counts of all words, hashed into a table
-of fixed size, then the word's hash); sets of similarity 0.8 share a word in short prefixes of that order.
-Prefix words that several classes share list them, with their sizes, positions and a word of parity bits, all of
-which bound the overlap a pair can still have. Each listed class first meets the earliest class of each of its
-lists; only classes that found no match there go on to meet the rest of their lists, so groups of near copies
-never make all pairs. Overlaps of the full sets decide. All of it is DataFrame operations.
+A line is the set of its lower-cased words, told apart by 64-bit hashes. Lines of equal sets are one class, found
+by two hashes of the set, and the class's first occurrence stands for it. Words are ordered by rarity (counts of
+all words in a table of fixed size, then the word's hash); sets of similarity 0.8 share a word in short prefixes
+of that order. Each prefix word lists its classes, with their sizes, positions and parity words, all of which
+bound the overlap a pair can still have; full sets decide. Pairs of a short list meet directly. In a long list all
+meet its earliest class and its commonest one; those still without a match go on to lists of two prefix words,
+so groups of near copies never make all their pairs. All of it is DataFrame operations.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import drop_saved, saved
 
 PERCENT = 80
 #: Counters of the rarity table, a power of two: its size does not depend on the input.
-COUNTERS = 1 << 14
-#: Bits of a word's hash in its key; the bits above hold the logarithm of its count.
-HASH_BITS = 52
-#: Lines to verify that are sent to all tasks at most (some 50 bytes each); more of them are shuffled.
-SENT_LINES = 200_000
-_WORD = "[^ \t-\r]"
+COUNTERS = 1 << 20
+#: Bits of a word's hash in its key; the bits above hold STEPS * log2 of its count.
+HASH_BITS, STEPS = 52, 2
+#: A list of more classes than this is long.
+LONG = 64
+#: Lines to verify that are sent to all tasks at most (some 30 bytes each); more of them are shuffled.
+SENT_LINES = 500_000
+_SPACE = " \t\n\v\f\r"
+#: Larger dictionaries than usual, as hashes of frequent words repeat and nothing else makes them smaller.
+_DICTIONARY = {"parquet.dictionary.page.size": str(8 << 20)}
 
 
-def _words(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(F.lower(text), "\t\n\v\f\r", "     "), " "), "")
-
-
-def _rarity(docs: DataFrame, text_col: str) -> Column:
-    """An array literal: 32 * log2 of the number of words that fall on each counter, over all documents."""
-    word = docs.select(F.explode(_words(F.col(text_col))).alias("w")).select(F.xxhash64("w").bitwiseAND(COUNTERS - 1).cast("int").alias("counter"))
-    table = np.zeros(COUNTERS, np.int32)
-    for counter, n in word.groupBy("counter").count().collect():
-        table[counter] = int(32 * np.log2(n))
-    return F.lit(table)
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Every line that has a word: n (a number), rep (id, hash of the text, line number), a and b (hashes of the set), size, words (sorted hashes)."""
+    each = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("of"), F.posexplode(F.split(F.col(text_col), "\n")).alias("no", "line"))
+    lines = each.select("doc", "of", "no", F.btrim("line", F.lit(_SPACE)).alias("line")).where("line <> ''")
+    hashed = F.transform(F.split(F.lower("line"), "[ \t-\r]+"), lambda w: F.xxhash64(w))
+    sets = lines.select("doc", "of", "no", F.sort_array(F.array_distinct(hashed)).alias("words"))
+    return sets.select(F.monotonically_increasing_id().alias("n"), F.struct("doc", "of", "no").alias("rep"), F.xxhash64("words").alias("a"), F.xxhash64(F.lit(1), "words").alias("b"), F.size("words").alias("size"), "words")
 
 
-def _keys(line: Column, rarity: Column) -> Column:
-    """The sorted keys of a line's distinct words: rarest first, in one order for all lines."""
+def _rarity(lines: DataFrame) -> Column:
+    """An array literal: STEPS * log2 of the number of words on each counter, over the sets of all lines."""
+    each = lines.select(F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND(COUNTERS - 1).cast("int").alias("counter")).agg(F.count("*").alias("n"))
+    dense = lines.sparkSession.range(COUNTERS).select(F.col("id").cast("int").alias("counter")).join(each, "counter", "left")
+    value = F.floor(STEPS * F.log2(F.coalesce("n", F.lit(1)).cast("double"))).cast("string")
+    parts = dense.groupBy(F.shiftright("counter", 10).alias("part")).agg(F.array_sort(F.collect_list(F.struct("counter", value.alias("value")))).alias("values"))
+    parts = parts.agg(F.array_sort(F.collect_list(F.struct("part", F.array_join("values.value", ",").alias("values")))).alias("parts"))
+    # One string of COUNTERS small numbers, whatever the input.
+    return F.split(F.lit(parts.select(F.array_join("parts.values", ",")).first()[0]), ",").cast("array<smallint>")
 
-    def key(h: Column) -> Column:
-        return F.shiftleft(F.get(rarity, h.bitwiseAND(COUNTERS - 1).cast("int")).cast("long"), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
 
-    return F.sort_array(F.transform(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), key))
+def _keys(words: Column, rarity: Column) -> Column:
+    """The sorted keys of a set's words: rarest first, in one order for all lines."""
+    key = lambda h: F.shiftleft(F.get(rarity, h.bitwiseAND(COUNTERS - 1).cast("int")).cast("long"), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
+    return F.sort_array(F.transform(words, key))
 
 
-def _parity(keys: Column) -> Column:
+def _parity(words: Column, shift: int) -> Column:
     """64 bits, of which each word of a set turns one: sets differ in at least as many words as in bits."""
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))))
-
-
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rep, line) of every line that has a word; rep is (doc, no)."""
-    each = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col), "\n")).alias("no", "line"))
-    return each.where(F.col("line").rlike(_WORD)).select(F.struct("doc", "no").alias("rep"), "line")
+    one = F.lit(1).cast("long")
+    return F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", one, F.shiftrightunsigned(w, shift).bitwiseAND(63).cast("int"))))
 
 
 def _prefix(size: Column, percent: int) -> Column:
@@ -65,66 +67,105 @@ def _prefix(size: Column, percent: int) -> Column:
     return size - F.ceil(size * percent / 100).cast("int") + 1
 
 
-def _fit(a: str, b: str, percent: int) -> Column:
-    """Length, positional and parity filters for entries (size, at, bits) of one list."""
-    sizes = [F.col(f"{x}.size") for x in (a, b)]
-    left = F.least(*(F.col(f"{x}.size") - F.col(f"{x}.at") for x in (a, b)))
-    both = sizes[0] + sizes[1]
-    apart = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+def _fit(percent: int, shared: int = 1) -> Column:
+    """Length, positional and parity filters for entries x and y (size, at, bits) of one list of `shared` words."""
+    small, large = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
+    left = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) + (shared - 1)
+    both = F.col("x.size") + F.col("y.size")
+    apart = F.greatest(*(F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in ("bits", "more")))
     # Overlap o must reach percent / (100 + percent) of both sizes; it is at most left, and (both - apart) / 2.
-    return (100 * F.least(*sizes) >= percent * F.greatest(*sizes)) & ((100 + percent) * left >= percent * both) & ((100 + percent) * (both - apart) >= 2 * percent * both)
+    return (100 * small >= percent * large) & ((100 + percent) * left >= percent * both) & ((100 + percent) * (both - apart) >= 2 * percent * both)
 
 
-def _confirmed(pairs: DataFrame, lines: DataFrame, rarity: Column, percent: int) -> DataFrame:
-    """Of distinct pairs (y, x), those whose full sets, made again from the lines that need it, are similar enough."""
-    needed = saved(pairs.select(F.explode(F.array("y", "x")).alias("rep")).distinct(), "needed")
+def _confirmed(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (x, y) of line numbers, those whose full sets are similar enough, as the rep of the later line."""
+    pairs = saved(pairs.distinct(), "pairs")
+    needed = saved(pairs.select(F.explode(F.array("x", "y")).alias("n")).distinct(), "needed")
     few = needed.count() <= SENT_LINES
-    sets = saved(lines.join(F.broadcast(needed) if few else needed, "rep", "left_semi").select("rep", _keys(F.col("line"), rarity).alias("keys")), "sets")
-    full = pairs.join(sets.withColumnsRenamed({"rep": "y", "keys": "of_y"}), "y").join(sets.withColumnsRenamed({"rep": "x", "keys": "of_x"}), "x")
-    both = F.size(F.array_intersect("of_x", "of_y"))
-    return full.where(100 * both >= percent * (F.size("of_x") + F.size("of_y") - both)).select("y", "x")
+    sets = lines.join(F.broadcast(needed) if few else needed, "n", "left_semi").select("n", F.struct("rep", "words").alias("line"))
+    sets = saved(sets, "sets", **_DICTIONARY)
+    full = pairs.join(sets.withColumnsRenamed({"n": "x", "line": "of_x"}), "x").join(sets.withColumnsRenamed({"n": "y", "line": "of_y"}), "y")
+    both = F.size(F.array_intersect("of_x.words", "of_y.words"))
+    found = full.where(100 * both >= percent * (F.size("of_x.words") + F.size("of_y.words") - both))
+    found = saved(found.select(F.greatest("of_x.rep", "of_y.rep").alias("rep")).distinct(), "matched")
+    drop_saved(pairs, needed, sets)
+    return found
+
+
+def _meeting(x: DataFrame, y: DataFrame, fit: Column) -> DataFrame:
+    """Numbers of the pairs of entries of one list that fit, the smaller as x."""
+    met = x.alias("x").join(y.alias("y"), F.col("x.key") == F.col("y.key")).where(fit)
+    return met.select(F.least("x.n", "y.n").alias("x"), F.greatest("x.n", "y.n").alias("y"))
+
+
+def _in_long_lists(classes: DataFrame, entries: DataFrame, long: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """The reps of later lines of matches in long lists."""
+    score = F.aggregate("prefix", F.lit(0.0), lambda a, k: a + F.shiftrightunsigned(k, HASH_BITS)) / F.greatest(F.size("prefix"), F.lit(1))
+    listed = entries.join(F.broadcast(long) if long.count() <= SENT_LINES else long, "key", "left_semi")
+    members = listed.join(classes.select("n", "rep", score.alias("score"), "prefix"), "n")
+    members = saved(members, "members", **_DICTIONARY)
+    own = F.struct("n", "size", "at", "bits", "more")
+    ends = members.groupBy("key").agg(F.min(F.struct("rep", own.alias("own"))).alias("first"), F.max(F.struct("score", own.alias("own"))).alias("common"))
+    leaders = ends.select("key", F.explode(F.array_distinct(F.array("first.own", "common.own"))).alias("own")).select("key", "own.*")
+    led = _meeting(leaders, members, _fit(percent) & (F.col("x.n") != F.col("y.n")))
+    matched = _confirmed(led, lines, percent)
+
+    # Two sets that share the list's word first share another one by the place after their prefixes.
+    pair = members.select("key", "n", "rep", "size", "bits", "more", F.posexplode("prefix").alias("at", "second"), F.col("at").alias("before")).where("at > before")
+    pair = pair.select(F.xxhash64("key", "second").alias("key"), "n", "rep", "size", "at", "bits", "more")
+    pair = saved(pair, "two_words")
+    y = pair.join(matched, "rep", "left_anti")
+    rest = _confirmed(_meeting(pair, y, _fit(percent, 2) & (F.col("x.rep") < F.col("y.rep"))), lines, percent)
+    drop_saved(members, pair)
+    return matched.unionByName(rest)
 
 
 def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(doc, no) of every line occurrence that has an earlier match; order is by (id, line number).
+    """(doc, of, no) of every line occurrence that has an earlier match: the document's id, its text's xxhash64, the line's number.
 
-    Lines without a word never match. Null texts have no lines. Null ids come first in the order, and rows
-    with equal ids and texts have equal lines, of which none is earlier.
+    Order is by (id, hash of the text, line number); null ids come first. Lines without a word never match. Null
+    texts have no lines. Rows with equal ids and texts have equal lines, of which none is earlier; rows with
+    equal ids and other texts are other documents. An empty table gives no rows.
     """
-    rarity = _rarity(docs, text_col)
-    lines = _lines(docs, id_col, text_col)
-    own = lines.select("rep", _keys(F.col("line"), rarity).alias("keys"))
-    keyed = saved(own.select("rep", F.xxhash64("keys").alias("a"), F.xxhash64(F.lit(1), "keys").alias("b"), F.size("keys").alias("size"), _parity(F.col("keys")).alias("bits"), F.slice("keys", 1, _prefix(F.size("keys"), percent)).alias("prefix")), "lines")
-    classes = saved(keyed.groupBy("a", "b").agg(F.min("rep").alias("rep")), "classes")
-
+    lines = saved(_lines(docs, id_col, text_col), "lines", **_DICTIONARY)
+    rarity = _rarity(lines)
     # Different sets of this similarity have a union of least 100 / (100 - percent) words.
     least = max(1, -(-100 // max(1, 100 - percent)) - 1)
-    entries = keyed.where(F.col("size") >= least).join(classes.select("rep"), "rep", "left_semi").select(F.struct("rep", "size", "bits").alias("own"), F.posexplode("prefix").alias("at", "key"))
-    entries = saved(entries.select("key", F.struct("own.rep", "own.size", "at", "own.bits").alias("y")), "entries")
-    first = saved(entries.groupBy("key").agg(F.min("y").alias("x"), F.count("*").alias("n")).where("n > 1"), "first")
-    led = entries.join(first, "key").where((F.col("x.rep") != F.col("y.rep")) & _fit("x", "y", percent))
-    one = saved(led.select(F.col("y.rep").alias("y"), F.col("x.rep").alias("x")).distinct(), "pairs")
-    done = saved(_confirmed(one, lines, rarity, percent).select("y").distinct(), "matched")
-
-    rest = entries.join(first.where("n > 2").select("key"), "key", "left_semi")
-    y = rest.join(done, rest["y.rep"] == done.y, "left_anti")
-    x = rest.withColumnRenamed("y", "x")
-    two = y.join(x, "key").where((F.col("x.rep") < F.col("y.rep")) & _fit("x", "y", percent)).select(F.col("y.rep").alias("y"), F.col("x.rep").alias("x")).distinct()
-    more = _confirmed(saved(two.join(one, ["y", "x"], "left_anti"), "pairs"), lines, rarity, percent).select("y").distinct()
-
-    gone = done.unionByName(more).distinct().withColumnRenamed("y", "rep")
-    later = classes.join(gone.withColumn("gone", F.lit(True)), "rep", "left").select("a", "b", "rep", F.coalesce("gone", F.lit(False)).alias("gone"))
-    return keyed.select(F.col("rep").alias("own"), "a", "b").join(later, ["a", "b"]).where(F.col("gone") | (F.col("own") > F.col("rep"))).select("own.doc", "own.no")
+    prefix = F.when(F.col("size") >= least, F.slice(_keys(F.col("words"), rarity), 1, _prefix(F.col("size"), percent) + 1)).otherwise(F.array().cast("array<long>"))
+    keyed = lines.select("a", "b", F.struct("rep", "n", "size", _parity(F.col("words"), 0).alias("bits"), _parity(F.col("words"), 6).alias("more"), prefix.alias("prefix")).alias("own"))
+    classes = saved(keyed.groupBy("a", "b").agg(F.min("own").alias("own")).select("a", "b", "own.*"), "classes", **_DICTIONARY)
+
+    # A word that is alone on its counter occurs in one line only.
+    entries = classes.select("n", "size", "bits", "more", F.posexplode("prefix").alias("at", "key")).where((F.col("at") < _prefix(F.col("size"), percent)) & (F.col("key") >= 1 << HASH_BITS))
+    # Lists can be long only where counters are high.
+    many = entries.where(F.col("key") >= (STEPS * (LONG.bit_length() - 1)) << HASH_BITS).groupBy("key").agg(F.count("*").alias("members"))
+    long = saved(many.where(F.col("members") > LONG).select("key"), "long")
+    short = entries.join(long, "key", "left_anti")
+    direct = _confirmed(_meeting(short, short, _fit(percent) & (F.col("x.n") < F.col("y.n"))), lines, percent)
+    gone = saved(direct.unionByName(_in_long_lists(classes, entries, long, lines, percent)).distinct(), "gone")
+
+    later = classes.select("a", "b", "rep").join(gone.withColumn("gone", F.lit(True)), "rep", "left").select("a", "b", "rep", F.coalesce("gone", F.lit(False)).alias("gone"))
+    found = lines.select(F.col("rep").alias("own"), "a", "b").join(later, ["a", "b"]).where(F.col("gone") | (F.col("own") > F.col("rep"))).select("own.*").distinct()
+    found = saved(found, "found")
+    drop_saved(lines, classes, long, gone)
+    return found
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """docs with the later matches cut from their texts; all columns stay and n_chars, if there is one, follows.
 
-    Null texts stay null. A document whose lines all go keeps an empty text.
+    Null and empty texts stay as they are. A document whose lines all go keeps an empty text. Repeated rows (equal
+    ids and texts) all keep the same lines; rows with equal ids and other texts are documents of their own. An
+    empty table stays empty. Columns may have any names.
     """
-    gone = matches(docs, id_col, text_col, percent).groupBy("doc").agg(F.collect_set("no").alias("__gone"))
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["doc"]), "left").drop(gone["doc"])
-    kept = F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.array_contains("__gone", i))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumn(text_col, text).drop("__gone")
-    return out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    gone = matches(docs, id_col, text_col, percent).groupBy("doc", "of").agg(F.collect_set("no").alias("lines"))
+    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("of")).alias("docs")
+    joined = whole.join(gone.alias("gone"), F.col("docs.doc").eqNullSafe(F.col("gone.doc")) & (F.col("docs.of") == F.col("gone.of")), "left").select("docs.row", "gone.lines")
+    own = F.col("row")[text_col]
+    kept = F.array_join(F.filter(F.split(own, "\n"), lambda _, i: ~F.array_contains("lines", i)), "\n")
+    text = F.when(F.col("lines").isNull(), own).otherwise(kept)
+    out = joined.select("row", text.alias("text"))
+    columns = {c: F.col("row")[c] for c in docs.columns} | {text_col: F.col("text")}
+    if "n_chars" in docs.columns and text_col != "n_chars":
+        columns["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*(v.alias(c) for c, v in columns.items()))

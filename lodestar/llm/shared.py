@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Where the tables made by saved() lie.
+_paths: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,20 +40,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def saved(df: DataFrame, name: str, codec: str = "zstd", **options: str) -> DataFrame:
     """df written once to the shared folder and read back: cuts lineage, survives lost executors, computes once."""
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.options(**options).option("compression", codec).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (weakref.ref(out), path)
+    return out
 
 
-def drop_saved(df: DataFrame) -> None:
-    """Remove the files of a table made by saved() that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if path.startswith(shared_dir(spark).replace("file://", "file:")) or path.startswith(shared_dir(spark)):
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+def drop_saved(*tables: DataFrame) -> None:
+    """Remove the files of tables made by saved() that nothing reads any more."""
+    for df in tables:
+        _, path = _paths.pop(id(df))
+        spark = df.sparkSession
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def byte_table(separators: bytes = b"", lower: bool = True) -> np.ndarray:
