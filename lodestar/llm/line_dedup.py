@@ -11,6 +11,9 @@ so groups of near copies never make all their pairs. All of it is DataFrame oper
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,19 +26,27 @@ COUNTERS = 1 << 20
 HASH_BITS, STEPS = 52, 2
 #: A list of more classes than this is long.
 LONG = 64
+#: Leaders of each kind in the later rounds over long lists.
+SALTS = 8
 #: Lines to verify that are sent to all tasks at most (some 30 bytes each); more of them are shuffled.
 SENT_LINES = 500_000
-_SPACE = " \t\n\v\f\r"
+#: White space besides line feeds.
+_SPACE = " \t\v\f\r"
 #: Larger dictionaries than usual, as hashes of frequent words repeat and nothing else makes them smaller.
 _DICTIONARY = {"parquet.dictionary.page.size": str(8 << 20)}
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Every line that has a word: n (a number), rep (id, hash of the text, line number), a and b (hashes of the set), size, words (sorted hashes)."""
-    each = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("of"), F.posexplode(F.split(F.col(text_col), "\n")).alias("no", "line"))
-    lines = each.select("doc", "of", "no", F.btrim("line", F.lit(_SPACE)).alias("line")).where("line <> ''")
-    hashed = F.transform(F.split(F.lower("line"), "[ \t-\r]+"), lambda w: F.xxhash64(w))
-    sets = lines.select("doc", "of", "no", F.sort_array(F.array_distinct(hashed)).alias("words"))
+    text = F.col(text_col)
+    odd = [c for c in _SPACE if c != " "]
+    spaced = F.when(reduce(or_, (F.contains(text, F.lit(c)) for c in odd)), F.translate(text, "".join(odd), " " * len(odd))).otherwise(text)
+    each = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("of"), F.posexplode(F.split(spaced, "\n")).alias("no", "line"))
+    lines = each.select("doc", "of", "no", F.trim("line").alias("line")).where("line <> ''")
+    # Split at single spaces, which needs no pattern; what lies between two spaces in a row is no word.
+    hashed = F.transform(F.split(F.lower("line"), " "), lambda w: F.xxhash64(w))
+    words = F.array_remove(F.sort_array(F.array_distinct(hashed)), F.xxhash64(F.lit("")))
+    sets = lines.select("doc", "of", "no", words.alias("words"))
     return sets.select(F.monotonically_increasing_id().alias("n"), F.struct("doc", "of", "no").alias("rep"), F.xxhash64("words").alias("a"), F.xxhash64(F.lit(1), "words").alias("b"), F.size("words").alias("size"), "words")
 
 
@@ -52,14 +63,14 @@ def _rarity(lines: DataFrame) -> Column:
 
 def _keys(words: Column, rarity: Column) -> Column:
     """The sorted keys of a set's words: rarest first, in one order for all lines."""
-    key = lambda h: F.shiftleft(F.get(rarity, h.bitwiseAND(COUNTERS - 1).cast("int")).cast("long"), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
+    key = lambda h: F.shiftleft(F.coalesce(F.get(rarity, h.bitwiseAND(COUNTERS - 1).cast("int")), F.lit(0)).cast("long"), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
     return F.sort_array(F.transform(words, key))
 
 
-def _parity(words: Column, shift: int) -> Column:
+def _parity(words: Column) -> Column:
     """64 bits, of which each word of a set turns one: sets differ in at least as many words as in bits."""
     one = F.lit(1).cast("long")
-    return F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", one, F.shiftrightunsigned(w, shift).bitwiseAND(63).cast("int"))))
+    return F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(63).cast("int"))))
 
 
 def _prefix(size: Column, percent: int) -> Column:
@@ -72,7 +83,7 @@ def _fit(percent: int, shared: int = 1) -> Column:
     small, large = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
     left = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) + (shared - 1)
     both = F.col("x.size") + F.col("y.size")
-    apart = F.greatest(*(F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in ("bits", "more")))
+    apart = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits")))
     # Overlap o must reach percent / (100 + percent) of both sizes; it is at most left, and (both - apart) / 2.
     return (100 * small >= percent * large) & ((100 + percent) * left >= percent * both) & ((100 + percent) * (both - apart) >= 2 * percent * both)
 
@@ -98,26 +109,38 @@ def _meeting(x: DataFrame, y: DataFrame, fit: Column) -> DataFrame:
     return met.select(F.least("x.n", "y.n").alias("x"), F.greatest("x.n", "y.n").alias("y"))
 
 
+def _led(members: DataFrame, percent: int, shared: int, salts: int) -> DataFrame:
+    """The pairs of a list's leaders with the others that have no match yet; leaders are the earliest and the commonest class of each salt."""
+    own = F.struct("n", "size", "at", "bits")
+    ends = members.groupBy("key", F.pmod(F.xxhash64("n"), F.lit(salts))).agg(F.min(F.struct("rep", own.alias("own"))).alias("first"), F.max(F.struct("score", own.alias("own"))).alias("common"))
+    leaders = ends.select("key", F.explode(F.array("first.own", "common.own")).alias("own")).distinct().select("key", "own.*")
+    return _meeting(leaders, members.where("open"), _fit(percent, shared) & (F.col("x.n") != F.col("y.n")))
+
+
+def _still_open(members: DataFrame, matched: DataFrame) -> DataFrame:
+    """members, open where their rep is not among the matched ones."""
+    return members.drop("open").join(matched.distinct().withColumn("matched", F.lit(True)), "rep", "left").withColumn("open", F.col("matched").isNull()).drop("matched")
+
+
 def _in_long_lists(classes: DataFrame, entries: DataFrame, long: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """The reps of later lines of matches in long lists."""
     score = F.aggregate("prefix", F.lit(0.0), lambda a, k: a + F.shiftrightunsigned(k, HASH_BITS)) / F.greatest(F.size("prefix"), F.lit(1))
     listed = entries.join(F.broadcast(long) if long.count() <= SENT_LINES else long, "key", "left_semi")
-    members = listed.join(classes.select("n", "rep", score.alias("score"), "prefix"), "n")
+    members = listed.join(classes.select("n", "rep", score.alias("score"), "prefix"), "n").withColumn("open", F.lit(True))
     members = saved(members, "members", **_DICTIONARY)
-    own = F.struct("n", "size", "at", "bits", "more")
-    ends = members.groupBy("key").agg(F.min(F.struct("rep", own.alias("own"))).alias("first"), F.max(F.struct("score", own.alias("own"))).alias("common"))
-    leaders = ends.select("key", F.explode(F.array_distinct(F.array("first.own", "common.own"))).alias("own")).select("key", "own.*")
-    led = _meeting(leaders, members, _fit(percent) & (F.col("x.n") != F.col("y.n")))
-    matched = _confirmed(led, lines, percent)
+    one = _confirmed(_led(members, percent, 1, 1), lines, percent)
+    members = _still_open(members, one)
+    two = _confirmed(_led(members, percent, 1, SALTS), lines, percent)
 
     # Two sets that share the list's word first share another one by the place after their prefixes.
-    pair = members.select("key", "n", "rep", "size", "bits", "more", F.posexplode("prefix").alias("at", "second"), F.col("at").alias("before")).where("at > before")
-    pair = pair.select(F.xxhash64("key", "second").alias("key"), "n", "rep", "size", "at", "bits", "more")
-    pair = saved(pair, "two_words")
-    y = pair.join(matched, "rep", "left_anti")
+    pair = members.select("key", "n", "rep", "size", "bits", "score", F.posexplode("prefix").alias("at", "second"), F.col("at").alias("before")).where("at > before")
+    pair = pair.select(F.xxhash64("key", "second").alias("key"), "n", "rep", "size", "at", "bits", "score")
+    pair = saved(_still_open(pair, one.unionByName(two)), "two_words")
+    three = _confirmed(_led(pair, percent, 2, SALTS), lines, percent)
+    y = pair.where("open").join(three, "rep", "left_anti")
     rest = _confirmed(_meeting(pair, y, _fit(percent, 2) & (F.col("x.rep") < F.col("y.rep"))), lines, percent)
-    drop_saved(members, pair)
-    return matched.unionByName(rest)
+    drop_saved(pair)
+    return one.unionByName(two).unionByName(three).unionByName(rest)
 
 
 def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -132,11 +155,11 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     # Different sets of this similarity have a union of least 100 / (100 - percent) words.
     least = max(1, -(-100 // max(1, 100 - percent)) - 1)
     prefix = F.when(F.col("size") >= least, F.slice(_keys(F.col("words"), rarity), 1, _prefix(F.col("size"), percent) + 1)).otherwise(F.array().cast("array<long>"))
-    keyed = lines.select("a", "b", F.struct("rep", "n", "size", _parity(F.col("words"), 0).alias("bits"), _parity(F.col("words"), 6).alias("more"), prefix.alias("prefix")).alias("own"))
+    keyed = lines.select("a", "b", F.struct("rep", "n", "size", _parity(F.col("words")).alias("bits"), prefix.alias("prefix")).alias("own"))
     classes = saved(keyed.groupBy("a", "b").agg(F.min("own").alias("own")).select("a", "b", "own.*"), "classes", **_DICTIONARY)
 
     # A word that is alone on its counter occurs in one line only.
-    entries = classes.select("n", "size", "bits", "more", F.posexplode("prefix").alias("at", "key")).where((F.col("at") < _prefix(F.col("size"), percent)) & (F.col("key") >= 1 << HASH_BITS))
+    entries = classes.select("n", "size", "bits", F.posexplode("prefix").alias("at", "key")).where((F.col("at") < _prefix(F.col("size"), percent)) & (F.col("key") >= 1 << HASH_BITS))
     # Lists can be long only where counters are high.
     many = entries.where(F.col("key") >= (STEPS * (LONG.bit_length() - 1)) << HASH_BITS).groupBy("key").agg(F.count("*").alias("members"))
     long = saved(many.where(F.col("members") > LONG).select("key"), "long")
