@@ -28,8 +28,8 @@ HASH_BITS, STEPS = 52, 2
 LONG = 64
 #: Leaders of each kind in the later rounds over long lists.
 SALTS = 8
-#: Lines to verify that are sent to all tasks at most (some 30 bytes each); more of them are shuffled.
-SENT_LINES = 500_000
+#: Lines to verify, or to cut, that are sent to all tasks at most (some 40 bytes each); beyond that, sets or texts are shuffled.
+SENT_LINES = 1_000_000
 #: White space besides line feeds.
 _SPACE = " \t\v\f\r"
 #: Larger dictionaries than usual, as hashes of frequent words repeat and nothing else makes them smaller.
@@ -181,7 +181,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
     ids and texts) all keep the same lines; rows with equal ids and other texts are documents of their own. An
     empty table stays empty. Columns may have any names.
     """
-    gone = matches(docs, id_col, text_col, percent).groupBy("doc", "of").agg(F.collect_set("no").alias("lines"))
+    found = matches(docs, id_col, text_col, percent)
+    gone = found.groupBy("doc", "of").agg(F.collect_set("no").alias("lines"))
+    if found.count() <= SENT_LINES:
+        gone = F.broadcast(gone)  # so that texts stay where they are
     whole = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("of")).alias("docs")
     joined = whole.join(gone.alias("gone"), F.col("docs.doc").eqNullSafe(F.col("gone.doc")) & (F.col("docs.of") == F.col("gone.of")), "left").select("docs.row", "gone.lines")
     own = F.col("row")[text_col]

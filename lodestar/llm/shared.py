@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 #: Where the tables made by saved() lie.
 _paths: dict[int, tuple[weakref.ref, str]] = {}
@@ -41,10 +42,18 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def saved(df: DataFrame, name: str, codec: str = "zstd", **options: str) -> DataFrame:
-    """df written once to the shared folder and read back: cuts lineage, survives lost executors, computes once."""
-    path = new_path(df.sparkSession, name)
-    df.write.options(**options).option("compression", codec).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written once to the shared folder and read back: cuts lineage, survives lost executors, computes once.
+
+    Spark drops the shuffle files that the write needed as soon as it ends.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.options(**options).option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     _paths[id(out)] = (weakref.ref(out), path)
     return out
 
