@@ -17,7 +17,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_saved, saved
+from .shared import drop_saved, saved, sent_if_small
 
 PERCENT = 80
 #: Counters of the rarity table, a power of two: its size does not depend on the input.
@@ -25,7 +25,7 @@ COUNTERS = 1 << 20
 #: Bits of a word's hash in its key; the bits above hold STEPS * log2 of its count.
 HASH_BITS, STEPS = 52, 2
 #: A list of more classes than this is long.
-LONG = 64
+LONG = 512
 #: Leaders of each kind in the later rounds over long lists.
 SALTS = 8
 #: Lines to verify, or to cut, that are sent to all tasks at most (some 40 bytes each); beyond that, sets or texts are shuffled.
@@ -92,8 +92,7 @@ def _confirmed(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """Of pairs (x, y) of line numbers, those whose full sets are similar enough, as the rep of the later line."""
     pairs = saved(pairs.distinct(), "pairs")
     needed = saved(pairs.select(F.explode(F.array("x", "y")).alias("n")).distinct(), "needed")
-    few = needed.count() <= SENT_LINES
-    sets = lines.join(F.broadcast(needed) if few else needed, "n", "left_semi").select("n", F.struct("rep", "words").alias("line"))
+    sets = lines.join(sent_if_small(needed, SENT_LINES), "n", "left_semi").select("n", F.struct("rep", "words").alias("line"))
     sets = saved(sets, "sets", **_DICTIONARY)
     full = pairs.join(sets.withColumnsRenamed({"n": "x", "line": "of_x"}), "x").join(sets.withColumnsRenamed({"n": "y", "line": "of_y"}), "y")
     both = F.size(F.array_intersect("of_x.words", "of_y.words"))
@@ -125,7 +124,7 @@ def _still_open(members: DataFrame, matched: DataFrame) -> DataFrame:
 def _in_long_lists(classes: DataFrame, entries: DataFrame, long: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """The reps of later lines of matches in long lists."""
     score = F.aggregate("prefix", F.lit(0.0), lambda a, k: a + F.shiftrightunsigned(k, HASH_BITS)) / F.greatest(F.size("prefix"), F.lit(1))
-    listed = entries.join(F.broadcast(long) if long.count() <= SENT_LINES else long, "key", "left_semi")
+    listed = entries.join(sent_if_small(long, SENT_LINES), "key", "left_semi")
     members = listed.join(classes.select("n", "rep", score.alias("score"), "prefix"), "n").withColumn("open", F.lit(True))
     members = saved(members, "members", **_DICTIONARY)
     one = _confirmed(_led(members, percent, 1, 1), lines, percent)

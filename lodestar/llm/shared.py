@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
@@ -67,6 +68,11 @@ def drop_saved(*tables: DataFrame) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def sent_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """df, counted, with the hint to send it to all tasks if it has at most so many (narrow) rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def byte_table(separators: bytes = b"", lower: bool = True) -> np.ndarray:
     """A map of bytes: A-Z to a-z if lower, separators to a space, all others as they are."""
     table = np.arange(256, dtype=np.uint8)
