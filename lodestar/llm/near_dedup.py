@@ -1,34 +1,38 @@
 """Near-duplicate documents by bottom-k sketches, inverted lists of retained values and exact Jaccard.
 
 One 64-bit hash per shingle. A document keeps its k smallest; documents with the same whole set are one class,
-and only the class's smallest id goes on. Inverted lists of the first few retained values, common
-ones too, give candidates. Within a list, every class first
-meets the list's smallest id and the class whose values most others share; once those links have joined components, the rest of the list meets only
-across components, so groups of copies never make all their pairs, yet no pair that could join two components
-goes unseen. The union of two sketches estimates their similarity and filters; full sets decide.
+and only the class's smallest id goes on. The first LISTED values of two linked sets overlap in at least a known
+number, so, with the values ordered by how many classes retain them, rarest first, linked classes share one within
+short prefixes of that order: these make the inverted lists. Values that one class alone retains list nothing, and
+passages that many documents share come last in the order, so lists stay short but for groups of near copies.
+There all meet their lists' best-known classes first, in rounds; what these links have not joined into one
+component then meets across components, so groups never make all their pairs, yet no pair that could join two
+components goes unseen. The union of two sketches estimates their similarity and filters; full sets decide.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Words, as_array, byte_table, hashes, mixed, saved, slices, translated, windows
+from .shared import Words, as_array, byte_table, drop_saved, hashes, mixed, saved, sent_if_small, slices, translated, windows
 
 SHINGLE, PERCENT = 4, 80
-#: Values in a sketch; of these, the first LISTED make lists. Two sets of similarity 0.8 share none of the
-#: first 10 values of their union with probability 1e-7, fewer than two with 4e-6.
-RETAINED, LISTED = 192, 10
-#: Best-known classes of a list of many that all others of it meet first.
-LEADERS = 16
-#: A list of more classes than this has such leaders.
-COMMON = 40
+#: Values in a sketch; of these, the first LISTED are compared by lists.
+RETAINED, LISTED = 192, 32
+#: Probability with which a linked pair may share too few of the first LISTED values of its union.
+MISSED = 1e-9
+#: Best-known classes of a list, by a hash of their ids, that the others meet in the second round.
+SALTS = 4
 #: Standard deviations of the estimate below percent that still go on to exact verification.
 DEVIATIONS = 4.9
+#: Rows of ids that are sent to all tasks at most (some 40 bytes each); more of them are shuffled.
+SENT_ROWS = 1_000_000
 TABLE = byte_table()
 
 
@@ -40,6 +44,10 @@ def shingles(words: Words, hashed: np.ndarray, i: int, n: int) -> np.ndarray:
     return np.unique(windows(own, n))
 
 
+def _set_hash(s: np.ndarray) -> int:
+    return int(np.bitwise_xor.reduce(mixed(s)).astype(np.int64)) if len(s) else 0
+
+
 def _each(batch: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
     words = Words(translated(as_array(batch.column("t")), TABLE))
     hashed = mixed(hashes(words.vocabulary))
@@ -56,7 +64,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
                 size, a, b, listed, kept = [], [], [], [], []
                 for s in _each(batch, shingle):
                     size.append(len(s))
-                    a.append(int(np.bitwise_xor.reduce(mixed(s)).astype(np.int64)) if len(s) else 0)
+                    a.append(_set_hash(s))
                     b.append(int(mixed(s + np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
                     signed = (s[:RETAINED] ^ np.uint64(1 << 63)).astype(np.int64)  # in the order of the hash
                     listed.append(signed[:LISTED])
@@ -68,12 +76,14 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """Per row of (i, t): doc_id and the packed sorted set."""
+    """Per row of (i, t, want) whose set has the hash want: doc_id and the packed sorted set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "t"):
-                yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array([s.tobytes() for s in _each(batch, shingle)], pa.binary())], names=["doc_id", "packed"])
+                sets = list(_each(batch, shingle))
+                right = pa.array([_set_hash(s) == want for s, want in zip(sets, batch.column("want").to_pylist(), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "packed"]).filter(right)
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['i'].dataType.simpleString()}, packed binary")
 
@@ -110,53 +120,85 @@ def components(edges: DataFrame) -> DataFrame:
         moved = saved(closer.join(up, "component").select("node", "before", F.col("jump").alias("component")), "labels")
         labels = moved.select("node", "component")
         if moved.where("before <> component").isEmpty():
+            drop_saved(both)
             return labels
 
 
+def _sure(percent: int) -> int:
+    """How many of the first LISTED values of their union two linked sets share, but for a chance of MISSED."""
+    p, tail, t = percent / 100, 0.0, 0
+    while t <= LISTED and (tail := tail + comb(LISTED, t) * p**t * (1 - p) ** (LISTED - t)) <= MISSED:
+        t += 1
+    return max(1, t)
+
+
+def _overlap(n: Column, percent: int) -> Column:
+    """How many of its first LISTED values a set of n shares with those of any set that is linked to it, at least.
+
+    The union of the two has at most 100 n / percent values, and of any LISTED of them no more than the unshared
+    ones are missing; whole sets share percent of n.
+    """
+    apart = F.floor(n * (100 - percent) / percent).cast("int")
+    whole = F.least(F.ceil(n * percent / 100).cast("int"), LISTED - apart)
+    return F.when(n <= LISTED, F.greatest(whole, F.lit(1))).otherwise(F.greatest(F.lit(_sure(percent)), LISTED - apart))
+
+
 def _lists(classes: DataFrame, percent: int) -> DataFrame:
-    """(list, doc_id, n_shingles, known, at, before) for every listed value that two classes or more hold; known counts who share the class's listed values.
+    """(list, doc_id, n_shingles, known, left, before, hottest) for every prefix value that two classes or more retain.
 
-    A value is a list however many hold it. at is its place in the class's set, before has the class's smaller
-    lists, so that two classes meet only in the first list they share. A linked pair shares a value within the
-    first (100 - percent) in a hundred of either set, and one, so values further on make no lists.
+    known sums over a class's values how many retain them. left is how many values stand from this one on, before
+    has the class's earlier lists, so that two classes meet only in the first list they share; hottest marks
+    the last list of a class.
     """
-    values = classes.select("doc_id", "n_shingles", F.posexplode("listed").alias("at", "key")).where(100 * (F.col("n_shingles") - F.col("at")) >= percent * F.col("n_shingles"))
+    values = classes.select("doc_id", F.explode("listed").alias("key"))
     counts = values.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = saved(values.join(counts, "key"), "values")
-    marks = saved(shared.groupBy("doc_id", "n_shingles").agg(F.sum("n").alias("known"), F.array_sort(F.collect_list(F.struct("key", "at"))).alias("held")), "marks")
-    each = marks.select("doc_id", "n_shingles", "known", F.col("held.key").alias("keys"), F.explode("held").alias("v"))
-    return each.select(F.col("v.key").alias("list"), "doc_id", "n_shingles", "known", "v.at", F.filter("keys", lambda k: k < F.col("v.key")).alias("before"))
+    held = values.join(counts, "key").groupBy("doc_id").agg(F.sum("n").alias("known"), F.array_sort(F.collect_list(F.struct("n", "key"))).alias("held"))
+    held = held.join(classes.select("doc_id", "n_shingles", F.size("listed").alias("size")), "doc_id")
+    # Values that no other class retains come first in the order.
+    most = F.col("size") - _overlap(F.col("n_shingles"), percent) + 1 - (F.col("size") - F.size("held"))
+    prefix = held.where(most > 0).select("doc_id", "n_shingles", "known", F.size("held").alias("of"), F.slice("held.key", 1, F.greatest(most, F.lit(0))).alias("keys"))
+    each = prefix.select("*", F.posexplode("keys").alias("at", "list"))
+    listed = each.select("list", "doc_id", "n_shingles", "known", (F.col("of") - F.col("at")).alias("left"), F.slice("keys", 1, F.col("at")).alias("before"), (F.col("at") == F.size("keys") - 1).alias("hottest"))
+    return saved(listed, "listed")
 
 
 def _places_fit(percent: int) -> Column:
     """Whether rows x and y that meet first in this list have enough values from it on for a link."""
-    left = F.least(F.col("x.n_shingles") - F.col("x.at"), F.col("y.n_shingles") - F.col("y.at"))
-    return 100 * left >= percent * (F.col("x.n_shingles") + F.col("y.n_shingles") - left)
+    return F.least("x.left", "y.left") >= F.greatest(_overlap(F.col("x.n_shingles"), percent), _overlap(F.col("y.n_shingles"), percent))
 
 
 def _sizes_fit(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _estimate_fits(x: str, y: str, percent: int) -> Column:
-    """Whether the k smallest values of the union of two sketches are shared often enough.
+def _least_share(x: str, y: str, percent: int) -> Column:
+    """The share of the union's retained values that a linked pair's sketches have in common, at least.
 
-    They are a sample without replacement of the union, which has at most (x + y) / (1 + percent / 100) shingles
-    if the pair is linked; so the estimate scatters less the more of the union it sees, and not at all if it
-    sees all. One part in a hundred is left for chance equality of half hashes.
+    These values are a sample without replacement of the union, which has at most (x + y) / (1 + percent / 100)
+    shingles if the pair is linked; so the estimate scatters less the more of the union it sees, and not at all if
+    it sees all. One part in a hundred is left for chance equality of half hashes.
     """
-    a, b, p = f"{x}sketch", f"{y}sketch", percent / 100
+    p = percent / 100
     most = (F.col(f"{x}n_shingles") + F.col(f"{y}n_shingles")) / (1 + p)
     seen = F.least(most, F.lit(float(RETAINED)))
-    least = p - 0.01 - DEVIATIONS * F.sqrt(p * (1 - p) / seen * (1 - seen / most))
-    both = F.size(F.array_intersect(a, b))
-    enough = both >= least * F.greatest(F.size(a), F.size(b))
-    # Whole sets need no union: its size follows from theirs.
+    return p - 0.01 - DEVIATIONS * F.sqrt(p * (1 - p) / seen * (1 - seen / most))
+
+
+def _enough_shared(x: str, y: str, percent: int) -> Column:
+    """Whether two sketches share as many values as those of a linked pair; the union of whole sets follows from their sizes."""
+    a, b, p = f"{x}sketch", f"{y}sketch", percent / 100 - 0.01
+    whole = F.greatest(F.col(f"{x}n_shingles"), F.col(f"{y}n_shingles")) <= RETAINED
+    need = F.when(whole, p / (1 + p) * (F.size(a) + F.size(b))).otherwise(_least_share(x, y, percent) * F.greatest(F.size(a), F.size(b)))
+    return F.size(F.array_intersect(a, b)) >= need
+
+
+def _estimate_fits(x: str, y: str, percent: int) -> Column:
+    """Whether the smallest values of the union of two sketches are shared often enough."""
+    a, b = f"{x}sketch", f"{y}sketch"
     whole = F.greatest(F.col(f"{x}n_shingles"), F.col(f"{y}n_shingles")) <= RETAINED
-    exact = both >= (p - 0.01) * (F.size(a) + F.size(b) - both)
     union = F.slice(F.array_sort(F.array_union(a, b)), 1, RETAINED)
-    sampled = F.size(F.array_intersect(F.array_intersect(a, b), union)) >= least * F.size(union)
-    return enough & F.when(whole, exact).otherwise(sampled)
+    sampled = F.size(F.array_intersect(F.array_intersect(a, b), union)) >= _least_share(x, y, percent) * F.size(union)
+    return _enough_shared(x, y, percent) & (whole | sampled)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -173,36 +215,31 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     # Different sets of this similarity have a union of least 100 / (100 - percent) shingles, so smaller ones need no lists.
     least = max(1, -(-100 // max(1, 100 - percent)) - 1)
     chosen = heads.where(F.col("n_shingles") >= least).groupBy(F.col("head").alias("doc_id")).agg(F.min(F.struct(*same)).alias("s")).select("doc_id", "s.*")
-    classes = saved(named.join(chosen, ["doc_id", *same]).dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "listed", "sketch"), "classes")
-
-    lists = saved(_lists(classes, percent), "lists")
-    bounds = saved(lists.groupBy("list").agg(F.min("doc_id").alias("low"), F.max(F.struct("known", "doc_id"))["doc_id"].alias("high"), F.count("*").alias("members")), "bounds")
-    ends = bounds.select("list", F.explode(F.array("low", "high")).alias("leader"))
-    best = Window.partitionBy("list").orderBy(F.desc("known"), "doc_id")
-    many = lists.join(bounds.where(F.col("members") > COMMON).select("list"), "list").withColumn("place", F.row_number().over(best)).where(F.col("place") <= LEADERS)
-    leaders = saved(ends.unionByName(many.select("list", F.col("doc_id").alias("leader"))).distinct().join(classes.select(F.col("doc_id").alias("leader"), F.col("n_shingles").alias("size")), "leader"), "leaders")
-    led = lists.join(leaders, "list").where((F.col("doc_id") != F.col("leader")) & _sizes_fit("n_shingles", "size", percent))
-    pairs = led.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
-    ours = classes.select("doc_id", "sketch", "n_shingles")
-    x, y = (ours.select(F.col("doc_id").alias(c), F.struct("sketch", "n_shingles").alias(f"of_{c}")) for c in ("a", "b"))
-    pairs = pairs.join(x, "a").join(y, "b").where(_estimate_fits("of_a.", "of_b.", percent)).select("a", "b")
-    first = _verified(docs, id_col, text_col, shingle, percent, pairs, chosen)
-    labels = components(first)
-
-    # What these did not join: in lists of three or more, all classes against those of other components. In a list
-    # of three one class can be both low and high, and then the other two have not met.
-    known = lists.join(bounds.where("members > 2").select("list"), "list").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    known = saved(known, "known")
-    several = known.groupBy("list").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("list")
-    met = saved(known.join(several, "list").join(ours.drop("n_shingles"), "doc_id"), "met")
+    classes = saved(named.join(chosen, ["doc_id", *same]).dropDuplicates(["doc_id"]).select("doc_id", "set_a", "n_shingles", "listed", "sketch"), "classes")
+
+    lists = _lists(classes, percent)
+    verify = lambda pairs: _verified(docs, id_col, text_col, shingle, percent, pairs, classes)
+    best = lambda *more: F.max(F.struct("known", "doc_id", "n_shingles", *more)).alias("leader")
+
+    # In a first round each class meets the best-known one of its most common list.
+    hot = lists.where("hottest")
+    links = verify(_led(hot, hot.groupBy("list").agg(best()), percent))
+    labels = components(links)
+    # Then, wherever a list has several components, the best-known of each salt.
+    known = _several(lists, labels)
+    salted = known.groupBy("list", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")).agg(best("component"))
+    links = links.unionByName(verify(_led(known, salted, percent)))
+    labels = components(links)
+    # Then all that is left, across components.
+    met = saved(_several(lists, labels).join(classes.select("doc_id", "sketch"), "doc_id"), "met")
     x, y = met.alias("x"), met.alias("y")
     rest = x.join(
         y,
         (F.col("x.list") == F.col("y.list")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
-        & _sizes_fit("x.n_shingles", "y.n_shingles", percent) & _places_fit(percent) & ~F.arrays_overlap("x.before", "y.before") & _estimate_fits("x.", "y.", percent),
+        & _sizes_fit("x.n_shingles", "y.n_shingles", percent) & _places_fit(percent) & ~F.arrays_overlap("x.before", "y.before") & _enough_shared("x.", "y.", percent),
     ).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-    second = _verified(docs, id_col, text_col, shingle, percent, rest, chosen)
-    labels = components(first.unionByName(second))
+    labels = components(links.unionByName(verify(rest)))
+    drop_saved(met, lists)
 
     named_heads = heads.join(labels.withColumnRenamed("node", "head"), "head", "left").select(*same, F.coalesce("component", "head").alias("component"))
     out = every.drop("listed", "sketch").join(named_heads, same, "left")
@@ -210,12 +247,36 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _verified(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, pairs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The candidate pairs that full sets, made again from the texts that need it, confirm."""
+def _led(lists: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each list's leaders and its classes, of other components if there are any yet."""
+    known = "component" in lists.columns
+    leaders = saved(leaders.select("list", "leader.doc_id", "leader.n_shingles", *(["leader.component"] if known else [])), "leaders")
+    x, y = sent_if_small(leaders, SENT_ROWS).alias("x"), lists.alias("y")
+    apart = F.col("x.component") != F.col("y.component") if known else F.col("x.doc_id") != F.col("y.doc_id")
+    met = y.join(x, (F.col("x.list") == F.col("y.list")) & apart & _sizes_fit("x.n_shingles", "y.n_shingles", percent))
+    return met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+
+
+def _several(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of lists that have classes of several components, with these."""
+    own = lists.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    own = saved(own, "known")
+    several = saved(own.groupBy("list").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("list"), "several")
+    return own.join(sent_if_small(several, SENT_ROWS), "list", "left_semi")
+
+
+def _verified(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The candidate pairs that full sets, made again from the texts that need it confirm, of those that the estimate leaves."""
+    x, y = (classes.select(F.col("doc_id").alias(c), F.struct("sketch", "n_shingles").alias(f"of_{c}")) for c in ("a", "b"))
+    pairs = pairs.join(x, "a").join(y, "b").where(_estimate_fits("of_a.", "of_b.", percent)).select("a", "b")
     pairs = saved(pairs, "candidates")
-    needed = pairs.select(F.col("a").alias("i")).unionByName(pairs.select(F.col("b").alias("i"))).distinct()
-    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(needed, "i", "left_semi")
-    return saved(_linked(pairs, saved(shingle_sets(texts, shingle).dropDuplicates(["doc_id"]), "sets"), percent), "links")
+    needed = saved(pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct(), "needed")
+    wanted = saved(classes.select(F.col("doc_id").alias("i"), F.col("set_a").alias("want")).join(needed, "i", "left_semi"), "wanted")
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(sent_if_small(wanted, SENT_ROWS), "i")
+    sets = saved(shingle_sets(texts, shingle).dropDuplicates(["doc_id"]), "sets")
+    links = saved(_linked(pairs, sets, percent), "links")
+    drop_saved(pairs, needed, wanted, sets)
+    return links
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = PERCENT) -> DataFrame:
