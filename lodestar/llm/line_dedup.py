@@ -21,9 +21,9 @@ from .shared import drop_saved, saved, sent_if_small
 
 PERCENT = 80
 #: Counters of the rarity table, a power of two: its size does not depend on the input.
-COUNTERS = 1 << 20
+COUNTERS = 1 << 19
 #: Bits of a word's hash in its key; the bits above hold STEPS * log2 of its count.
-HASH_BITS, STEPS = 52, 2
+HASH_BITS, STEPS = 52, 1
 #: A list of more classes than this is long.
 LONG = 512
 #: Leaders of each kind in the later rounds over long lists.
@@ -127,22 +127,28 @@ def _in_long_lists(classes: DataFrame, entries: DataFrame, long: DataFrame, line
     listed = entries.join(sent_if_small(long, SENT_LINES), "key", "left_semi")
     members = listed.join(classes.select("n", "rep", score.alias("score"), "prefix"), "n").withColumn("open", F.lit(True))
     members = saved(members, "members", **_DICTIONARY)
-    one = _confirmed(_led(members, percent, 1, 1), lines, percent)
+    own = saved(lines.join(sent_if_small(members.select("n").distinct(), SENT_LINES), "n", "left_semi").select("n", "rep", "words"), "own", **_DICTIONARY)
+    one = _confirmed(_led(members, percent, 1, 1), own, percent)
     members = _still_open(members, one)
-    two = _confirmed(_led(members, percent, 1, SALTS), lines, percent)
+    two = _confirmed(_led(members, percent, 1, SALTS), own, percent)
 
     # Two sets that share the list's word first share another one by the place after their prefixes.
     pair = members.select("key", "n", "rep", "size", "bits", "score", F.posexplode("prefix").alias("at", "second"), F.col("at").alias("before")).where("at > before")
     pair = pair.select(F.xxhash64("key", "second").alias("key"), "n", "rep", "size", "at", "bits", "score")
     pair = saved(_still_open(pair, one.unionByName(two)), "two_words")
-    three = _confirmed(_led(pair, percent, 2, SALTS), lines, percent)
+    three = _confirmed(_led(pair, percent, 2, SALTS), own, percent)
     y = pair.where("open").join(three, "rep", "left_anti")
-    rest = _confirmed(_meeting(pair, y, _fit(percent, 2) & (F.col("x.rep") < F.col("y.rep"))), lines, percent)
-    drop_saved(pair)
+    rest = _confirmed(_meeting(pair, y, _fit(percent, 2) & (F.col("x.rep") < F.col("y.rep"))), own, percent)
+    drop_saved(pair, own)
     return one.unionByName(two).unionByName(three).unionByName(rest)
 
 
 def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """(doc, no) of every line occurrence that has an earlier match, by the rules of matches_by_text()."""
+    return matches_by_text(docs, id_col, text_col, percent).select("doc", "no")
+
+
+def matches_by_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc, of, no) of every line occurrence that has an earlier match: the document's id, its text's xxhash64, the line's number.
 
     Order is by (id, hash of the text, line number); null ids come first. Lines without a word never match. Null
@@ -155,7 +161,7 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     least = max(1, -(-100 // max(1, 100 - percent)) - 1)
     prefix = F.when(F.col("size") >= least, F.slice(_keys(F.col("words"), rarity), 1, _prefix(F.col("size"), percent) + 1)).otherwise(F.array().cast("array<long>"))
     keyed = lines.select("a", "b", F.struct("rep", "n", "size", _parity(F.col("words")).alias("bits"), prefix.alias("prefix")).alias("own"))
-    classes = saved(keyed.groupBy("a", "b").agg(F.min("own").alias("own")).select("a", "b", "own.*"), "classes", **_DICTIONARY)
+    classes = saved(keyed.groupBy("a", "b").agg(F.min("own").alias("own"), F.count("*").alias("lines")).select("a", "b", "lines", "own.*"), "classes", **_DICTIONARY)
 
     # A word that is alone on its counter occurs in one line only.
     entries = classes.select("n", "size", "bits", F.posexplode("prefix").alias("at", "key")).where((F.col("at") < _prefix(F.col("size"), percent)) & (F.col("key") >= 1 << HASH_BITS))
@@ -166,10 +172,12 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     direct = _confirmed(_meeting(short, short, _fit(percent) & (F.col("x.n") < F.col("y.n"))), lines, percent)
     gone = saved(direct.unionByName(_in_long_lists(classes, entries, long, lines, percent)).distinct(), "gone")
 
-    later = classes.select("a", "b", "rep").join(gone.withColumn("gone", F.lit(True)), "rep", "left").select("a", "b", "rep", F.coalesce("gone", F.lit(False)).alias("gone"))
-    found = lines.select(F.col("rep").alias("own"), "a", "b").join(later, ["a", "b"]).where(F.col("gone") | (F.col("own") > F.col("rep"))).select("own.*").distinct()
+    later = classes.select("a", "b", "lines", "rep").join(sent_if_small(gone, SENT_LINES).withColumn("gone", F.lit(True)), "rep", "left")
+    later = saved(later.where("gone OR lines > 1").select("a", "b", "rep", F.coalesce("gone", F.lit(False)).alias("gone")), "later")
+    own = lines.select(F.col("rep").alias("own"), "a", "b").join(sent_if_small(later, SENT_LINES), ["a", "b"])
+    found = own.where(F.col("gone") | (F.col("own") > F.col("rep"))).select("own.*").distinct()
     found = saved(found, "found")
-    drop_saved(lines, classes, long, gone)
+    drop_saved(lines, classes, long, gone, later)
     return found
 
 
@@ -180,7 +188,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
     ids and texts) all keep the same lines; rows with equal ids and other texts are documents of their own. An
     empty table stays empty. Columns may have any names.
     """
-    found = matches(docs, id_col, text_col, percent)
+    found = matches_by_text(docs, id_col, text_col, percent)
     gone = found.groupBy("doc", "of").agg(F.collect_set("no").alias("lines"))
     if found.count() <= SENT_LINES:
         gone = F.broadcast(gone)  # so that texts stay where they are

@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from .shared import Words, as_array, saved, slices
 
 CAPACITY, END_ID = 4096, 1
-#: Words kept in a task's cache of token ids.
-CACHE_WORDS = 400_000
+#: Words kept in a task's cache of token ids, and the longest that is kept.
+CACHE_WORDS, CACHED_CHARS = 200_000, 64
+#: Bytes of text tokenised at once.
+SLICE_BYTES = 4 << 20
 #: Pieces of one length that one window ranks, about.
 RANKED_TOGETHER = 1_000_000
 
@@ -53,7 +55,9 @@ class WordEncoder:
         got = self.parts.get(part)
         if got is None:
             spelled = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-            got = self.parts[part] = np.array([t.id for t in self.merges.tokenize(spelled)], np.uint32).tobytes()
+            got = np.array([t.id for t in self.merges.tokenize(spelled)], np.uint32).tobytes()
+            if len(part) <= CACHED_CHARS:
+                self.parts[part] = got
         return got
 
     def _word(self, word: str) -> bytes:
@@ -70,10 +74,18 @@ class WordEncoder:
         for word in vocabulary:
             got = known.get(word)
             if got is None:
-                got = known[word] = self._word(word)
+                got = self._word(word)
+                if len(word) <= CACHED_CHARS:
+                    known[word] = got
             out.append(got)
         return out
 
+    def forget(self) -> None:
+        """Empty the caches and give back unused memory: a worker goes on to tasks of other operators."""
+        self.words.clear()
+        self.parts.clear()
+        pa.default_memory_pool().release_unused()
+
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -108,7 +120,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = _encoder(tokenizer), np.array([end_id], np.uint32)
         for whole in batches:
-            for batch in slices(whole, "t"):
+            for batch in slices(whole, "t", SLICE_BYTES):
                 row, piece, start, length, crc, kept = [], [], [], [], [], []
                 for i, ids in enumerate(token_ids(as_array(batch.column("t")), encoder)):
                     ids = np.concatenate([ids, end])
@@ -123,6 +135,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 if keep_ids:
                     columns, names = [*columns, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        encoder.forget()
 
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
     return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, schema)

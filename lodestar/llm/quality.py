@@ -21,7 +21,8 @@ from .shared import Words, as_array, hashes, mixed, slices, windows
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 SYMBOLS = "#*$%&|<>"
-CACHE_WORDS = 100_000
+#: Words kept in a task's cache of token ids, and the longest that is kept; bytes of text measured at once.
+CACHE_WORDS, CACHED_CHARS, SLICE_BYTES = 60_000, 64, 4 << 20
 
 
 class Band(NamedTuple):
@@ -67,9 +68,16 @@ def _encoded(words: list[str], model: str) -> list[bytes]:
     if len(cache) + len(words) > CACHE_WORDS:
         cache.clear()
     missing = [w for w in words if w not in cache]
-    for w, ids in zip(missing, processor.encode(missing, num_threads=1), strict=True):
-        cache[w] = np.array(ids, np.int32).tobytes()
-    return [cache[w] for w in words]
+    new = {w: np.array(ids, np.int32).tobytes() for w, ids in zip(missing, processor.encode(missing, num_threads=1), strict=True)}
+    cache.update((w, ids) for w, ids in new.items() if len(w) <= CACHED_CHARS)
+    return [new[w] if w in new else cache[w] for w in words]
+
+
+def _forget() -> None:
+    """Empty the caches and give back unused memory: a worker goes on to tasks of other operators."""
+    for *_, cache in _caches.values():
+        cache.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def repeated(hashed: np.ndarray, n: int = WINDOW) -> int:
@@ -150,20 +158,26 @@ def judge(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "t"):
+            for batch in slices(whole, "t", SLICE_BYTES):
                 columns = _measured(as_array(batch.column("t")), batch.column("l").to_pylist(), model)
                 yield pa.RecordBatch.from_arrays([batch.column("i"), *(pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True))], names=["doc_id", *(f.split()[0] for f in FIELDS.split(", "))])
+        _forget()
 
     return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).mapInArrow(run, f"doc_id {kind}, {FIELDS}")
 
 
 def keep_good(docs: DataFrame, model: str, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents that the rules keep, with all their columns; rows are judged where they lie."""
+    """The documents that the rules keep, with all their columns, under any names; rows are judged where they lie.
+
+    Null and empty texts go, as they have no words; a null language is an unknown one; repeated rows are judged
+    each; an empty table stays empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, text_col):
+            for batch in slices(whole, text_col, SLICE_BYTES):
                 kept = _measured(as_array(batch.column(text_col)), batch.column(lang_col).to_pylist(), model)[6]
                 yield batch.filter(pa.array(kept, pa.bool_()))
+        _forget()
 
     return docs.mapInArrow(run, docs.schema)
