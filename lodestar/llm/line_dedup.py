@@ -28,8 +28,10 @@ HASH_BITS, STEPS = 52, 1
 LONG = 512
 #: Leaders of each kind in the later rounds over long lists.
 SALTS = 8
-#: Lines to verify, or to cut, that are sent to all tasks at most (some 40 bytes each); beyond that, sets or texts are shuffled.
-SENT_LINES = 1_000_000
+#: Lines to cut whose numbers are sent to all tasks at most (4 bytes each and some 50 a document); beyond that, texts are shuffled.
+CUT_LINES = 1_000_000
+#: Lines to verify that are sent to all tasks at most (some 40 bytes each); beyond that, their sets are shuffled.
+SENT_LINES = 300_000
 #: White space besides line feeds.
 _SPACE = " \t\v\f\r"
 #: Larger dictionaries than usual, as hashes of frequent words repeat and nothing else makes them smaller.
@@ -89,19 +91,34 @@ def _fit(percent: int, shared: int = 1) -> Column:
 
 
 def _confirmed(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (x, y) of line numbers, those whose full sets are similar enough, as the rep of the later line."""
+    """Of pairs (x, y) of line numbers, those whose full sets are similar enough, as rep and n of the later line."""
     pairs = saved(pairs.distinct(), "pairs")
     needed = saved(pairs.select(F.explode(F.array("x", "y")).alias("n")).distinct(), "needed")
-    sets = lines.join(sent_if_small(needed, SENT_LINES), "n", "left_semi").select("n", F.struct("rep", "words").alias("line"))
+    sets = lines.join(sent_if_small(needed, SENT_LINES), "n", "left_semi").select("n", F.struct(F.struct("rep", "n").alias("own"), "words").alias("line"))
     sets = saved(sets, "sets", **_DICTIONARY)
     full = pairs.join(sets.withColumnsRenamed({"n": "x", "line": "of_x"}), "x").join(sets.withColumnsRenamed({"n": "y", "line": "of_y"}), "y")
     both = F.size(F.array_intersect("of_x.words", "of_y.words"))
     found = full.where(100 * both >= percent * (F.size("of_x.words") + F.size("of_y.words") - both))
-    found = saved(found.select(F.greatest("of_x.rep", "of_y.rep").alias("rep")).distinct(), "matched")
+    found = saved(found.select(F.greatest("of_x.own", "of_y.own").alias("later")).distinct().select("later.*"), "matched")
     drop_saved(pairs, needed, sets)
     return found
 
 
+def _confirmed_once(pairs: DataFrame, classes: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """As _confirmed(): one pair of each later line first, then all pairs of those that this leaves without a match."""
+    reps = classes.select("n", "rep")
+    of = lambda c: reps.select(F.col("n").alias(c), F.col("rep").alias(f"of_{c}"))
+    in_order = pairs.distinct().join(of("x"), "x").join(of("y"), "y")
+    swap = F.col("of_x") > F.col("of_y")
+    in_order = saved(in_order.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("y")), "in_order")
+    first = saved(in_order.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), "first")
+    one = _confirmed(first, lines, percent)
+    rest = in_order.join(one.select(F.col("n").alias("y")), "y", "left_anti").join(first, ["x", "y"], "left_anti")
+    two = _confirmed(rest, lines, percent)
+    drop_saved(in_order, first)
+    return one.unionByName(two)
+
+
 def _meeting(x: DataFrame, y: DataFrame, fit: Column) -> DataFrame:
     """Numbers of the pairs of entries of one list that fit, the smaller as x."""
     met = x.alias("x").join(y.alias("y"), F.col("x.key") == F.col("y.key")).where(fit)
@@ -118,7 +135,7 @@ def _led(members: DataFrame, percent: int, shared: int, salts: int) -> DataFrame
 
 def _still_open(members: DataFrame, matched: DataFrame) -> DataFrame:
     """members, open where their rep is not among the matched ones."""
-    return members.drop("open").join(matched.distinct().withColumn("matched", F.lit(True)), "rep", "left").withColumn("open", F.col("matched").isNull()).drop("matched")
+    return members.drop("open").join(matched.select("rep").distinct().withColumn("matched", F.lit(True)), "rep", "left").withColumn("open", F.col("matched").isNull()).drop("matched")
 
 
 def _in_long_lists(classes: DataFrame, entries: DataFrame, long: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
@@ -137,7 +154,7 @@ def _in_long_lists(classes: DataFrame, entries: DataFrame, long: DataFrame, line
     pair = pair.select(F.xxhash64("key", "second").alias("key"), "n", "rep", "size", "at", "bits", "score")
     pair = saved(_still_open(pair, one.unionByName(two)), "two_words")
     three = _confirmed(_led(pair, percent, 2, SALTS), own, percent)
-    y = pair.where("open").join(three, "rep", "left_anti")
+    y = pair.where("open").join(three.select("rep"), "rep", "left_anti")
     rest = _confirmed(_meeting(pair, y, _fit(percent, 2) & (F.col("x.rep") < F.col("y.rep"))), own, percent)
     drop_saved(pair, own)
     return one.unionByName(two).unionByName(three).unionByName(rest)
@@ -169,8 +186,8 @@ def matches_by_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     many = entries.where(F.col("key") >= (STEPS * (LONG.bit_length() - 1)) << HASH_BITS).groupBy("key").agg(F.count("*").alias("members"))
     long = saved(many.where(F.col("members") > LONG).select("key"), "long")
     short = entries.join(long, "key", "left_anti")
-    direct = _confirmed(_meeting(short, short, _fit(percent) & (F.col("x.n") < F.col("y.n"))), lines, percent)
-    gone = saved(direct.unionByName(_in_long_lists(classes, entries, long, lines, percent)).distinct(), "gone")
+    direct = _confirmed_once(_meeting(short, short, _fit(percent) & (F.col("x.n") < F.col("y.n"))), classes, lines, percent)
+    gone = saved(direct.unionByName(_in_long_lists(classes, entries, long, lines, percent)).select("rep").distinct(), "gone")
 
     later = classes.select("a", "b", "lines", "rep").join(sent_if_small(gone, SENT_LINES).withColumn("gone", F.lit(True)), "rep", "left")
     later = saved(later.where("gone OR lines > 1").select("a", "b", "rep", F.coalesce("gone", F.lit(False)).alias("gone")), "later")
@@ -190,7 +207,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
     """
     found = matches_by_text(docs, id_col, text_col, percent)
     gone = found.groupBy("doc", "of").agg(F.collect_set("no").alias("lines"))
-    if found.count() <= SENT_LINES:
+    if found.count() <= CUT_LINES:
         gone = F.broadcast(gone)  # so that texts stay where they are
     whole = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("of")).alias("docs")
     joined = whole.join(gone.alias("gone"), F.col("docs.doc").eqNullSafe(F.col("gone.doc")) & (F.col("docs.of") == F.col("gone.of")), "left").select("docs.row", "gone.lines")

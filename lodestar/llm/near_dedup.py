@@ -32,7 +32,7 @@ SALTS = 4
 #: Standard deviations of the estimate below percent that still go on to exact verification.
 DEVIATIONS = 4.9
 #: Rows of ids that are sent to all tasks at most (some 40 bytes each); more of them are shuffled.
-SENT_ROWS = 1_000_000
+SENT_ROWS = 300_000
 TABLE = byte_table()
 
 
