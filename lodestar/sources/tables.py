@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -35,3 +39,19 @@ def events_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1)
     schema = table(spark, folder, "events").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "events.parquet").parquet(folder)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+_own: dict[str, str] = {}
+
+
+def work_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir; only a local session without it gets one of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if "dir" not in _own:
+        _own["dir"] = tempfile.mkdtemp(prefix="lodestar-")
+        atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
+    return f"file://{_own['dir']}"

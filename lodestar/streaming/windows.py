@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import work_folder
+
 LATENESS = "10 minutes"
 
 
@@ -43,8 +45,21 @@ def first_of_each(events: DataFrame, keys: list[str], lateness: str = LATENESS)
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that its source has now and return what it wrote, as a table in memory (small results only)."""
-    spark, name = stream.sparkSession, f"s{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    """Run a stream over all that its source has now and return what it wrote, as Parquet in the shared folder.
+
+    Append mode adds files batch by batch; complete mode writes each batch's whole result to a folder of its own,
+    of which the last counts. No result passes through the driver.
+    """
+    spark, folder = stream.sparkSession, f"{work_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", f"{folder}/out").start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    last: list[int] = []
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out-{number}")
+        last[:] = [number]
+
+    writer.foreachBatch(save).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out-{last[0]}") if last else spark.createDataFrame([], stream.schema)

@@ -1,5 +1,7 @@
 """Every relational query against DuckDB on the same tables, by sorted rows."""
 
+import os
+
 import duckdb
 import pytest
 
@@ -30,3 +32,52 @@ def test_matches_duckdb(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(relational.queries()) - set(relational.oracle_sql())))
 def test_runs(spark, name):
     assert relational.queries()[name](spark, FOLDER).count() > 0
+
+
+def test_approximations_stay_within_their_bounds(spark, duck):
+    exact = dict(duck.execute("SELECT l_returnflag, count(DISTINCT l_partkey) FROM lineitem GROUP BY 1").fetchall())
+    for r in relational.queries()["approximate_distinct"](spark, FOLDER).collect():
+        assert abs(r.parts - exact[r.l_returnflag]) <= 0.08 * exact[r.l_returnflag]
+    for r in relational.queries()["quantile_sketch"](spark, FOLDER).collect():
+        (below,) = duck.execute("SELECT avg((l_extendedprice <= ?)::INT) FROM lineitem WHERE l_returnflag = ?", [r.median, r.l_returnflag]).fetchone()
+        assert abs(below - 0.5) <= 0.03
+
+
+def test_first_of_each_has_one_row_a_user(spark, duck):
+    users = [r.user_id for r in relational.queries()["stream_first_of_each"](spark, FOLDER).collect()]
+    assert sorted(users) == [u for (u,) in duck.execute("SELECT DISTINCT user_id FROM events ORDER BY 1").fetchall()]
+
+
+def test_late_rows_are_dropped_and_in_time_ones_kept(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lodestar.streaming import windows
+
+    for k, hours in enumerate(([5], [6], [1, 6])):  # 1 comes two batches after the watermark has passed it
+        rows = [(h, f"2024-01-01 {h:02d}:30:00", "view") for h in hours]
+        spark.createDataFrame(rows, "user_id long, ts string, event_type string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        (file,) = (tmp_path / "in").glob("part-*.parquet")
+        file.rename(tmp_path / f"{k}.parquet")
+        os.utime(tmp_path / f"{k}.parquet", (1_700_000_000 + 100 * k,) * 2)  # a stream reads the oldest file first
+    stream = spark.readStream.schema("user_id long, ts string, event_type string").option("maxFilesPerTrigger", 1).option("pathGlobFilter", "?.parquet").parquet(str(tmp_path))
+    out = windows.drained(windows.tumbling(stream.withColumn("ts", F.col("ts").cast("timestamp"))), "append")
+    assert {(r.started.hour, r.n) for r in out.collect()} == {(5, 1)}
+
+
+@pytest.mark.parametrize("kind", ["csv", "json", "orc", "text", "parquet"])
+def test_formats_round_trip(spark, tmp_path, kind):
+    from lodestar.sources import tables
+
+    rows = spark.createDataFrame([("a",), ("b c",), ("ünï",)], "value string")
+    tables.write(rows, f"{tmp_path}/{kind}", kind)
+    back = tables.read(spark, f"{tmp_path}/{kind}", kind, "value string")
+    assert sorted(r.value for r in back.collect()) == ["a", "b c", "ünï"]
+
+
+def test_not_in_and_nulls(spark, duck):
+    from lodestar.plans import more
+
+    part = spark.createDataFrame([(1, 1), (2, None), (3, 10)], "p_partkey long, p_size int")
+    nation = spark.createDataFrame([(0,), (1,), (None,)], "n_nationkey int")
+    got = more.join_not_in(lambda name: {"part": part, "nation": nation}[name])
+    assert [r.p_partkey for r in got.collect()] == []  # 10 % 7 is made null, which is in no answer
