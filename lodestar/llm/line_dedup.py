@@ -12,7 +12,7 @@ so groups of near copies never make all their pairs. All of it is DataFrame oper
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +28,8 @@ HASH_BITS, STEPS = 52, 1
 LONG = 512
 #: Leaders of each kind in the later rounds over long lists.
 SALTS = 8
+#: Sets of more words than this have a parity of 256 bits too: of 64 bits, as many differ by chance as may differ.
+WIDE = 48
 #: Lines to cut whose numbers are sent to all tasks at most (4 bytes each and some 50 a document); beyond that, texts are shuffled.
 CUT_LINES = 1_000_000
 #: Lines to verify that are sent to all tasks at most (some 40 bytes each); beyond that, their sets are shuffled.
@@ -75,6 +77,17 @@ def _parity(words: Column) -> Column:
     return F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(63).cast("int"))))
 
 
+def _wide_parity(words: Column) -> Column:
+    """As _parity(), in 256 bits: four numbers, for sets too large for one."""
+    one = F.lit(1).cast("long")
+
+    def part(k: int) -> Column:
+        turned = lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(63).cast("int")))
+        return F.aggregate(words, F.lit(0).cast("long"), lambda a, w: F.when(w.bitwiseAND(192) == 64 * k, turned(a, w)).otherwise(a))
+
+    return F.array(*(part(k) for k in range(4)))
+
+
 def _prefix(size: Column, percent: int) -> Column:
     """Length of the prefix in which sets of this size share a word with any set similar enough."""
     return size - F.ceil(size * percent / 100).cast("int") + 1
@@ -106,9 +119,11 @@ def _confirmed(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
 
 def _confirmed_once(pairs: DataFrame, classes: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """As _confirmed(): one pair of each later line first, then all pairs of those that this leaves without a match."""
-    reps = classes.select("n", "rep")
-    of = lambda c: reps.select(F.col("n").alias(c), F.col("rep").alias(f"of_{c}"))
-    in_order = pairs.distinct().join(of("x"), "x").join(of("y"), "y")
+    of = lambda c: classes.select(F.col("n").alias(c), F.col("rep").alias(f"of_{c}"), F.col("size").alias(f"size_{c}"), F.col("wide").alias(f"wide_{c}"))
+    apart = reduce(add, (F.bit_count(F.col("wide_x")[k].bitwiseXOR(F.col("wide_y")[k])) for k in range(4)))
+    both = F.col("size_x") + F.col("size_y")
+    fits = F.coalesce((100 + percent) * (both - apart) >= 2 * percent * both, F.lit(True))
+    in_order = pairs.distinct().join(of("x"), "x").join(of("y"), "y").where(fits)
     swap = F.col("of_x") > F.col("of_y")
     in_order = saved(in_order.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("y")), "in_order")
     first = saved(in_order.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), "first")
@@ -177,7 +192,7 @@ def matches_by_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Different sets of this similarity have a union of least 100 / (100 - percent) words.
     least = max(1, -(-100 // max(1, 100 - percent)) - 1)
     prefix = F.when(F.col("size") >= least, F.slice(_keys(F.col("words"), rarity), 1, _prefix(F.col("size"), percent) + 1)).otherwise(F.array().cast("array<long>"))
-    keyed = lines.select("a", "b", F.struct("rep", "n", "size", _parity(F.col("words")).alias("bits"), prefix.alias("prefix")).alias("own"))
+    keyed = lines.select("a", "b", F.struct("rep", "n", "size", _parity(F.col("words")).alias("bits"), prefix.alias("prefix"), F.when(F.col("size") > WIDE, _wide_parity(F.col("words"))).alias("wide")).alias("own"))
     classes = saved(keyed.groupBy("a", "b").agg(F.min("own").alias("own"), F.count("*").alias("lines")).select("a", "b", "lines", "own.*"), "classes", **_DICTIONARY)
 
     # A word that is alone on its counter occurs in one line only.
