@@ -272,3 +272,17 @@ def test_pipeline_keeps_columns_and_rows(spark, documents):
         docs = spark.createDataFrame(out.collect(), documents.schema)
     ids = {r.doc_id for r in corpus_pipeline.run(spark, FOLDER).collect()}
     assert ids == {r.doc_id for r in docs.collect()}
+
+
+def test_line_dedup_with_equal_ids_and_clashing_columns(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    docs = spark.createDataFrame([(0, b, 1), (1, a, 2), (1, b, 3), (2, None, 4), (3, f"{a}\n{b} more", 5)], "doc_id long, text string, __gone int")
+    got = {(r.doc_id, r["__gone"]): r.text for r in line_dedup.dedup(docs).collect()}
+    assert got == {(0, 1): b, (1, 2): a, (1, 3): "", (2, 4): None, (3, 5): ""}
+
+
+def test_line_dedup_with_long_lists_only(spark, documents, texts, monkeypatch):
+    direct = {tuple(r) for r in line_dedup.matches(documents).collect()}
+    monkeypatch.setattr(line_dedup, "LONG", 2)
+    monkeypatch.setattr(line_dedup, "WIDE", 4)
+    assert {tuple(r) for r in line_dedup.matches(documents).collect()} == direct
