@@ -54,20 +54,19 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return sets.select(F.monotonically_increasing_id().alias("n"), F.struct("doc", "of", "no").alias("rep"), F.xxhash64("words").alias("a"), F.xxhash64(F.lit(1), "words").alias("b"), F.size("words").alias("size"), "words")
 
 
-def _rarity(lines: DataFrame) -> Column:
-    """An array literal: STEPS * log2 of the number of words on each counter, over the sets of all lines."""
+def _rarity(lines: DataFrame) -> DataFrame:
+    """One row with one array: for each counter STEPS * log2 of the number of its words in all lines' sets, shifted above HASH_BITS."""
     each = lines.select(F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND(COUNTERS - 1).cast("int").alias("counter")).agg(F.count("*").alias("n"))
     dense = lines.sparkSession.range(COUNTERS).select(F.col("id").cast("int").alias("counter")).join(each, "counter", "left")
-    value = F.floor(STEPS * F.log2(F.coalesce("n", F.lit(1)).cast("double"))).cast("string")
+    value = F.shiftleft(F.floor(STEPS * F.log2(F.coalesce("n", F.lit(1)).cast("double"))).cast("long"), HASH_BITS)
     parts = dense.groupBy(F.shiftright("counter", 10).alias("part")).agg(F.array_sort(F.collect_list(F.struct("counter", value.alias("value")))).alias("values"))
-    parts = parts.agg(F.array_sort(F.collect_list(F.struct("part", F.array_join("values.value", ",").alias("values")))).alias("parts"))
-    # One string of COUNTERS small numbers, whatever the input.
-    return F.split(F.lit(parts.select(F.array_join("parts.values", ",")).first()[0]), ",").cast("array<smallint>")
+    parts = parts.agg(F.array_sort(F.collect_list(F.struct("part", F.col("values.value").alias("values")))).alias("parts"))
+    return saved(parts.select(F.flatten("parts.values").alias("rarity")), "rarity")
 
 
 def _keys(words: Column, rarity: Column) -> Column:
     """The sorted keys of a set's words: rarest first, in one order for all lines."""
-    key = lambda h: F.shiftleft(F.coalesce(F.get(rarity, h.bitwiseAND(COUNTERS - 1).cast("int")), F.lit(0)).cast("long"), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
+    key = lambda h: F.get(rarity, h.bitwiseAND(COUNTERS - 1).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
     return F.sort_array(F.transform(words, key))
 
 
@@ -191,8 +190,9 @@ def matches_by_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rarity = _rarity(lines)
     # Different sets of this similarity have a union of least 100 / (100 - percent) words.
     least = max(1, -(-100 // max(1, 100 - percent)) - 1)
-    prefix = F.when(F.col("size") >= least, F.slice(_keys(F.col("words"), rarity), 1, _prefix(F.col("size"), percent) + 1)).otherwise(F.array().cast("array<long>"))
-    keyed = lines.select("a", "b", F.struct("rep", "n", "size", _parity(F.col("words")).alias("bits"), prefix.alias("prefix"), F.when(F.col("size") > WIDE, _wide_parity(F.col("words"))).alias("wide")).alias("own"))
+    prefix = F.when(F.col("size") >= least, F.slice(_keys(F.col("words"), F.col("rarity")), 1, _prefix(F.col("size"), percent) + 1)).otherwise(F.array().cast("array<long>"))
+    # The optimiser moves the one use of this column into its expression, so that no row carries the array.
+    keyed = lines.withColumn("rarity", rarity.scalar()).select("a", "b", F.struct("rep", "n", "size", _parity(F.col("words")).alias("bits"), prefix.alias("prefix"), F.when(F.col("size") > WIDE, _wide_parity(F.col("words"))).alias("wide")).alias("own"))
     classes = saved(keyed.groupBy("a", "b").agg(F.min("own").alias("own"), F.count("*").alias("lines")).select("a", "b", "lines", "own.*"), "classes", **_DICTIONARY)
 
     # A word that is alone on its counter occurs in one line only.
@@ -209,7 +209,7 @@ def matches_by_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = lines.select(F.col("rep").alias("own"), "a", "b").join(sent_if_small(later, SENT_LINES), ["a", "b"])
     found = own.where(F.col("gone") | (F.col("own") > F.col("rep"))).select("own.*").distinct()
     found = saved(found, "found")
-    drop_saved(lines, classes, long, gone, later)
+    drop_saved(lines, rarity, classes, long, gone, later)
     return found
 
 
