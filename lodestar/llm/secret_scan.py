@@ -1,17 +1,21 @@
 """Secret scanning: listed patterns, and a battery of randomness tests under false-discovery control.
 
-Long runs of code characters are candidates. Each gets the encoding its characters fit (hex, base32, base36,
-base64); under that encoding's uniform distribution, a chi-squared test of its symbols, a runs test of its
-character classes and a lag-1 serial correlation must all look random. Written words change character class
-rarely, random text often; the number of changes gives each candidate a p-value against being written, which
-sharpens with length. Within strata of length, the Benjamini-Hochberg rule over the p-values of all candidates
-of all documents, counted in a histogram of bounded size, sets how small a p-value must be.
+Long runs of code characters are candidates. Each gets the encoding its characters fit (hex, letters of one case,
+base32, base36, base64). Under that encoding's uniform distribution, a chi-squared test of its symbols, a runs test
+about the middle of the alphabet and a lag-1 serial correlation each give a standard score; the sum of their squares
+must keep below a quantile of the chi-squared distribution of three degrees. Text that is written changes character
+class rarely and prefers some letters; the likelihood ratio of the candidate's changes and letters, random against
+written, bounds its p-value against being written (by Markov's inequality) and sharpens with length. Within strata
+of length, the Benjamini-Hochberg rule over these p-values of all candidates of all documents, counted in a histogram
+of bounded size, sets how large a ratio must be.
 
 Everything is DataFrame expressions. Positions come from the lengths of matches and of the text between them.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,15 +35,22 @@ CANDIDATE = "[A-Za-z0-9+/_-]{20,}={0,2}"
 ENCODINGS = (
     ("^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$", "0123456789abcdef", (6 / 16, 0, 10 / 16, 0)),
     ("^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$", "0123456789ABCDEF", (0, 6 / 16, 10 / 16, 0)),
+    ("^[a-z]+$", "abcdefghijklmnopqrstuvwxyz", (1, 0, 0, 0)),
+    ("^[A-Z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", (0, 1, 0, 0)),
     ("^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", (0, 26 / 32, 6 / 32, 0)),
     ("^[a-z0-9]+$", "0123456789abcdefghijklmnopqrstuvwxyz", (26 / 36, 0, 10 / 36, 0)),
     ("^[A-Z0-9]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", (0, 26 / 36, 10 / 36, 0)),
     ("", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", (26 / 64, 26 / 64, 10 / 64, 2 / 64)),
 )
-#: Standard deviations within which each randomness test accepts (one in a thousand).
-ACCEPTED = 3.29
+#: What the squared scores of the three tests may sum to (one random string in a thousand has more).
+ACCEPTED = 16.27
+_LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Share of neighbours in written words that differ in character class.
 WRITTEN_CHANGES = 0.12
+# Letters of English text in percent, a to z.
+LETTERS = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.1, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.07)
+#: Letters rarer than this (in percent) count as this common, as names and other languages use them more.
+LEAST_LETTER = 0.5
 #: Share of false discoveries among those of a length stratum.
 FALSE_SHARE = 0.01
 #: Steps of a factor of ten in the histogram of p-values, and its last bin.
@@ -84,8 +95,22 @@ def _by_encoding(code: Column, value) -> Column:
     return out
 
 
+def _change_ratios(shares: tuple) -> tuple[float, float]:
+    """log10 likelihood ratio, random against written, of a change of class between neighbours and of none."""
+    often = 1 - sum(x * x for x in shares)
+    return (math.log10(often / WRITTEN_CHANGES), math.log10((1 - often) / (1 - WRITTEN_CHANGES))) if often else (0.0, 0.0)
+
+
+def _letter_ratios(alphabet: str) -> list[float]:
+    """log10 likelihood ratio, random against written, of each letter a to z; 0 where the alphabet lacks it."""
+    own = set(alphabet.lower())
+    written = [max(x, LEAST_LETTER) for x in LETTERS]
+    letters = len(own & set(_LOWER))
+    return [math.log10(sum(written) / x / letters) if c in own else 0.0 for c, x in zip(_LOWER, written, strict=True)]
+
+
 def _tested(span: Column) -> Column:
-    """Struct (start, end, length, evidence, random) of a candidate: evidence is -log10 p against written text."""
+    """Struct (start, end, length, evidence, random) of a candidate: evidence is at most -log10 p against written text."""
     code = F.translate(F.rtrim(span["found"], F.lit("=")), "-_", "+/")
     n = F.length(code).cast("double")
     alphabet = _by_encoding(code, lambda a, _: a)
@@ -95,18 +120,22 @@ def _tested(span: Column) -> Column:
     add = lambda a, x: a + x
     squares = F.aggregate(F.array_distinct(symbols), zero, lambda a, c: a + F.pow(n - F.length(F.replace(code, c, F.lit(""))), F.lit(2.0)))
     uniform = (k / n * squares - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
-    changes = F.length(F.regexp_replace(code, "[a-z]+|[A-Z]+|[0-9]+|[+/]+", "x")).cast("double") - 1
-    often = _by_encoding(code, lambda _, s: 1 - sum(x * x for x in s))
-    runs = F.abs(changes - (n - 1) * often) / F.sqrt((n - 1) * often * (1 - often))
     values = F.transform(symbols, lambda c: F.instr(alphabet, c) - (k + 1) / 2)
     steps = F.zip_with(F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values) - 1), lambda a, b: a * b)
-    serial = F.abs(F.aggregate(steps, zero, add)) / F.aggregate(F.transform(values, lambda v: v * v), F.lit(1e-9), add) * F.sqrt(n - 1)
-    z = (changes - WRITTEN_CHANGES * (n - 1)) / F.sqrt((n - 1) * WRITTEN_CHANGES * (1 - WRITTEN_CHANGES))
-    # The normal tail is below its density over z, so this p-value errs on the safe side.
-    evidence = F.when(z > 1, (z * z / 2 + F.ln(z * 2.5066)) / 2.302585).otherwise(zero)
+    # Every alphabet has an even number of symbols, so half of all neighbours lie on both sides of its middle.
+    crossings = F.aggregate(steps, zero, lambda a, x: a + F.when(x < 0, 1.0).otherwise(0.0))
+    runs = (2 * crossings - (n - 1)) / F.sqrt(n - 1)
+    serial = F.aggregate(steps, zero, add) / F.aggregate(F.transform(values, lambda v: v * v), F.lit(1e-9), add) * F.sqrt(n - 1)
+    battery = uniform * uniform + runs * runs + serial * serial
+    changes = F.length(F.regexp_replace(code, "[a-z]+|[A-Z]+|[0-9]+|[+/]+", "x")).cast("double") - 1
+    changed, same = (_by_encoding(code, lambda _, s, i=i: _change_ratios(s)[i]) for i in (0, 1))
+    ratios = _by_encoding(code, lambda a, _: _letter_ratios(a))
+    places = F.transform(F.filter(F.split(F.lower(code), ""), lambda c: F.instr(F.lit(_LOWER), c) > 0), lambda c: F.instr(F.lit(_LOWER), c) - 1)
+    letters = F.aggregate(places, zero, lambda a, i: a + F.get(ratios, i))
+    evidence = F.greatest(changes * changed + (n - 1 - changes) * same + letters, zero)
     return F.struct(
         span["start"].alias("start"), span["end"].alias("end"), n.cast("int").alias("length"), evidence.alias("evidence"),
-        ((uniform < ACCEPTED) & (runs < ACCEPTED) & (serial < ACCEPTED)).alias("random"),
+        (battery < ACCEPTED).alias("random"),
     )
 
 

@@ -82,6 +82,26 @@ def test_secret_base_spans(documents, texts):
         assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(f[2] == k for f in found) for k in ("assign", "access", "hex"))
 
 
+def test_secret_tests_find_random_strings_and_leave_written_ones(spark):
+    alphabets = {"hex": "0123456789ABCDEF", "lower": "abcdefghijklmnopqrstuvwxyz", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "0123456789abcdefghijklmnopqrstuvwxyz", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+    random, planted, rows = np.random.default_rng(5), {}, []
+    for name, alphabet in alphabets.items():
+        for k in range(60):
+            planted[len(rows)] = name
+            rows.append("".join(random.choice(list(alphabet), 24 + k % 41)))
+    written = "the bridge over the river was built by people of this town in one dry summer and stood there for two hundred years until water rose above its road".split()
+    for k in range(300):
+        chosen = [str(w) for w in random.choice(written, 6)]
+        rows.append([str.join("-", chosen), "".join(w.title() for w in chosen), "".join(chosen), "/".join([*chosen, "2024", "11"]), "_".join(chosen).upper()][k % 5])
+    rows += ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "x" * 40, "1234567890" * 4, "=" * 30, "-" * 25 + "=="]
+    docs = spark.createDataFrame([(i, f"see {x} here") for i, x in enumerate(rows)], "doc_id long, text string")
+    out = {r.doc_id: r for r in secret_scan.scan(docs).collect()}
+    found = Counter(planted[i] for i in planted if out[i].n_random)
+    assert all(found[name] >= 54 for name in alphabets), found
+    assert sum(out[i].n_random for i in range(len(planted), len(rows))) <= 3
+    assert all(f"random:4:{4 + len(rows[i])}" == out[i].spans for i in planted if out[i].n_random and not out[i].n_hex)
+
+
 def _packed(docs, texts_of):
     from tokenizers import Tokenizer
 
