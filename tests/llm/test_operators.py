@@ -247,10 +247,67 @@ def test_language_model(documents, texts):
         w = [*words(texts[r.doc_id]), "\n"]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (not training[r.doc_id], len(w), sum(counts[x] > 0 for x in w), n)
         assert math.isclose(r.base_score, sum(math.log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), rel_tol=1e-9)
+    seq = {i: ["\t", *words(t), "\n"] for i, t in texts.items()}
+    hashed = {w: int(h) >> 60 for w, h in ((w, lm_score.hashes(pa.array([w]))[0]) for w in {x for q in seq.values() for x in q})}
+    one = lambda w: (counts[w] + 0.5) / (n + 0.5 * (v + 1))
+    two, three = defaultdict(Counter), defaultdict(Counter)
+    for i, q in seq.items():
+        if training[i]:
+            for a, b in zip(q, q[1:]):
+                two[a, hashed[b]][b] += 1
+            for a, b, c in zip(q, q[1:], q[2:]):
+                three[a, b][c] += 1
+    share = [0.5 / 16 / (n + 0.5 * (v + 1))] * 16
+    for w in counts:
+        share[hashed[w]] += one(w)
+    begins = Counter(q[0] for i, q in seq.items() if training[i])
+
+    def second(a, b):
+        s, of = hashed[b], two[a, hashed[b]]
+        all_ = sum(of.values())
+        inside = (max(of[b] - 0.75, 0) + 0.75 * len(of) * one(b) / share[s]) / all_ if all_ else one(b) / share[s]
+        return (all_ + 16 * share[s]) / ((begins if a == "\t" else counts)[a] + 16) * inside
+
+    def third(a, b, c):
+        of = three[a, b]
+        all_ = sum(of.values())
+        return (max(of[c] - 0.75, 0) + 0.75 * len(of) * second(b, c)) / all_ if all_ else second(b, c)
+
+    for r in rows:
+        q = seq[r.doc_id]
+        want = math.log10(second(q[0], q[1])) + sum(math.log10(third(*x)) for x in zip(q, q[1:], q[2:]))
+        assert abs(r.score - want) <= 4 / lm_score.STEPS * r.n_tokens
+    for a, b in (("\t", seq[min(seq)][1]), (seq[min(seq)][1], seq[min(seq)][2])):
+        unknown = 1 - sum(third(a, b, c) for c in counts)
+        assert 0 < unknown < 0.01
     held = [r for r in rows if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_trie_searches_its_ranges():
+    random = np.random.default_rng(3)
+    for top in (5, 1000, 1 << 40):
+        values = np.sort(random.integers(0, top, 3000).astype(np.uint64))
+        packed = lm_score.EliasFano.packed(values)
+        opened, end = lm_score.EliasFano.opened(np.frombuffer(packed, np.uint8), 0)
+        assert end == len(packed) and (opened[np.arange(3000)] == values).all()
+        wanted = random.integers(0, top, 500).astype(np.uint64)
+        begin = random.integers(0, 3000, 500)
+        stop = np.minimum(begin + random.integers(0, 900, 500), 3000)
+        for w, b, e, at in zip(wanted, begin, stop, opened.find(wanted, begin, stop), strict=True):
+            assert at == next((k for k in range(b, e) if values[k] == w), -1)
+    node, other = np.uint64(7 << 28), np.uint64(9 << 28)
+    pairs = np.array([node | np.uint64(3), node | np.uint64(5), other | np.uint64(3)], np.uint64)
+    packed = lm_score.trie(pairs, np.array([4, 2, 1]), np.array([0, 0, 1]), np.array([8, 9, 8], np.uint64), np.array([3, 1, 2]), 7)
+    with lm_score.Trie(packed) as opened:
+        nodes, second, thirds = opened.codes(pairs, np.array([0, 0, 1, 1, 2]), np.array([8, 9, 8, 9, 8], np.uint64))
+    got = lm_score.restored(thirds, 0.0)
+    assert np.allclose(got, [2.25 / 4, 0.25 / 4, 1.25 / 2, 0, 0], rtol=1e-3)
+    assert np.allclose(lm_score.restored(second[:, 0], 0.0), [3.25 / 6, 1.25 / 6, 0.25], rtol=1e-3)
+    assert np.allclose(lm_score.restored(second[:, 1], 1.0), [1.5 / 4, 0.75 / 2, 1], rtol=1e-3)
+    assert np.allclose(lm_score.restored(nodes, 0.0), [[1.5 / 6, 6 / 7], [0.75, 1 / 7]], rtol=1e-3)
+
+
 def test_quality_base(documents, texts):
     for r in quality.judge(documents, queries.QUALITY_MODEL).collect():
         w, text = words(texts[r.doc_id], lower=False), texts[r.doc_id]
