@@ -69,6 +69,20 @@ def test_url_filter_matches_duckdb(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_url_templates_branch_and_decide(spark):
+    rules = (("block", "a.com", "/shop/x"), ("allow", "a.com", "/news/x"))
+    paths = [f"/shop/x{k}" for k in range(30)] + [f"/news/x{k}/a/b" for k in range(30)]
+    free = {f"/shop/{k}": "block" for k in range(20)} | {f"/news/{k}/a/b": "allow" for k in range(20)}
+    urls = [f"http://a.com{p}" for p in [*paths, *free]] + [f"http://b.com/{s}/{k}" for s, n in (("en", 60), ("fr", 6), ("es", 7)) for k in range(n)] + ["http://c.com/1/2/3", "http://c.com", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows = url_filter.judge(pages, rules=rules).collect()
+    assert len(rows) == len(urls)
+    assert {r.path: r.verdict for r in rows if r.host == "a.com" and r.rule is None} == free
+    assert {r.template for r in rows if r.host == "a.com"} == {"/shop/*", "/news/*/a/b"}
+    assert {(r.path.split("/")[1], r.template) for r in rows if r.host == "b.com"} == {("en", "/en/*"), ("fr", "/*/*"), ("es", "/*/*")}
+    assert {r.template for r in rows if r.host in ("c.com", "")} == {"/**"}
+
+
 def test_secret_base_spans(documents, texts):
     got = {r.doc_id: r for r in secret_scan.scan(documents).collect()}
     assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
