@@ -55,18 +55,29 @@ TABLE = byte_table()
 
 
 def squeezed(values: np.ndarray) -> bytes:
-    """An array's byte planes, compressed: most counts, codes and token numbers are small or alike."""
+    """An array's byte planes, each a compressed block of its own: most counts, codes and token numbers are small or alike."""
     if not values.size:
         return b""
     planes = np.ascontiguousarray(values.ravel()).view(np.uint8).reshape(-1, values.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    stream = zstandard.ZstdCompressor(level=1).compressobj()
+    return b"".join(part for plane in planes for part in (stream.compress(plane.tobytes()), stream.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK))) + stream.flush()
 
 
 def unsqueezed(data: bytes, kind: str) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data) if len(data) else b"", np.uint8)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompressobj().decompress(data) if len(data) else b"", np.uint8)
     return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+def steps_of(keys: np.ndarray) -> np.ndarray:
+    """The differences of sorted keys, which squeeze better."""
+    return np.diff(keys, prepend=np.uint64(0))
+
+
+def records(codes: np.ndarray) -> np.ndarray:
+    """Pairs of 16-bit codes as 32-bit records."""
+    return np.ascontiguousarray(codes).view("<u4").ravel()
+
+
 class EliasFano:
     """A non-decreasing sequence of integers below 2^64, quasi-succinct, over any buffer."""
 
@@ -225,7 +236,7 @@ def pair_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Documents as blocks: block, ids, training, sizes (tokens, the end counted), vocabulary (sorted hashes), tokens (32-bit indices into it), both squeezed."""
+    """Documents as blocks: block, ids, training, sizes (tokens, the end counted), vocabulary (steps of sorted hashes), tokens (32-bit indices into it), both squeezed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -241,7 +252,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 ids = batch.column("i")
                 training = [zlib.crc32(("" if i is None else str(i)).encode()) % FOLDS != HELD_OUT for i in ids.to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([training], pa.list_(pa.bool_())), pa.array([words.counts + 1], pa.list_(pa.int64())), pa.array([squeezed(hashed[order])], pa.binary()), pa.array([squeezed(tokens)], pa.binary())],
+                    [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([training], pa.list_(pa.bool_())), pa.array([words.counts + 1], pa.list_(pa.int64())), pa.array([squeezed(steps_of(hashed[order]))], pa.binary()), pa.array([squeezed(tokens)], pa.binary())],
                     names=["block", "ids", "training", "sizes", "vocabulary", "tokens"],
                 )
                 number += 1
@@ -267,7 +278,7 @@ class Grams(NamedTuple):
 def _words(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a block's row: vocabulary, tokens, sizes, each token's training mark."""
     sizes = np.asarray(row["sizes"], np.int64)
-    return unsqueezed(row["vocabulary"], "<u8"), unsqueezed(row["tokens"], "<i4"), sizes, np.repeat(np.asarray(row["training"], bool), sizes)
+    return np.cumsum(unsqueezed(row["vocabulary"], "<u8")), unsqueezed(row["tokens"], "<i4"), sizes, np.repeat(np.asarray(row["training"], bool), sizes)
 
 
 def _grams(row: dict) -> Grams:
@@ -302,7 +313,7 @@ def _asked_words(table: DataFrame, bits: int) -> DataFrame:
                 keys, tokens, _, training = _words(row)
                 counts = np.bincount(tokens[training], minlength=len(keys)).astype("<u4")
                 spans = _shard_spans(keys, bits)
-                out = [(shard, row["block"], squeezed(keys[a:b]), squeezed(counts[a:b])) for shard, a, b in spans]
+                out = [(shard, row["block"], squeezed(steps_of(keys[a:b])), squeezed(counts[a:b])) for shard, a, b in spans]
                 yield pa.RecordBatch.from_pylist([dict(zip(("shard", "block", "keys", "counts"), r, strict=True)) for r in out], schema=_schema(("keys", "counts")))
 
     return table.mapInArrow(run, "shard long, block long, keys binary, counts binary")
@@ -321,7 +332,7 @@ def _asked_grams(table: DataFrame, bits: int) -> DataFrame:
                 ends = _pointers((g.triples >> np.uint64(WORD_BITS)).astype(np.int64), len(g.pairs)).astype(np.int64)
                 fans, thirds = np.diff(ends).astype("<u4"), (g.triples & WORD_MASK).astype("<u4")
                 for shard, a, b in _shard_spans(g.pairs, bits):
-                    parts = (g.pairs[a:b], counts[a:b], fans[a:b], thirds[ends[a] : ends[b]], third_counts[ends[a] : ends[b]])
+                    parts = (steps_of(g.pairs[a:b]), counts[a:b], fans[a:b], thirds[ends[a] : ends[b]], third_counts[ends[a] : ends[b]])
                     yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([row["block"]], pa.int64()), *(pa.array([squeezed(x)], pa.binary()) for x in parts)], names=["shard", "block", *names])
 
     return table.mapInArrow(run, "shard long, block long, " + ", ".join(f"{n} binary" for n in names))
@@ -331,14 +342,16 @@ def _schema(binaries: tuple[str, ...], *longs: str) -> pa.Schema:
     return pa.schema([("shard", pa.int64()), ("block", pa.int64()), *((n, pa.binary()) for n in binaries), *((n, pa.int64()) for n in longs)])
 
 
-def _arrays(column: pa.ChunkedArray, kind: str) -> list[np.ndarray]:
-    """The squeezed arrays of a column's rows; those of null rows are empty."""
-    return [unsqueezed(v.as_buffer() if v.is_valid else b"", kind) for v in column]
+def _joined(column: pa.ChunkedArray, kind: str, steps: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The squeezed arrays of a column's rows, one after the other, and where each but the first begins; null is empty."""
+    arrays = [unsqueezed(v.as_buffer() if v.is_valid else b"", kind) for v in column]
+    if steps:
+        arrays = [np.cumsum(x) for x in arrays]
+    return np.concatenate(arrays), np.cumsum([len(x) for x in arrays])[:-1]
 
 
-def _parts(values: np.ndarray, like: list[np.ndarray]) -> list[bytes]:
-    """Values, squeezed, in parts as long as these arrays."""
-    return [squeezed(part) for part in np.split(values, np.cumsum([len(x) for x in like])[:-1])]
+def _parts(values: np.ndarray, begins: np.ndarray) -> list[bytes]:
+    return [squeezed(part) for part in np.split(values, begins)]
 
 
 #: The block of a row with a word shard's own types and total.
@@ -349,10 +362,10 @@ def _answered_words(asked: DataFrame) -> DataFrame:
     """Every word shard's training counts for the blocks, and its types and total under the block TOTALS."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys = _arrays(table["keys"], "<u8")
-        every, at = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(at, np.concatenate(_arrays(table["counts"], "<u4")), len(every)).astype("<i8")
-        answers = _parts(total[at], keys)
+        keys, begins = _joined(table["keys"], "<u8", steps=True)
+        every, at = np.unique(keys, return_inverse=True)
+        total = np.bincount(at, _joined(table["counts"], "<u4")[0], len(every)).astype("<i8")
+        answers = _parts(total[at], begins)
         n = len(answers)
         return pa.table([pa.array([table["shard"][0].as_py()] * (n + 1)), pa.array([*table["block"].to_pylist(), TOTALS]), pa.array([*answers, b""], pa.binary()), pa.array([0] * n + [int((total > 0).sum())]), pa.array([0] * n + [int(total.sum())])], schema=_schema(("counts",), "types", "total"))
 
@@ -363,13 +376,13 @@ def _answered_grams(asked: DataFrame, tokens: int) -> DataFrame:
     """Every trie's codes for the blocks: of their nodes, pairs and third words there, in the blocks' order."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, below_keys = _arrays(table["keys"], "<u8"), _arrays(table["thirds"], "<u4")
-        every, at = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(at, np.concatenate(_arrays(table["counts"], "<u4")), len(every))
-        fans = np.concatenate(_arrays(table["fans"], "<u4"))
-        below = np.repeat(at, fans).astype(np.uint64) << np.uint64(WORD_BITS) | np.concatenate(below_keys)
+        keys, begins = _joined(table["keys"], "<u8", steps=True)
+        every, at = np.unique(keys, return_inverse=True)
+        total = np.bincount(at, _joined(table["counts"], "<u4")[0], len(every))
+        words, third_begins = _joined(table["thirds"], "<u4")
+        below = np.repeat(at, _joined(table["fans"], "<u4")[0]).astype(np.uint64) << np.uint64(WORD_BITS) | words
         triples, triple = np.unique(below, return_inverse=True)
-        third_total = np.bincount(triple, np.concatenate(_arrays(table["third_counts"], "<u4")), len(triples))
+        third_total = np.bincount(triple, _joined(table["third_counts"], "<u4")[0], len(triples))
         parents, thirds = (triples >> np.uint64(WORD_BITS)).astype(np.int64), triples & WORD_MASK
         seen, third_seen = total > 0, third_total > 0
         place = np.cumsum(seen) - 1
@@ -377,8 +390,9 @@ def _answered_grams(asked: DataFrame, tokens: int) -> DataFrame:
         with Trie(packed) as opened:
             node_codes, pair_codes, third_codes = opened.codes(every, parents, thirds)
         nodes = np.unique(every >> np.uint64(WORD_BITS))
-        own = [squeezed(node_codes[np.searchsorted(nodes, np.unique(k >> np.uint64(WORD_BITS)))]) for k in keys]
-        answers = (own, _parts(pair_codes[at], keys), _parts(third_codes[triple], below_keys))
+        node_records = records(node_codes)
+        own = [squeezed(node_records[np.searchsorted(nodes, np.unique(k >> np.uint64(WORD_BITS)))]) for k in np.split(keys, begins)]
+        answers = (own, _parts(records(pair_codes)[at], begins), _parts(third_codes[triple], third_begins))
         return pa.table([table["shard"].combine_chunks(), table["block"].combine_chunks(), *(pa.array(a, pa.binary()) for a in answers)], schema=_schema(("nodes", "pairs", "thirds")))
 
     return asked.groupBy("shard").applyInArrow(run, "shard long, block long, nodes binary, pairs binary, thirds binary")
@@ -409,9 +423,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("shard")
-        counts = np.concatenate(_arrays(right["counts"], "<i8"))
-        nodes, pairs = (np.concatenate(_arrays(right[c], "<u2")).reshape(-1, 2) for c in ("nodes", "pairs"))
-        thirds = np.concatenate(_arrays(right["thirds"], "<u2"))
+        counts, thirds = _joined(right["counts"], "<i8")[0], _joined(right["thirds"], "<u2")[0]
+        nodes, pairs = (_joined(right[c], "<u4")[0].view("<u2").reshape(-1, 2) for c in ("nodes", "pairs"))
         out: dict[str, list] = {k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")}
         for row in left.to_pylist():
             g = _grams(row)
