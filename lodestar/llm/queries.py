@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_extract, line_dedup, lm_score, near_dedup, packing, quality, secret_scan, url_filter, warc
+from . import decontam, divergence, html_extract, line_dedup, lm_score, near_dedup, packing, quality, secret_scan, url_filter, warc
 
 #: The folder of the public tokenizers' files.
 TOKENIZERS = "/opt/tokenizers"
@@ -56,9 +56,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_read(spark, sf_dir, "documents"), QUALITY_MODEL)
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of all sources of a language and the terms that set each apart; nulls are empty strings."""
+    return divergence.audit(_read(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_secrets, op4_packing, op5_near_dedup, op6_html, op7_warc, op8_decontamination, op9_lm_score, op10_quality)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_secrets, op4_packing, op5_near_dedup, op6_html, op7_warc, op8_decontamination, op9_lm_score, op10_quality, op13_source_divergence)}
 
 
 def oracle_sql():
-    return {"op2_url_filter": url_filter.oracle_sql()}
+    return {"op2_url_filter": url_filter.oracle_sql(), "op13_source_divergence": divergence.oracle_sql()}

@@ -166,3 +166,53 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 8 << 20):
         total += n
     if begin < batch.num_rows:
         yield batch.slice(begin)
+
+
+class Runs:
+    """The words of a batch of texts, cut where a table of bytes says so, A-Z in lower case.
+
+    kinds maps a byte to 0 (part of a word), 1 (between words) or 2 (between words, and ends a piece of text). Row i
+    has codes[starts[i]:starts[i + 1]], codes index vocabulary; words of one piece have the same number in pieces().
+    """
+
+    def __init__(self, texts: pa.Array, kinds: np.ndarray):
+        _, offsets, data = texts.buffers()
+        bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.empty(0, np.uint8)
+        bounds = bounds - bounds[0]
+        self.kind = kinds[data]
+        word = self.kind == 0
+        first, last = word.copy(), word.copy()
+        first[1:] &= ~word[:-1]
+        last[:-1] &= ~word[1:]
+        filled = bounds[:-1][np.diff(bounds) > 0]
+        first[filled] = word[filled]
+        final = bounds[1:][np.diff(bounds) > 0] - 1
+        last[final] = word[final]
+        self.begins = np.flatnonzero(first)
+        lengths = np.flatnonzero(last) + 1 - self.begins
+        ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        spelled = byte_table()[data[word]]
+        words = pa.Array.from_buffers(pa.large_string(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(spelled)]).dictionary_encode()
+        self.codes, self.vocabulary = words.indices.to_numpy(zero_copy_only=False), words.dictionary
+        self.starts = np.searchsorted(self.begins, bounds)
+
+    @property
+    def counts(self) -> np.ndarray:
+        return np.diff(self.starts)
+
+    def rows(self) -> np.ndarray:
+        """The row of each word."""
+        return np.repeat(np.arange(len(self.starts) - 1), self.counts)
+
+    def pieces(self) -> np.ndarray:
+        """A number for each word that grows from one piece of text to the next."""
+        return np.cumsum(self.kind == 2, dtype=np.int32)[self.begins] + self.rows()
+
+
+def byte_kinds(*between: str, ends: str = "") -> np.ndarray:
+    """A table for Runs: the ASCII characters of the strings of between separate words, those of ends pieces too."""
+    kinds = np.zeros(256, np.uint8)
+    kinds[np.frombuffer("".join(between).encode(), np.uint8)] = 1
+    kinds[np.frombuffer(ends.encode(), np.uint8)] = 2
+    return kinds
