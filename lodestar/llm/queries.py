@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, divergence, html_extract, line_dedup, lm_score, near_dedup, packing, quality, secret_scan, url_filter, warc
+from . import decontam, divergence, html_extract, id_files, line_dedup, lm_score, near_dedup, packing, quality, secret_scan, url_filter, warc
 
-#: The folder of the public tokenizers' files.
-TOKENIZERS = "/opt/tokenizers"
-TOKENIZER = f"{TOKENIZERS}/word_bpe_49k.json"
-QUALITY_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
+#: Files of the public tokenizers.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+QUALITY_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,13 +57,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_read(spark, sf_dir, "documents"), QUALITY_MODEL)
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents written to files of byte planes and read back; a null text has its end id alone."""
+    return id_files.round_trip(_read(spark, sf_dir, "documents"), BYTE_TOKENIZER)
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances of all sources of a language and the terms that set each apart; nulls are empty strings."""
     return divergence.audit(_read(spark, sf_dir, "documents"))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_secrets, op4_packing, op5_near_dedup, op6_html, op7_warc, op8_decontamination, op9_lm_score, op10_quality, op13_source_divergence)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_secrets, op4_packing, op5_near_dedup, op6_html, op7_warc, op8_decontamination, op9_lm_score, op10_quality, op12_token_files, op13_source_divergence)}
 
 
 def oracle_sql():
