@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, divergence, html_extract, id_files, line_dedup, lm_score, near_dedup, packing, quality, secret_scan, url_filter, warc
+from . import decontam, divergence, html_extract, id_files, line_dedup, lm_score, near_dedup, packing, phrases, quality, secret_scan, url_filter, warc
 
 #: Files of the public tokenizers.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -57,6 +57,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_read(spark, sf_dir, "documents"), QUALITY_MODEL)
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of each language whose words keep together most; null texts are empty."""
+    return phrases.mine(_read(spark, sf_dir, "documents"))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents written to files of byte planes and read back; a null text has its end id alone."""
     return id_files.round_trip(_read(spark, sf_dir, "documents"), BYTE_TOKENIZER)
@@ -68,8 +73,8 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_secrets, op4_packing, op5_near_dedup, op6_html, op7_warc, op8_decontamination, op9_lm_score, op10_quality, op12_token_files, op13_source_divergence)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_secrets, op4_packing, op5_near_dedup, op6_html, op7_warc, op8_decontamination, op9_lm_score, op10_quality, op11_phrases, op12_token_files, op13_source_divergence)}
 
 
 def oracle_sql():
-    return {"op2_url_filter": url_filter.oracle_sql(), "op13_source_divergence": divergence.oracle_sql()}
+    return {"op2_url_filter": url_filter.oracle_sql(), "op11_phrases": phrases.oracle_sql(), "op13_source_divergence": divergence.oracle_sql()}
