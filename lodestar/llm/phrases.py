@@ -33,7 +33,7 @@ LEAST_COUNT, LONGEST, TOP = 30, 4, 2000
 #: A score is floor(SCALE a / (l + r)); a phrase goes if a longer one has COVERED percent of its count.
 SCALE, COVERED = 2_000_000, 80
 #: Bytes of text in a shard, and words of text behind one range of prefixes.
-SHARD_BYTES, RANGE_WORDS = 16 << 20, 2_000_000
+SHARD_BYTES, RANGE_WORDS = 8 << 20, 2_000_000
 #: Bits of a filter at most, bits for each key below that, bits in a chunk of it that one task packs.
 FILTER_BITS, KEY_BITS, CHUNK_BITS = 1 << 28, 16, 1 << 16
 #: A word or pair with more than this share of all words is hot, so there are fewer hot ones than its inverse.
