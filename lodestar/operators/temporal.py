@@ -22,6 +22,34 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str,
     return found.where("__side = 1").select(*keys, time, *(F.col(f"__row.{c}").alias(c) for c in kept), as_)
 
 
+def asof_join_sliced(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, values: Sequence[str], slice_seconds: int) -> DataFrame:
+    """left plus values: those of right's latest row of the same keys at or before left's time, null if there is none.
+
+    Time is cut into slices, and a key's slices are sorted by different tasks; what the latest row before a slice
+    carries into it comes from one row for each key and slice. So a key with most rows is no task's alone, and the
+    work of a slice is bounded by its length. Of right rows at one time the one of the largest values counts; rows with a
+    null key or time match nothing and are matched by nothing. Columns of left keep their names; values must not be among them.
+    """
+    kept = [c for c in left.columns if c not in (*keys, time)]
+    cut = F.floor(F.unix_micros(F.col(time).cast("timestamp")) / (slice_seconds * 1_000_000))
+    found = F.struct(*values)
+    a = left.select(*keys, time, F.lit(1).alias("__side"), F.struct(F.lit(0).alias("__"), *kept).alias("__row"))
+    b = right.dropna(subset=[*keys, time]).select(*keys, time, F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), found.alias("__found"))
+    rows = a.withColumn("__found", F.lit(None).cast(b.schema["__found"].dataType)).unionByName(b).withColumn("__slice", cut)
+    # One row for each key and slice, summed up before the shuffle.
+    ends = rows.groupBy(*keys, "__slice").agg(F.max(F.when(F.col("__side") == 0, F.struct(time, "__found"))).alias("__end"))
+    before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, "__slice", F.last("__end", ignorenulls=True).over(before).alias("__carried"))
+    within = Window.partitionBy(*keys, "__slice").orderBy(time, "__side", "__found").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = rows.withColumn("__found", F.last("__found", ignorenulls=True).over(within)).where("__side = 1")
+    same = [here[c].eqNullSafe(carried[c]) for c in (*keys, "__slice")]
+    met = here.join(carried, same, "left").select(*(here[c] for c in (*keys, time)), *(F.col("__row")[c].alias(c) for c in kept), F.coalesce("__found", "__carried.__found").alias("__found"))
+    known = F.lit(True)
+    for c in (*keys, time):
+        known &= F.col(c).isNotNull()
+    return met.select(*keys, time, *kept, *(F.when(known, F.col("__found")[v]).alias(v) for v in values))
+
+
 def overlaps(spans: DataFrame, key: str, start: str, end: str, id_col: str, bucket_seconds: int) -> DataFrame:
     """(a, b, key) of pairs of one key whose half-open spans overlap, a < b.
 
@@ -52,8 +80,14 @@ def day_runs(events: DataFrame, key: str, time: str, least: int) -> DataFrame:
 
 
 def funnel(events: DataFrame, key: str, time: str, step: str, steps: Sequence[str]) -> DataFrame:
-    """(key, reached): how many of steps each key went through in this order, by the earliest time each could happen."""
-    reached = F.lit(0)
-    ordered = F.array_sort(F.collect_list(F.struct(time, step)))
-    state = F.aggregate(ordered, reached, lambda n, e: F.when(e[step] == F.get(F.array(*map(F.lit, steps)), n), n + 1).otherwise(n))
-    return events.where(F.col(step).isin(*steps)).groupBy(key).agg(state.alias("reached"))
+    """(key, reached): how many of steps each key went through in this order, by the earliest time each could happen.
+
+    Step by step, the earliest time of each key is a grouped minimum after the time of the step before, which tasks take
+    before the shuffle; no task holds a key's history. Keys with an event of any step are returned.
+    """
+    own = events.where(F.col(step).isin(*steps)).select(F.col(key), F.col(time).alias("__t"), F.col(step).alias("__s"))
+    out = own.groupBy(key).agg(F.min(F.when(F.col("__s") == steps[0], F.col("__t"))).alias("__1"))
+    for n, name in enumerate(steps[1:], 2):
+        later = own.where(F.col("__s") == name).join(out.select(key, F.col(f"__{n - 1}").alias("__after")), key).where("__t > __after")
+        out = out.join(later.groupBy(key).agg(F.min("__t").alias(f"__{n}")), key, "left")
+    return out.select(key, sum((F.col(f"__{n}").isNotNull().cast("int") for n in range(1, len(steps) + 1)), F.lit(0)).alias("reached"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 FORMATS = ("parquet", "orc", "json", "csv", "text")
@@ -41,6 +42,24 @@ def events_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def arriving(events: DataFrame, arrival: Column) -> DataFrame:
+    """The rows of a table as a stream of files, one a batch, in the order of arrival (an integer of each row).
+
+    Each arrival is one file, so it should be a span of rows that one task can write; times of modification, which
+    the file source goes by, are set in order. Null arrivals come first.
+    """
+    spark, path = events.sparkSession, f"{work_folder(events.sparkSession)}/arrivals-{uuid.uuid4().hex}"
+    events.withColumn("__arrival", arrival.cast("int")).repartition("__arrival").write.partitionBy("__arrival").parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [(int(str(f.getPath().getName()).rpartition("=")[2]) if "HIVE" not in f.getPath().getName() else -(1 << 31), f.getPath()) for f in fs.listStatus(root) if f.isDirectory()]
+    for k, (_, folder) in enumerate(sorted(found, key=lambda x: x[0])):
+        for f in fs.listStatus(folder):
+            fs.setTimes(f.getPath(), 1_600_000_000_000 + 60_000 * k, -1)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+
+
 _own: dict[str, str] = {}
 
 
@@ -55,3 +74,8 @@ def work_folder(spark: SparkSession) -> str:
         _own["dir"] = tempfile.mkdtemp(prefix="lodestar-")
         atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
     return f"file://{_own['dir']}"
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -44,22 +44,29 @@ def first_of_each(events: DataFrame, keys: list[str], lateness: str = LATENESS)
     return events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(keys)
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+def drained(stream: DataFrame, mode: str = "append", **conf: str) -> DataFrame:
     """Run a stream over all that its source has now and return what it wrote, as Parquet in the shared folder.
 
     Append mode adds files batch by batch; complete mode writes each batch's whole result to a folder of its own,
-    of which the last counts. No result passes through the driver.
+    of which the last counts. No result passes through the driver. conf is set while the stream starts.
     """
     spark, folder = stream.sparkSession, f"{work_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
-    if mode == "append":
-        writer.format("parquet").option("path", f"{folder}/out").start().awaitTermination()
-        return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    before = {k: spark.conf.get(k, None) for k in conf}
     last: list[int] = []
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out-{number}")
         last[:] = [number]
 
-    writer.foreachBatch(save).start().awaitTermination()
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        writer = writer.format("parquet").option("path", f"{folder}/out") if mode == "append" else writer.foreachBatch(save)
+        writer.start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    if mode == "append":
+        return spark.read.schema(stream.schema).parquet(f"{folder}/out")
     return spark.read.schema(stream.schema).parquet(f"{folder}/out-{last[0]}") if last else spark.createDataFrame([], stream.schema)
