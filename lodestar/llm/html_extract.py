@@ -1,11 +1,13 @@
 """Main text of web pages by the line-block distribution.
 
-Markup is stripped into lines, one per block of the page. Lines inside what is never main text (navigation,
-header, footer, asides, adverts, forms, scripts, comments of readers, ...) weigh nothing; where the page
-names its article, so do the lines outside it, and the lines inside are the main text. Where it names none,
-text and links decide: a line weighs its characters outside links, or nothing if most are in links. Sums over
-sliding windows rise above a threshold at a surge point and fall below half of it at a dive point; the lines
-between them, from the first to the last that is heavy for its window, are the main text.
+Markup is stripped into lines, one per block of the page, and every line has a weight: its characters outside links,
+or nothing if most are in links or it is a copyright line. What elements, classes and roles say changes weights.
+Lines inside what is never main text (navigation, header, footer, asides, forms, scripts, ...) weigh nothing, nor do
+those of parts whose class or role names boilerplate; but where hinted parts alone hold a page's text, only hints of
+adverts, notices of cookies and readers' comments count. Where the page names its article, lines in it weigh a surge more
+and others nothing, unless the page has far more text outside, as around a teaser. Then, on every page, sums over
+sliding windows rise above a threshold at a surge point and fall below half of it at a dive point; the lines between
+them, from the first to the last that is heavy for its window, are the main text.
 """
 
 from __future__ import annotations
@@ -33,6 +35,12 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 #: Class, id and role words of parts that are no main text.
 HINT = re.compile(r"(?:^|[\s_-])(?<!has-)(?<!with-)(?<!no-)(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|header|footer|masthead|sidebar|aside|widget|related|share|social|comments?|discussion|respond|disqus|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|login|signup|contentinfo|complementary|navigation|search)(?:$|[\s_-])", re.I)
+#: Of these, the ones that count even where hinted parts hold all text.
+HINT_STRONG = re.compile(r"(?:^|\s)(?:ads?|advert\w*|sponsor\w*|comments?|respond|replies|disqus|cookies?|consent|popup|modal)(?:$|[\s_-])", re.I)
+#: Beginnings of a line that is no main text anywhere.
+RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b|all rights reserved\b)", re.I)
+#: An article is a teaser if there is so many times its text outside it.
+TEASER = 3
 #: Of an article's own class, only these.
 HINT_MAIN = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|related|teaser|comments?|respond|replies)(?:$|[\s_-])", re.I)
 MAIN = {"article": 2, "main": 1}
@@ -44,13 +52,17 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s/=]|$)|aria-hidden\s*=\s*[\"']?true|d
 _SPACE = re.compile(r"\s+")
 
 
-def blocks(page: str) -> list[tuple[str, bool, int, int, bool]]:
-    """(text, is in a part that is never main text, 2 in an article or 1 in a main element, characters in links, is a heading) of every block, in page order."""
-    out: list[tuple[str, bool, int, int, bool]] = []
-    stack: list[tuple[str, bool]] = []
+#: What tells against a line: nothing, a hint, a hint that always counts, an element that is never main text.
+FREE, HINTED, STRONG, NEVER_MAIN = range(4)
+
+
+def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
+    """(text, what tells against it, 2 in an article or 1 in a main element, characters in links, is a heading) of every block, in page order."""
+    out: list[tuple[str, int, int, int, bool]] = []
+    stack: list[tuple[str, int]] = []
     words: list[str] = []
     linked: list[str] = []
-    never, named = 0, {"article": 0, "main": 0}
+    against, named = [0, 0, 0, 0], {"article": 0, "main": 0}
     position = 0
 
     def flush() -> None:
@@ -60,7 +72,7 @@ def blocks(page: str) -> list[tuple[str, bool, int, int, bool]]:
         linked.clear()
         if text:
             level = max(MAIN[k] for k, n in named.items() if n) if any(named.values()) else 0
-            out.append((text, never > 0, level, in_links, any(name in HEADINGS for name, _ in stack)))
+            out.append((text, max((k for k in (1, 2, 3) if against[k]), default=FREE), level, in_links, any(name in HEADINGS for name, _ in stack)))
 
     def add(text: str) -> None:
         words.append(text)
@@ -85,7 +97,7 @@ def blocks(page: str) -> list[tuple[str, bool, int, int, bool]]:
             at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), -1)
             if at >= 0:
                 for other, no in stack[at:]:
-                    never -= no
+                    against[no] -= 1
                     if other in named:
                         named[other] -= 1
                 del stack[at:]
@@ -94,9 +106,9 @@ def blocks(page: str) -> list[tuple[str, bool, int, int, bool]]:
             continue
         hints = " ".join(next(filter(None, m.groups()), "") for m in _HINTED.finditer(tag[3]))
         hinted = bool((HINT_MAIN if name in MAIN else HINT).search(hints)) and name not in ("html", "body")
-        no = name in NEVER or hinted or bool(_HIDDEN.search(tag[3]))
+        no = NEVER_MAIN if name in NEVER or _HIDDEN.search(tag[3]) else FREE if not hinted else STRONG if HINT_STRONG.search(hints) else HINTED
         stack.append(("anchor" if name == "a" and not _HREF.search(tag[3]) else name, no))
-        never += no
+        against[no] += 1
         if name in named:
             named[name] += 1
         if name in RAW:
@@ -123,13 +135,31 @@ def region_lines(weights: np.ndarray, headings: list[bool], window: int, least:
     return kept & (weights > 0)
 
 
+def weighed(lines: list[tuple[str, int, int, int, bool]], window: int, least: float) -> np.ndarray:
+    """The weight of every line."""
+    mass = np.array([0 if 2 * linked > len(text) or RIGHTS.match(text) else len(text) - linked for text, _, _, linked, _ in lines], np.int64)
+    against, level = (np.array([line[k] for line in lines]) for k in (1, 2))
+
+    def surges(weights: np.ndarray) -> bool:
+        return bool(len(weights)) and np.convolve(weights, np.ones(window, np.int64)).max() >= least
+
+    allowed = FREE if surges(np.where(against == FREE, mass, 0)) or not surges(np.where(against <= HINTED, mass, 0)) else HINTED
+    free = against <= allowed
+    weights = np.where(free, mass, 0)
+    named = level[free].max(initial=0)
+    if named:
+        inside = free & (level == named)
+        outside = np.where(inside, 0, weights)
+        if not (surges(outside) and outside.sum() > TEASER * weights[inside].sum()):
+            # A surge more, so that a short line or one of links in an article is heavy for its window.
+            weights = np.where(inside, mass + int(np.ceil(least)), 0)
+    return weights
+
+
 def main_text(page: str, window: int = WINDOW_LINES, least: int = LEAST_SURGE) -> str:
     """The main text of a page, its blocks joined by two line feeds; empty if there is none."""
     lines = blocks(page)
-    named = max((level for _, never, level, _, _ in lines if not never), default=0)
-    if named:
-        return "\n\n".join(text for text, never, level, _, _ in lines if not never and level == named)
-    weights = np.array([0 if never or 2 * linked > len(text) else len(text) - linked for text, never, _, linked, _ in lines], np.int64)
+    weights = weighed(lines, window, least) if lines else np.zeros(0, np.int64)
     if not weights.any():
         return ""
     kept = region_lines(weights, [heading for *_, heading in lines], window, least)
