@@ -94,9 +94,8 @@ def brute_nearest(found, k):
 
 
 def test_nearest_of_all_on_clusters_copies_and_odd_rows(spark, monkeypatch):
-    """Small tiles; a third of the rows is one vector; few rows; nulls and zeros."""
-    for name, value in (("TILE_MEMBERS", 20), ("TILE_VISITS", 30), ("FIRST_CELLS", 1)):
-        monkeypatch.setattr(neighbours, name, value)
+    """Small blocks; a third of the rows is one vector; few rows; nulls and zeros."""
+    monkeypatch.setattr(neighbours, "BLOCK", 20)
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(6, 8))
     found = [(int(i), (centres[i % 6] + 0.1 * rng.normal(size=8)).astype(np.float32).tolist()) for i in rng.permutation(200)]
@@ -108,15 +107,16 @@ def test_nearest_of_all_on_clusters_copies_and_odd_rows(spark, monkeypatch):
     assert rows(neighbours.nearest_of_all(frame.where("false"), 5)) == []
 
 
-def test_bounds_rule_cells_out(spark, monkeypatch):
-    """Vectors in tight clusters meet few cells, and lose no neighbour by it."""
-    seen, met = [], neighbours.met
-    monkeypatch.setattr(neighbours, "met", lambda visits, *a: seen.append(visits.count()) or met(visits, *a))
+def test_bounds_rule_blocks_out(spark, monkeypatch):
+    """Vectors in tight clusters need few tiles, and lose no neighbour by it."""
+    monkeypatch.setattr(neighbours, "BLOCK", 20)
+    needs, meetings = [], neighbours.meetings
+    monkeypatch.setattr(neighbours, "meetings", lambda made, k: needs.extend(len(r.needs) for r in made.select("needs").collect()) or meetings(made, k))
     rng = np.random.default_rng(5)
-    centres = rng.normal(size=(20, 16))
-    found = [(i, (centres[i % 20] + 0.01 * rng.normal(size=16)).astype(np.float32).tolist()) for i in range(400)]
+    centres = rng.normal(size=(10, 16))
+    found = [(i, (centres[i % 10] + 0.01 * rng.normal(size=16)).astype(np.float32).tolist()) for i in range(400)]
     assert rows(neighbours.nearest_of_all(spark.createDataFrame(found, "vec_id long, embedding array<float>"), 5)) == brute_nearest(found, 5)
-    assert sum(seen) < 400 * 20 * 0.75  # of 20 cells
+    assert len(needs) > 10 and sum(needs) < 0.5 * len(needs) ** 2
 
 
 def test_sliced_asof_join_with_a_hot_key(spark):
