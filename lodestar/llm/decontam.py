@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Words, as_array, byte_table, slices, translated
+from .shared import Words, as_array, byte_table, numbered, slices, translated
 
 WINDOW = 10
 #: Words of items in one automaton (about 1 kB each in a task): the proven bound of what is broadcast at once.
@@ -192,9 +192,12 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with the spans of hits cut out of their texts; a document is dropped if more than max_coverage of its words are hit.
 
-    All columns stay; n_chars, if there is one, follows the text. A cut leaves one space; the rest of a text
-    stays as it is. Null and empty texts stay.
+    All columns stay, under any names; n_chars, if there is one, follows the text. A cut leaves one space; the rest of a
+    text stays as it is. Null and empty texts stay; repeated rows are cut each; items without words and an empty table
+    of items change nothing; an empty table stays empty.
     """
+    own, text_at = numbered(docs), docs.columns.index(text_col)
+    text_name, chars_at = f"c{text_at}", docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
     blocks = [docs.sparkSession.sparkContext.broadcast(b) for b in item_blocks(items, item_id, item_text, block_words)]
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -211,8 +214,8 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = Automaton(blocks[0].value, window) if len(blocks) == 1 else None
         for whole in batches:
-            for batch in slices(whole, text_col):
-                column = batch.column(text_col)
+            for batch in slices(whole, text_name):
+                column = batch.column(text_name)
                 texts, spans, sizes = as_array(column), [[] for _ in range(batch.num_rows)], [0] * batch.num_rows
                 for block in blocks:
                     for i, (n, got, _) in enumerate(match(texts, kept or Automaton(block.value, window))):
@@ -222,9 +225,9 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: st
                 keep = [sum(b - a for a, b in s) <= max_coverage * n for s, n in zip(spans, sizes, strict=True)]
                 values = [cut(t, s) if s and k else t for t, s, k in zip(column.to_pylist(), spans, keep, strict=True)]
                 columns = list(batch.columns)
-                columns[batch.schema.get_field_index(text_col)] = pa.array(values, column.type)
-                if (at := batch.schema.get_field_index("n_chars")) >= 0:
-                    columns[at] = pc.utf8_length(columns[batch.schema.get_field_index(text_col)]).cast(columns[at].type)
+                columns[text_at] = pa.array(values, column.type)
+                if chars_at >= 0:
+                    columns[chars_at] = pc.utf8_length(columns[text_at]).cast(columns[chars_at].type)
                 yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return own.mapInArrow(run, own.schema).toDF(*docs.columns)

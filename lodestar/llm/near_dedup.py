@@ -280,6 +280,10 @@ def _verified(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = PERCENT) -> DataFrame:
-    """docs without the near duplicates that groups() marks: of each component the smallest id stays, with all columns."""
+    """docs without the near duplicates that groups() marks: of each component the smallest id stays, with all columns.
+
+    Texts without words, null ones among them, are linked with nothing and stay; rows of one id are one document and stay
+    or go together; an empty table stays empty.
+    """
     out = groups(docs, id_col, text_col, shingle, percent).where("NOT kept").select(F.col("doc_id").alias("__near_duplicate")).distinct()
     return docs.join(out, docs[id_col] == out["__near_duplicate"], "left_anti")

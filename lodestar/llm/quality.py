@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Words, as_array, hashes, mixed, slices, windows
+from .shared import Words, as_array, hashes, mixed, numbered, slices, windows
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 SYMBOLS = "#*$%&|<>"
@@ -173,11 +173,13 @@ def keep_good(docs: DataFrame, model: str, text_col: str = "text", lang_col: str
     each; an empty table stays empty.
     """
 
+    own, (text, lang) = numbered(docs), (f"c{docs.columns.index(c)}" for c in (text_col, lang_col))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, text_col, SLICE_BYTES):
-                kept = _measured(as_array(batch.column(text_col)), batch.column(lang_col).to_pylist(), model)[6]
+            for batch in slices(whole, text, SLICE_BYTES):
+                kept = _measured(as_array(batch.column(text)), batch.column(lang).to_pylist(), model)[6]
                 yield batch.filter(pa.array(kept, pa.bool_()))
         _forget()
 
-    return docs.mapInArrow(run, docs.schema)
+    return own.mapInArrow(run, own.schema).toDF(*docs.columns)

@@ -18,42 +18,52 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its lines that match an earlier one; null and empty texts stay as they are."""
     return line_dedup.dedup(_read(spark, sf_dir, "documents")).select("doc_id", "text")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's rule or template and its verdict; a null url has an empty host and path."""
     return url_filter.judge(_read(spark, sf_dir, "pages"))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base matches and the spans that randomness tests add; a null text has none."""
     return secret_scan.scan(_read(spark, sf_dir, "documents"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence; a null text is its end id alone."""
     return packing.pack(_read(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the smallest id of its component of near duplicates; texts without words are linked with nothing."""
     return near_dedup.groups(_read(spark, sf_dir, "documents"))
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; null and empty pages have an empty one."""
     return html_extract.extract(_read(spark, sf_dir, "pages"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as its record in the archives tells; null html is an empty payload."""
     return warc.round_trip(_read(spark, sf_dir, "pages"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words inside benchmark windows; a null text has none."""
     return decontam.find(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("spans")
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's scores by the unigram base and the model; a null text is its end alone."""
     return lm_score.score(_read(spark, sf_dir, "documents"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts, measures and verdict; a null text has no words and fails."""
     return quality.judge(_read(spark, sf_dir, "documents"), QUALITY_MODEL)
 
 

@@ -68,6 +68,11 @@ def drop_saved(*tables: DataFrame) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ...: functions over batches look columns up by names, which may hold dots or repeat."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
 def sent_if_small(df: DataFrame, rows: int) -> DataFrame:
     """df, counted, with the hint to send it to all tasks if it has at most so many (narrow) rows."""
     return F.broadcast(df) if df.count() <= rows else df
