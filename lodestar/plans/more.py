@@ -48,13 +48,17 @@ def shared_grams(t):
 p AS (SELECT a.item_id AS a, b.item_id AS b, count(*) AS both FROM w a JOIN w b ON a.w = b.w AND a.item_id < b.item_id WHERE a.w <> '' GROUP BY 1, 2)
 SELECT p.a, p.b FROM p JOIN n x ON p.a = x.item_id JOIN n y ON p.b = y.item_id WHERE 10 * p.both >= 3 * (x.n + y.n - p.both)""")
 def token_jaccard(t):
-    # Sets of similarity 0.3 have sizes within that ratio, which the join asks for before pairs are counted.
-    words = t("benchmark").select("item_id", F.array_remove(F.array_distinct(F.split(F.lower("text"), _WORDS)), "").alias("w"))
-    each = words.select("item_id", F.size("w").alias("n"), F.explode("w").alias("w"))
-    a, b = each.alias("a"), each.alias("b")
+    # Two sets of similarity 0.3 share one of the rarest 70 % of either's words: common words make no pairs.
+    words = t("benchmark").select("item_id", F.array_remove(F.array_distinct(F.split(F.lower("text"), _WORDS)), "").alias("words")).withColumn("n", F.size("words"))
+    each = words.select("item_id", "n", F.explode("words").alias("w"))
+    ranked = each.join(each.groupBy("w").agg(F.count("*").alias("in_items")), "w").withColumn("place", F.row_number().over(Window.partitionBy("item_id").orderBy("in_items", "w")))
+    rare = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * 3 / 10) + 1).select("item_id", "n", "w")
+    a, b = rare.alias("a"), rare.alias("b")
     near = (10 * F.least("a.n", "b.n") >= 3 * F.greatest("a.n", "b.n")) & (F.col("a.item_id") < F.col("b.item_id"))
-    pairs = a.join(b, (F.col("a.w") == F.col("b.w")) & near).groupBy(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), F.col("a.n").alias("x"), F.col("b.n").alias("y")).agg(F.count("*").alias("both"))
-    return pairs.where("10 * both >= 3 * (x + y - both)").select("a", "b")
+    pairs = a.join(b, (F.col("a.w") == F.col("b.w")) & near).select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b")).distinct()
+    x, y = (words.select(F.col("item_id").alias(c), F.col("words").alias(f"words_{c}")) for c in ("a", "b"))
+    shared = F.size(F.array_intersect("words_a", "words_b"))
+    return pairs.join(x, "a").join(y, "b").where(10 * shared >= 3 * (F.size("words_a") + F.size("words_b") - shared)).select("a", "b")
 
 
 @register(r"SELECT w AS token, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS w FROM benchmark) WHERE w <> '' GROUP BY 1")

@@ -199,3 +199,14 @@ def test_not_in_keeps_rows_and_a_null_on_the_right_empties_it(spark):
     with_null.createOrReplaceTempView("not_in_right")
     assert spark.sql("SELECT p_partkey FROM not_in_part WHERE p_size NOT IN (SELECT n FROM not_in_right)").count() == 0
 
+
+
+def test_token_jaccard_matches_brute_force(spark):
+    """Prefixes of rare words lose no pair: random sets around the threshold, equal sets, empty and null texts."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{int(x)}" for x in set(rng.zipf(1.4, rng.integers(1, 14)) % 40)) for _ in range(120)] + ["a b c", "a b c", "", None]
+    found = [(f"q{i:03d}", x) for i, x in enumerate(texts)]
+    frame = spark.createDataFrame(found, "item_id string, text string")
+    sets = [(i, set((x or "").split())) for i, x in found]
+    want = sorted((a, b) for a, s in sets for b, t in sets if a < b and s & t and 10 * len(s & t) >= 3 * len(s | t))
+    assert len(want) > 100 and rows(more.token_jaccard(lambda _: frame)) == sorted(want, key=repr)
