@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import decontam, line_dedup, near_dedup, packing, quality
-from lodestar.llm.queries import QUALITY_MODEL, TOKENIZER
+from lodestar.llm.queries import QUALITY_MODELS, TOKENIZER
 from lodestar.llm.shared import saved
 
 _WORD = "[^ \t-\r]"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality.keep_good(docs, QUALITY_MODEL)
+    """Documents that the quality rules keep, by bands fitted on those of them that labels call clean."""
+    return quality.keep_good(docs, QUALITY_MODELS, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), QUALITY_MODELS))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,14 +1,20 @@
-"""Quality rules: repetition and symbol counts, and tokeniser fertility with rejection bands per language.
+"""Quality rules: repetition and symbol counts, and tokeniser fertility with rejection bands per language or script.
 
-A public vocabulary cuts every word. Three measures of a text follow: characters per token, the share of
-tokens that are byte fallbacks, and the entropy of its token distribution. Text of a language keeps within
-narrow bands of each; tables, shouting and symbol noise fall out of them. Entropy rises with length, so its
-band is held against the entropy that texts of that language have at that many tokens.
+Two public vocabularies cut every word, one of pieces with byte fallback and one of bytes. The measures of a text
+follow: characters per token and the share of tokens that are no whole character, of each vocabulary, and the entropy
+of the token distribution of the first. Text of a language keeps within narrow bands of each; tables, shouting and
+symbol noise fall out of them. Entropy rises with length, so its band is held against the entropy that texts of that
+language have at that many tokens.
+
+The bands are fitted on labelled clean documents, a sample of bounded size: one for each language that has enough of
+them, and one for each script, which serves languages without a band of their own and unknown ones.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -23,53 +29,73 @@ MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 SYMBOLS = "#*$%&|<>"
 #: Words kept in a task's cache of token ids, and the longest that is kept; bytes of text measured at once.
 CACHE_WORDS, CACHED_CHARS, SLICE_BYTES = 60_000, 64, 4 << 20
+#: Words that the vocabularies cut at once.
+BATCH_WORDS = 4096
+
+
+class Vocabularies(NamedTuple):
+    """Files of the two vocabularies: a sentencepiece model with byte fallback and a byte-level tokenizers file."""
+
+    pieces: str
+    bytes: str
 
 
 class Band(NamedTuple):
-    """Limits for one language. Expected entropy (bits) is at_one + per_doubling * log2(tokens, at most 2048)."""
+    """Limits for a language or script. Expected entropy (bits) is at_one + per_doubling * log2(tokens, at most 2048)."""
 
     least_chars: float
     most_chars: float
     most_bytes: float
+    least_chars_2: float
+    most_chars_2: float
+    most_bytes_2: float
     at_one: float
     per_doubling: float
     below: float
 
 
-# Measured on labelled clean text of each language, set below what that text shows.
-BANDS = {
-    "en": Band(1.95, 8.0, 0.2, 4.23, 0.251, 0.33),
-    "fr": Band(1.72, 8.0, 0.2, 4.72, 0.178, 0.24),
-    "de": Band(2.00, 8.0, 0.2, 4.49, 0.207, 0.27),
-    "es": Band(1.74, 8.0, 0.2, 4.07, 0.255, 0.22),
-}
-#: For other languages and unknown ones: only what no script's text shows.
-ANY = Band(0.2, 12.0, 1.0, 4.0, 0.2, 1.2)
+#: Labelled clean documents that bands are fitted on at most, and the fewest of a language or script that give it a band.
+SAMPLE, LEAST_CLEAN = 20_000, 30
+#: Share of clean documents that may lie beyond each limit, and how far limits move out from there: by this part of the
+#: way from the median for characters per token, by this much for shares of bytes.
+TOLERANCE, MARGIN, BYTE_SLACK = 0.002, 0.1, 0.02
 #: The entropy band widens by this over the root of the token count, as short texts scatter more.
 SCATTER = 3.0
 
-FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_tokens long, chars_per_token double, byte_share double, token_entropy double"
-_caches: dict[str, tuple] = {}
+MEASURES = ("chars_per_token", "byte_share", "chars_per_token_2", "byte_share_2", "token_entropy")
+FIELDS = (
+    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, "
+    "script string, n_tokens long, " + ", ".join(f"{m} double" for m in MEASURES)
+)
+_caches: dict[Vocabularies, tuple] = {}
 
 
-def _vocabulary(model: str):
-    """The model, which ids are byte fallbacks, and a cache of words' ids."""
-    if model not in _caches:
+def _vocabulary(models: Vocabularies):
+    """Both models, which ids of each are no whole character, and a cache of words' ids and counts."""
+    if models not in _caches:
         import sentencepiece
+        from tokenizers import Tokenizer
 
-        processor = sentencepiece.SentencePieceProcessor(model_file=model)
-        is_byte = np.array([processor.is_byte(i) for i in range(processor.vocab_size())])
-        _caches[model] = (processor, is_byte, {})
-    return _caches[model]
+        pieces, by_byte = sentencepiece.SentencePieceProcessor(model_file=models.pieces), Tokenizer.from_file(models.bytes)
+        by_byte.encode_special_tokens = True
+        is_byte = np.array([pieces.is_byte(i) for i in range(pieces.vocab_size())])
+        is_part = np.array(["\ufffd" in x for x in by_byte.decode_batch([[i] for i in range(by_byte.get_vocab_size())])])
+        _caches[models] = (pieces, by_byte, is_byte, is_part, {})
+    return _caches[models]
 
 
-def _encoded(words: list[str], model: str) -> list[bytes]:
-    processor, _, cache = _vocabulary(model)
+def _encoded(words: list[str], models: Vocabularies) -> list[tuple[bytes, int, int]]:
+    """Of each word: its ids in the first vocabulary, and its tokens and parts of characters in the second."""
+    pieces, by_byte, _, is_part, cache = _vocabulary(models)
     if len(cache) + len(words) > CACHE_WORDS:
         cache.clear()
     missing = [w for w in words if w not in cache]
-    new = {w: np.array(ids, np.int32).tobytes() for w, ids in zip(missing, processor.encode(missing, num_threads=1), strict=True)}
-    cache.update((w, ids) for w, ids in new.items() if len(w) <= CACHED_CHARS)
+    new = {}
+    for begin in range(0, len(missing), BATCH_WORDS):
+        some = missing[begin : begin + BATCH_WORDS]
+        for w, ids, other in zip(some, pieces.encode(some, num_threads=1), by_byte.encode_batch_fast([f" {w}" for w in some], add_special_tokens=False), strict=True):
+            new[w] = (np.array(ids, np.int32).tobytes(), len(other.ids), int(is_part[other.ids].sum()))
+    cache.update((w, found) for w, found in new.items() if len(w) <= CACHED_CHARS)
     return [new[w] if w in new else cache[w] for w in words]
 
 
@@ -113,24 +139,79 @@ def fertility(ids: np.ndarray, chars: int, is_byte: np.ndarray) -> tuple[float,
     return chars / len(ids), float(is_byte[ids].mean()), float(-(p * np.log2(p)).sum())
 
 
-def within(lang: str | None, n: int, chars: float, byte_share: float, entropy: float) -> bool:
-    """The bands' verdict on the measures of a text of n tokens."""
-    band = BANDS.get(lang or "", ANY)
+@lru_cache(4096)
+def script_of(char: str) -> str:
+    """The script of a letter, as its Unicode name begins; empty for anything else."""
+    return unicodedata.name(char, "").split(" ")[0] if char.isalpha() else ""
+
+
+def within(band: Band | None, n: int, chars: float, byte_share: float, chars_2: float, byte_share_2: float, entropy: float) -> bool:
+    """The band's verdict on the measures of a text of n tokens; no band rejects nothing."""
+    if band is None:
+        return True
     expected = band.at_one + band.per_doubling * np.log2(min(max(n, 1), 2048))
-    return bool(band.least_chars <= chars <= band.most_chars and byte_share <= band.most_bytes and entropy >= expected - band.below - SCATTER / max(n, 1) ** 0.5)
+    first = band.least_chars <= chars <= band.most_chars and byte_share <= band.most_bytes
+    second = band.least_chars_2 <= chars_2 <= band.most_chars_2 and byte_share_2 <= band.most_bytes_2
+    return bool(first and second and entropy >= expected - band.below - SCATTER / max(n, 1) ** 0.5)
+
+
+def fitted(n: np.ndarray, measures: np.ndarray, tolerance: float = TOLERANCE) -> Band:
+    """The band of clean texts with these token counts and MEASURES (a column each)."""
+    chars, share, chars_2, share_2, entropy = measures.T
+
+    def limits(x: np.ndarray) -> tuple[float, float]:
+        low, middle, high = np.quantile(x, [tolerance, 0.5, 1 - tolerance])
+        return low - MARGIN * (middle - low), high + MARGIN * (high - middle)
+
+    doublings = np.log2(np.clip(n, 1, 2048))
+    spread = doublings - doublings.mean()
+    slope = float(spread @ entropy / (spread @ spread)) if spread.any() else 0.0
+    at_one = float(entropy.mean() - slope * doublings.mean())
+    missed = at_one + slope * doublings - entropy - SCATTER / np.sqrt(np.maximum(n, 1))
+    most = [float(np.quantile(x, 1 - tolerance)) + BYTE_SLACK for x in (share, share_2)]
+    return Band(*map(float, limits(chars)), most[0], *map(float, limits(chars_2)), most[1], at_one, slope, float(np.quantile(missed, 1 - tolerance)))
 
 
-def _measured(texts: pa.Array, langs: list[str | None], model: str) -> list[list]:
+def fit(
+    docs: DataFrame, labels: DataFrame, models: Vocabularies, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    quality_col: str = "quality", sample: int = SAMPLE, least: int = LEAST_CLEAN, tolerance: float = TOLERANCE,
+) -> dict[str, Band]:
+    """Bands by "lang ..." and "script ..." from documents that labels call clean (quality 1) and the base rules pass.
+
+    The sample is the `sample` ids of least hash, and as many documents at most, so it is the same in every run. Null
+    ids and labels are no labels; a null or empty language counts for its script alone; without labels there are no bands.
+    """
+    chosen = labels.where(F.col(quality_col) == 1).select(F.col(id_col).alias("i")).where("i IS NOT NULL").distinct().orderBy(F.xxhash64("i"), "i").limit(sample)
+    own = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    # At most `sample` ids travel to the tasks.
+    own = own.join(F.broadcast(chosen), "i", "left_semi")
+    clean = _judged(own, models, {}, "i", "text", "lang").where("NOT base_failed")
+    clean = clean.select("lang", "script", "n_tokens", *MEASURES).orderBy(F.xxhash64("doc_id"), "n_tokens", *MEASURES, "lang").limit(sample).toPandas()
+    bands = {}
+    for kind in ("lang", "script"):
+        for name, some in clean[clean[kind].fillna("") != ""].groupby(kind):
+            if len(some) >= least:
+                bands[f"{kind} {name}"] = fitted(some["n_tokens"].to_numpy(), some[list(MEASURES)].to_numpy(float), tolerance)
+    return bands
+
+
+def band_of(bands: dict[str, Band], lang: str | None, script: str) -> Band | None:
+    """The band of the language, or else of the script."""
+    return bands.get(f"lang {lang}", bands.get(f"script {script}"))
+
+
+def _measured(texts: pa.Array, langs: list[str | None], models: Vocabularies, bands: dict[str, Band]) -> list[list]:
     """The columns of FIELDS for a batch."""
     words = Words(texts)
     vocabulary = words.vocabulary.to_pylist()
     hashed = mixed(hashes(words.vocabulary))
-    encoded = _encoded(vocabulary, model)
-    lengths = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
+    encoded, counts, parts = zip(*_encoded(vocabulary, models), strict=True) if vocabulary else ((), (), ())
+    lengths, tokens, parts = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4, np.array(counts, np.int64), np.array(parts, np.int64)
+    scripts, script_codes = np.unique(np.array([script_of(w[:1]) for w in vocabulary], str), return_inverse=True)
     firsts = np.concatenate([[0], np.cumsum(lengths)])
     pool = np.frombuffer(b"".join(encoded), np.int32)
     in_word = np.fromiter(map(len, vocabulary), np.int64, len(vocabulary))
-    is_byte = _vocabulary(model)[1]
+    is_byte = _vocabulary(models)[2]
     symbols = pc.count_substring_regex(texts, f"[{SYMBOLS}]").to_pylist()
     out = []
     for i, text in enumerate(texts.to_pylist()):
@@ -139,34 +220,47 @@ def _measured(texts: pa.Array, langs: list[str | None], model: str) -> list[list
         count = lengths[codes]
         ends = np.cumsum(count)
         ids = pool[np.repeat(firsts[codes] - ends + count, count) + np.arange(ends[-1] if n else 0)]
-        measures = fertility(ids, chars, is_byte)
+        per_token, byte_share, entropy = fertility(ids, chars, is_byte)
+        total = int(tokens[codes].sum())
+        measures = (per_token, byte_share, chars / total if total else 0.0, int(parts[codes].sum()) / total if total else 0.0, entropy)
+        votes = np.bincount(script_codes[codes], minlength=len(scripts)) * (scripts != "") if n else np.zeros(1, int)
+        script = str(scripts[votes.argmax()]) if votes.any() else ""
         failed = n < MIN_WORDS or 100 * again > MAX_REPEAT_PERCENT * n
-        out.append((n, chars, symbols[i], repeated_lines(text), again, failed, not failed and within(langs[i], len(ids), *measures), len(ids), *measures))
-    return list(zip(*out, strict=True)) if out else [[]] * 11
-
+        kept = not failed and within(band_of(bands, langs[i], script), len(ids), *measures)
+        out.append((n, chars, symbols[i], repeated_lines(text), again, failed, kept, script, len(ids), *measures))
+    return list(zip(*out, strict=True)) if out else [[]] * len(_TYPES)
 
-_TYPES = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()] + [pa.float64()] * 3
 
+_TYPES = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.string(), pa.int64()] + [pa.float64()] * len(MEASURES)
 
-def judge(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per document with its counts, measures and verdict, in one pass without a shuffle.
 
-    A null or empty text has no words, zero measures and fails; repeated rows are judged each; other columns
-    are not read; an unknown or null language has the widest bands.
-    """
-    kind = docs.schema[id_col].dataType.simpleString()
+def _judged(docs: DataFrame, models: Vocabularies, bands: dict[str, Band], id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """doc_id, lang and the columns of FIELDS."""
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t"))
+    names = ["doc_id", "lang", *(f.split()[0] for f in FIELDS.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "t", SLICE_BYTES):
-                columns = _measured(as_array(batch.column("t")), batch.column("l").to_pylist(), model)
-                yield pa.RecordBatch.from_arrays([batch.column("i"), *(pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True))], names=["doc_id", *(f.split()[0] for f in FIELDS.split(", "))])
+                columns = _measured(as_array(batch.column("t")), batch.column("lang").to_pylist(), models, bands)
+                arrays = (pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *arrays], names=names)
         _forget()
 
-    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).mapInArrow(run, f"doc_id {kind}, {FIELDS}")
+    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, lang string, {FIELDS}")
+
+
+def judge(docs: DataFrame, models: Vocabularies, bands: dict[str, Band], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """One row per document with its counts, measures and verdict by bands that fit() made, in one pass without a shuffle.
+
+    A null or empty text has no words, zero measures and fails; repeated rows are judged each; other columns
+    are not read; an unknown or null language has its script's band, and a script without one is judged by the base
+    rules alone.
+    """
+    return _judged(docs, models, bands, id_col, text_col, lang_col).drop("lang")
 
 
-def keep_good(docs: DataFrame, model: str, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def keep_good(docs: DataFrame, models: Vocabularies, bands: dict[str, Band], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents that the rules keep, with all their columns, under any names; rows are judged where they lie.
 
     Null and empty texts go, as they have no words; a null language is an unknown one; repeated rows are judged
@@ -178,7 +272,7 @@ def keep_good(docs: DataFrame, model: str, text_col: str = "text", lang_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text, SLICE_BYTES):
-                kept = _measured(as_array(batch.column(text)), batch.column(lang).to_pylist(), model)[6]
+                kept = _measured(as_array(batch.column(text)), batch.column(lang).to_pylist(), models, bands)[6]
                 yield batch.filter(pa.array(kept, pa.bool_()))
         _forget()
 

@@ -10,7 +10,7 @@ from . import decontam, divergence, html_extract, id_files, line_dedup, lm_score
 #: Files of the public tokenizers.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-QUALITY_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+QUALITY_MODELS = quality.Vocabularies(public_tokenizers.path("piece_bpe_32k.model"), BYTE_TOKENIZER)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -63,8 +63,9 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's counts, measures and verdict; a null text has no words and fails."""
-    return quality.judge(_read(spark, sf_dir, "documents"), QUALITY_MODEL)
+    """Every document's counts, measures and verdict by bands fitted on labelled ones; a null text has no words and fails."""
+    docs = _read(spark, sf_dir, "documents")
+    return quality.judge(docs, QUALITY_MODELS, quality.fit(docs, _read(spark, sf_dir, "labels"), QUALITY_MODELS))
 
 
 def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:

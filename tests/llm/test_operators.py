@@ -322,23 +322,10 @@ def test_trie_searches_its_ranges():
     assert np.allclose(lm_score.restored(nodes, 0.0), [[1.5 / 6, 6 / 7], [0.75, 1 / 7]], rtol=1e-3)
 
 
-def test_quality_base(documents, texts):
-    for r in quality.judge(documents, queries.QUALITY_MODEL).collect():
-        w, text = words(texts[r.doc_id], lower=False), texts[r.doc_id]
-        at = defaultdict(list)
-        for k in range(len(w) - 7):
-            at[tuple(w[k : k + 8])].append(k)
-        again = {k + j for ks in at.values() if len(ks) > 1 for k in ks for j in range(8)}
-        lines = [x for x in text.split("\n") if words(x)]
-        failed = len(w) < 20 or 100 * len(again) > 30 * len(w)
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(again), failed)
-        assert not (failed and r.kept)
-
-
 def test_odd_rows(spark, odd, odd_pages):
     items = spark.createDataFrame([(1, None), (2, ""), (None, "w1 w2 w3")], "item_id long, text string")
     n = odd.count()
-    assert secret_scan.scan(odd).count() == near_dedup.groups(odd).count() == decontam.find(odd, items).count() == lm_score.score(odd).count() == quality.judge(odd, queries.QUALITY_MODEL).count() == n
+    assert secret_scan.scan(odd).count() == near_dedup.groups(odd).count() == decontam.find(odd, items).count() == lm_score.score(odd).count() == quality.judge(odd, queries.QUALITY_MODELS, {}).count() == n
     assert url_filter.judge(odd_pages).count() == html_extract.extract(odd_pages).count() == odd_pages.count()
     out = line_dedup.dedup(odd)
     assert out.columns == odd.columns and out.count() == n
@@ -350,7 +337,7 @@ def test_odd_rows(spark, odd, odd_pages):
 def test_empty_tables(spark, odd, odd_pages):
     none, pages = odd.limit(0), odd_pages.limit(0)
     items = spark.createDataFrame([], "item_id long, text string")
-    for out in (line_dedup.dedup(none), secret_scan.scan(none), packing.pack(none, queries.TOKENIZER), near_dedup.groups(none), decontam.find(none, items), lm_score.score(none), quality.judge(none, queries.QUALITY_MODEL), url_filter.judge(pages), html_extract.extract(pages), warc.round_trip(pages)):
+    for out in (line_dedup.dedup(none), secret_scan.scan(none), packing.pack(none, queries.TOKENIZER), near_dedup.groups(none), decontam.find(none, items), lm_score.score(none), quality.judge(none, queries.QUALITY_MODELS, {}), url_filter.judge(pages), html_extract.extract(pages), warc.round_trip(pages)):
         assert out.count() == 0
 
 

@@ -3,7 +3,7 @@
 import pytest
 
 from lodestar.llm import decontam, line_dedup, near_dedup, quality
-from lodestar.llm.queries import QUALITY_MODEL
+from lodestar.llm.queries import QUALITY_MODELS
 
 GOOD = "The bridge over the river was built by the people of this small town in a single dry summer, and it stood for two hundred years until the water rose above the road one night in March and took three arches away."
 MORE = "Nobody in the valley could say who had drawn its plans, since the papers were lost in the fire of the old mill, but every child knew the song about the mason who would not sleep until the last stone was in its place."
@@ -22,7 +22,7 @@ def items(spark):
 
 
 def test_quality_rules_keep_all_columns(docs):
-    got = quality.keep_good(docs, QUALITY_MODEL)
+    got = quality.keep_good(docs, QUALITY_MODELS, {})
     assert got.columns == docs.columns
     rows = got.collect()
     assert {r.doc_id for r in rows} == {1, 5, None} and all(r.i == r.text and r.c0 == r.lang for r in rows)
@@ -56,5 +56,5 @@ def test_line_and_near_dedup_keep_all_columns(docs):
 
 def test_empty_tables_stay_empty(docs, items):
     none = docs.where("false")
-    for got in (quality.keep_good(none, QUALITY_MODEL), decontam.clean(none, items), near_dedup.keep_first(none), line_dedup.dedup(none)):
+    for got in (quality.keep_good(none, QUALITY_MODELS, {}), decontam.clean(none, items), near_dedup.keep_first(none), line_dedup.dedup(none)):
         assert got.columns == docs.columns and got.count() == 0
