@@ -58,7 +58,7 @@ class Band(NamedTuple):
 SAMPLE, LEAST_CLEAN = 20_000, 30
 #: Share of clean documents that may lie beyond each limit, and how far limits move out from there: by this part of the
 #: way from the median for characters per token, by this much for shares of bytes.
-TOLERANCE, MARGIN, BYTE_SLACK = 0.002, 0.1, 0.02
+TOLERANCE, MARGIN, BYTE_SLACK = 0.002, 1.0, 0.05
 #: The entropy band widens by this over the root of the token count, as short texts scatter more.
 SCATTER = 3.0
 
