@@ -9,18 +9,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import os
 import struct
 import uuid
 from collections.abc import Iterator
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, slices
+from .shared import filesystem as _filesystem
+from .shared import new_path, saved, sent_if_small, slices
 
 #: Magic number of the skippable frame that holds a dictionary (first of the format's sixteen).
 DICTIONARY_FRAME = 0x184D2A5D
@@ -28,6 +27,9 @@ DICTIONARY_FRAME = 0x184D2A5D
 TRAINING_BYTES, DICTIONARY_BYTES = 4 << 20, 64 << 10
 #: Uncompressed bytes of records after which a task starts its next archive.
 ARCHIVE_BYTES = 32 << 20
+#: Digests that repeat are sent to all tasks up to this many (some 40 bytes each); more meet the pages in a join, where
+#: the pages of one digest spread over so many keys.
+SENT_DIGESTS, SALTS = 500_000, 64
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -100,19 +102,20 @@ def unarchived(data: bytes) -> Iterator[bytes]:
         rest = memoryview(frame.unused_data)
 
 
-def _filesystem(uri: str):
-    """pyarrow's file system of the archives' folder and the folder's path there."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if urlsplit(uri).scheme else f"file://{os.path.abspath(uri)}")
-
-
 def resolved(pages: DataFrame, id_col: str, url_col: str, html_col: str, least_bytes: int) -> DataFrame:
-    """(page_id, url, html, refers_to): refers_to is the largest id with the same payload, null for that one."""
+    """(page_id, url, html, refers_to): refers_to is the largest id with the same payload, null for that one.
+
+    Pages stay where they are read unless very many digests repeat; one digest's pages are never one task's.
+    """
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     own = own.withColumn("sha", F.unhex(F.sha1(F.encode("html", "UTF-8"))))
-    repeated = own.where(F.octet_length("html") >= least_bytes).groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = own.join(repeated, "sha", "left")
+    repeated = saved(own.where(F.octet_length("html") >= least_bytes).groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
+    sent = sent_if_small(repeated, SENT_DIGESTS)
+    if sent is repeated:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        joined = own.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(repeated.withColumn("salt", salts), ["sha", "salt"], "left")
+    else:
+        joined = own.join(sent, "sha", "left")
     other: Column = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("last")), F.col("last"))
     # In a fixed order, so that a retried task makes the same archives again.
     return joined.select("page_id", "url", "html", other.alias("refers_to"), "sha").sortWithinPartitions("page_id", "sha", "url").drop("sha")
