@@ -3,12 +3,14 @@
 The automaton of all normalised items reads a document's words and tracks the longest suffix that occurs in
 an item. A suffix of at least `window` words is a hit; a shorter item counts as one window of its own length.
 Only runs of words that items use can match, so the automaton reads those runs alone. Items are split into
-blocks of bounded size, each with an automaton of its own; every document meets every block.
+blocks of bounded size. Tasks build an automaton of each block once and write it to the shared folder; the tasks
+that read documents load one automaton at a time, for all texts that they hold. Every document meets every block.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -18,13 +20,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Words, as_array, byte_table, numbered, slices, translated
+from .shared import Words, as_array, byte_table, filesystem, new_path, numbered, slices, translated
 
 WINDOW = 10
-#: Words of items in one automaton (about 1 kB each in a task): the proven bound of what is broadcast at once.
+#: Words of items in one automaton, about (1 kB each in a task): the bound of what a task holds of the items.
 BLOCK_WORDS = 200_000
+#: Bytes of texts that meet each loaded automaton, if there are several.
+HELD_BYTES = 32 << 20
 #: ASCII bytes that are no letter or digit separate words, and A-Z count as a-z.
 TABLE = byte_table(bytes(b for b in range(128) if not chr(b).isalnum()))
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 class Automaton:
@@ -33,6 +38,7 @@ class Automaton:
     def __init__(self, items: list[tuple[str, list[str]]], window: int = WINDOW):
         self.window = window
         self.vocabulary: dict[str, int] = {}
+        #: Only while building; then `step` has all transitions, by state and word.
         self.next: list[dict[int, int]] = [{}]
         self.link, self.longest = [-1], [0]
         numbered = [(name, [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]) for name, words in items if words]
@@ -43,7 +49,7 @@ class Automaton:
         self.least = min([window, *(len(words) for _, words in numbered)])
         #: Items of the window that ends a match in this state, and of short items that end there by length.
         self.items: dict[int, set[str]] = defaultdict(set)
-        self.short: dict[int, dict[int, set[str]]] = defaultdict(lambda: defaultdict(set))
+        self.short: dict[int, dict[int, set[str]]] = {}
         for name, words in numbered:
             state = 0
             for i, w in enumerate(words):
@@ -51,7 +57,9 @@ class Automaton:
                 if i + 1 >= window:
                     self.items[self.at_length(state, window)].add(name)
             if len(words) < window:
-                self.short[self.at_length(state, len(words))][len(words)].add(name)
+                self.short.setdefault(self.at_length(state, len(words)), {}).setdefault(len(words), set()).add(name)
+        self.step = {(state << 32) | w: target for state, following in enumerate(self.next) for w, target in following.items()}
+        self.next = []
 
     def _extend(self, last: int, w: int) -> int:
         if w in self.next[last]:
@@ -94,12 +102,14 @@ class Automaton:
         spans, found = [], set()
         state = length = 0
         for i, w in enumerate(words):
-            while state and w not in self.next[state]:
+            target = self.step.get((state << 32) | w)
+            while target is None and state:
                 state = self.link[state]
                 length = self.longest[state]
-            if w not in self.next[state]:
+                target = self.step.get((state << 32) | w)
+            if target is None:
                 continue
-            state, length = self.next[state][w], length + 1
+            state, length = target, length + 1
             if length >= self.window:
                 found |= self.items[self.at_length(state, self.window)]
                 spans.append((i + 1 - self.window, i + 1))
@@ -143,18 +153,60 @@ def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, list[str]]]]:
-    """The items' words, split as those of documents, in blocks of about block_words, read a partition at a time."""
-    block, size = [], 0
-    for row in items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).toLocalIterator():
-        own = Words(translated(as_array(pa.array([row.t], pa.string())), TABLE))
-        words = own.vocabulary.take(pa.array(own.codes)).to_pylist()
-        if block and size + len(words) > block_words:
-            yield block
-            block, size = [], 0
-        block.append(("" if row.i is None else row.i, words))
-        size += len(words)
-    yield block
+class Blocks:
+    """The automata of items in the shared folder, as tasks read them."""
+
+    def __init__(self, folder: str, numbers: list[int], window: int):
+        self.folder, self.numbers, self.window = folder, numbers, window
+        self._held: tuple[int, Automaton] | None = None
+
+    def _automaton(self, number: int) -> Automaton:
+        if self._held is None or self._held[0] != number:
+            self._held = None
+            import pyarrow.parquet as pq
+            from pyarrow.fs import FileSelector
+
+            files, root = filesystem(self.folder)
+            (file,) = (f.path for f in files.get_file_info(FileSelector(f"{root}/block={number}")) if f.path.endswith(".parquet"))
+            self._held = number, pickle.loads(pq.ParquetFile(file, filesystem=files).read().column("automaton")[0].as_py())
+        return self._held[1]
+
+    def matches(self, texts: pa.Array) -> tuple[list[int], list[list[list[int]]], list[set[str]]]:
+        """Of each text: its number of words, its merged spans of hits, the items found."""
+        sizes, spans, items = [0] * len(texts), [[] for _ in range(len(texts))], [set() for _ in range(len(texts))]
+        for automaton in map(self._automaton, self.numbers) if self.numbers else [Automaton([], self.window)]:
+            for i, (n, got, names) in enumerate(match(texts, automaton)):
+                sizes[i] = n
+                spans[i] += got
+                items[i] |= names
+        return sizes, [merged(s) for s in spans], items
+
+    @property
+    def batch_bytes(self) -> int:
+        return HELD_BYTES if len(self.numbers) > 1 else 8 << 20
+
+
+def blocks_of(items: DataFrame, id_col: str, text_col: str, window: int, block_words: int = BLOCK_WORDS) -> Blocks:
+    """Automata of the items, each built once by a task, of about block_words words; a longer item is never cut.
+
+    A null id is an empty one; null texts and texts without words are left out; repeated rows count once.
+    """
+    own = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL").distinct()
+    total = own.agg(F.sum(F.size(F.split("t", BETWEEN)))).first()[0]
+    if not total:
+        return Blocks("", [], window)
+    number = F.pmod(F.xxhash64("i", "t"), F.lit(-(-total // block_words))).cast("int")
+
+    def build(table: pa.Table) -> pa.Table:
+        words = Words(translated(as_array(table.column("t")), TABLE))
+        spelled = words.vocabulary.to_pylist()
+        automaton = Automaton([(name, [spelled[c] for c in words.row(k).tolist()]) for k, name in enumerate(table.column("i").to_pylist())], window)
+        return pa.table({"block": table.column("block")[:1], "automaton": pa.array([pickle.dumps(automaton)], pa.binary())})
+
+    folder = new_path(items.sparkSession, "automata")
+    own.withColumn("block", number).groupBy("block").applyInArrow(build, "block int, automaton binary").write.partitionBy("block").parquet(folder)
+    made = items.sparkSession.read.schema("block int").option("basePath", folder).parquet(folder)
+    return Blocks(folder, sorted(r.block for r in made.distinct().collect()), window)
 
 
 def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -164,23 +216,18 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     rows are judged each; items with equal texts are all found. One pass and no shuffle for each row, whatever
     the number of blocks.
     """
-    blocks = [docs.sparkSession.sparkContext.broadcast(b) for b in item_blocks(items, item_id, item_text, block_words)]
+    blocks = blocks_of(items, item_id, item_text, window, block_words)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = Automaton(blocks[0].value, window) if len(blocks) == 1 else None
         for whole in batches:
-            for batch in slices(whole, "t"):
-                texts, total = as_array(batch.column("t")), None
-                for block in blocks:
-                    got = list(match(texts, kept or Automaton(block.value, window)))
-                    total = got if total is None else [(n, s + t, f | g) for (n, s, f), (_, t, g) in zip(total, got, strict=True)]
-                spans = [merged(s) for _, s, _ in total]
-                names = [sorted(f) for _, _, f in total]
+            for batch in slices(whole, "t", blocks.batch_bytes):
+                sizes, spans, found = blocks.matches(as_array(batch.column("t")))
+                names = [sorted(f) for f in found]
                 hit = [sum(b - a for a, b in s) for s in spans]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("i"), pa.array([n for n, _, _ in total], pa.int64()), pa.array(hit, pa.int64()), pa.array([len(f) for f in names], pa.int64()),
+                        batch.column("i"), pa.array(sizes, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(f) for f in names], pa.int64()),
                         pa.array([hashlib.sha256(",".join(f).encode()).hexdigest() for f in names], pa.string()), pa.array([n > 0 for n in hit], pa.bool_()), pa.array(spans, pa.list_(pa.list_(pa.int64()))),
                     ],
                     names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
@@ -198,7 +245,7 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: st
     """
     own, text_at = numbered(docs), docs.columns.index(text_col)
     text_name, chars_at = f"c{text_at}", docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
-    blocks = [docs.sparkSession.sparkContext.broadcast(b) for b in item_blocks(items, item_id, item_text, block_words)]
+    blocks = blocks_of(items, item_id, item_text, window, block_words)
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
     def cut(text: str, spans: list[list[int]]) -> str:
@@ -212,16 +259,10 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: st
         return " ".join([*out, text[begin:]]).strip(" ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = Automaton(blocks[0].value, window) if len(blocks) == 1 else None
         for whole in batches:
-            for batch in slices(whole, text_name):
+            for batch in slices(whole, text_name, blocks.batch_bytes):
                 column = batch.column(text_name)
-                texts, spans, sizes = as_array(column), [[] for _ in range(batch.num_rows)], [0] * batch.num_rows
-                for block in blocks:
-                    for i, (n, got, _) in enumerate(match(texts, kept or Automaton(block.value, window))):
-                        spans[i] += got
-                        sizes[i] = n
-                spans = [merged(s) for s in spans]
+                sizes, spans, _ = blocks.matches(as_array(column))
                 keep = [sum(b - a for a, b in s) <= max_coverage * n for s, n in zip(spans, sizes, strict=True)]
                 values = [cut(t, s) if s and k else t for t, s, k in zip(column.to_pylist(), spans, keep, strict=True)]
                 columns = list(batch.columns)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
 import weakref
+from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +70,13 @@ def drop_saved(*tables: DataFrame) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def filesystem(uri: str):
+    """For tasks that read or write files of the shared folder: pyarrow's file system of a URI, and the path there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if urlsplit(uri).scheme else f"file://{os.path.abspath(uri)}")
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """df with its columns named c0, c1, ...: functions over batches look columns up by names, which may hold dots or repeat."""
     return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
