@@ -12,6 +12,7 @@ them, and one for each script, which serves languages without a band of their ow
 
 from __future__ import annotations
 
+import base64
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,10 +35,11 @@ BATCH_WORDS = 4096
 
 
 class Vocabularies(NamedTuple):
-    """Files of the two vocabularies: a sentencepiece model with byte fallback and a byte-level tokenizers file."""
+    """Files of the two vocabularies, a sentencepiece model with byte fallback and byte-level ranks; the latter's pattern."""
 
     pieces: str
     bytes: str
+    pattern: str
 
 
 class Band(NamedTuple):
@@ -70,31 +72,63 @@ FIELDS = (
 _caches: dict[Vocabularies, tuple] = {}
 
 
+def _is_part(token: bytes) -> bool:
+    try:
+        token.decode()
+    except UnicodeDecodeError:
+        return True
+    return False
+
+
 def _vocabulary(models: Vocabularies):
-    """Both models, which ids of each are no whole character, and a cache of words' ids and counts."""
+    """Both models; which ids of each are no whole character, which of the second begin with a space; a cache of words."""
     if models not in _caches:
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        pieces, by_byte = sentencepiece.SentencePieceProcessor(model_file=models.pieces), Tokenizer.from_file(models.bytes)
-        by_byte.encode_special_tokens = True
+        pieces = sentencepiece.SentencePieceProcessor(model_file=models.pieces)
+        with open(models.bytes, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        by_byte = tiktoken.Encoding("bytes", pat_str=models.pattern, mergeable_ranks=ranks, special_tokens={})
         is_byte = np.array([pieces.is_byte(i) for i in range(pieces.vocab_size())])
-        is_part = np.array(["\ufffd" in x for x in by_byte.decode_batch([[i] for i in range(by_byte.get_vocab_size())])])
-        _caches[models] = (pieces, by_byte, is_byte, is_part, {})
+        is_part, begins = np.zeros((2, max(ranks.values()) + 1), bool)
+        for token, rank in ranks.items():
+            is_part[rank], begins[rank] = _is_part(token), token.startswith(b" ")
+        _caches[models] = (pieces, by_byte, is_byte, is_part, begins, {})
     return _caches[models]
 
 
+def _byte_level(words: list[str], models: Vocabularies) -> tuple[list[int], list[int]]:
+    """Of each word after a space: its tokens in the second vocabulary, and how many are parts of characters.
+
+    Words are cut in one run, as no token crosses a space that only one precedes; words that hold white space of their
+    own could change where a run is cut, so they go alone.
+    """
+    _, by_byte, _, is_part, begins, _ = _vocabulary(models)
+    counts, parts = np.zeros((2, len(words)), np.int64)
+    alone = [k for k, w in enumerate(words) if len(w.split()) != 1 or w[0].isspace() or w[-1].isspace()]
+    for k in alone:
+        ids = by_byte.encode_to_numpy(f" {words[k]}")
+        counts[k], parts[k] = len(ids), is_part[ids].sum()
+    rest = np.setdiff1d(np.arange(len(words)), alone)
+    if len(rest):
+        ids = by_byte.encode_to_numpy("".join(f" {words[k]}" for k in rest.tolist()))
+        firsts = np.flatnonzero(begins[ids])
+        counts[rest], parts[rest] = np.diff(np.append(firsts, len(ids))), np.add.reduceat(is_part[ids].astype(np.int64), firsts)
+    return counts.tolist(), parts.tolist()
+
+
 def _encoded(words: list[str], models: Vocabularies) -> list[tuple[bytes, int, int]]:
     """Of each word: its ids in the first vocabulary, and its tokens and parts of characters in the second."""
-    pieces, by_byte, _, is_part, cache = _vocabulary(models)
+    pieces, *_, cache = _vocabulary(models)
     if len(cache) + len(words) > CACHE_WORDS:
         cache.clear()
-    missing = [w for w in words if w not in cache]
-    new = {}
+    missing = [w for w in words if w and w not in cache]
+    new = {"": (b"", 0, 0)}
     for begin in range(0, len(missing), BATCH_WORDS):
         some = missing[begin : begin + BATCH_WORDS]
-        for w, ids, other in zip(some, pieces.encode(some, num_threads=1), by_byte.encode_batch_fast([f" {w}" for w in some], add_special_tokens=False), strict=True):
-            new[w] = (np.array(ids, np.int32).tobytes(), len(other.ids), int(is_part[other.ids].sum()))
+        ids = (np.array(x, np.int32).tobytes() for x in pieces.encode(some, num_threads=1))
+        new.update(zip(some, zip(ids, *_byte_level(some, models), strict=True), strict=True))
     cache.update((w, found) for w, found in new.items() if len(w) <= CACHED_CHARS)
     return [new[w] if w in new else cache[w] for w in words]
 
@@ -207,7 +241,9 @@ def _measured(texts: pa.Array, langs: list[str | None], models: Vocabularies, ba
     hashed = mixed(hashes(words.vocabulary))
     encoded, counts, parts = zip(*_encoded(vocabulary, models), strict=True) if vocabulary else ((), (), ())
     lengths, tokens, parts = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4, np.array(counts, np.int64), np.array(parts, np.int64)
-    scripts, script_codes = np.unique(np.array([script_of(w[:1]) for w in vocabulary], str), return_inverse=True)
+    letters = pc.utf8_slice_codeunits(words.vocabulary, 0, 1).dictionary_encode()
+    scripts, own = np.unique(np.array([script_of(c) for c in letters.dictionary.to_pylist()], str), return_inverse=True)
+    script_codes = own[letters.indices.to_numpy(zero_copy_only=False)]
     firsts = np.concatenate([[0], np.cumsum(lengths)])
     pool = np.frombuffer(b"".join(encoded), np.int32)
     in_word = np.fromiter(map(len, vocabulary), np.int64, len(vocabulary))

@@ -10,7 +10,7 @@ from . import decontam, divergence, html_extract, id_files, line_dedup, lm_score
 #: Files of the public tokenizers.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-QUALITY_MODELS = quality.Vocabularies(public_tokenizers.path("piece_bpe_32k.model"), BYTE_TOKENIZER)
+QUALITY_MODELS = quality.Vocabularies(public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lodestar.llm import quality
-from lodestar.llm.queries import QUALITY_MODELS
+from lodestar.llm.queries import BYTE_TOKENIZER, QUALITY_MODELS
 
 WORD = re.compile(r"[^ \t-\r]+")
 
@@ -30,7 +30,7 @@ def plain(text):
         at[tuple(words[k : k + 8])].append(k)
     again = {k + j for ks in at.values() if len(ks) > 1 for k in ks for j in range(8)}
     lines = [x for x in text.split("\n") if WORD.search(x)]
-    pieces, by_byte = sentencepiece.SentencePieceProcessor(model_file=QUALITY_MODELS.pieces), Tokenizer.from_file(QUALITY_MODELS.bytes)
+    pieces, by_byte = sentencepiece.SentencePieceProcessor(model_file=QUALITY_MODELS.pieces), Tokenizer.from_file(BYTE_TOKENIZER)
     cut = {w: (pieces.encode(w), by_byte.encode(f" {w}", add_special_tokens=False).ids) for w in set(words)}
     first, second = ([i for w in words for i in cut[w][k]] for k in (0, 1))
     parts = {i for i in set(second) if "\ufffd" in by_byte.decode([i])}
@@ -81,7 +81,7 @@ def test_scripts_and_odd_texts(spark, small):
     russian = "\u0432 \u043d\u0430\u0447\u0430\u043b\u0435 \u0431\u044b\u043b\u043e \u0441\u043b\u043e\u0432\u043e "
     rows = [
         (1, russian * 3 + "\u0438 \u043c\u0438\u0440", None), (2, "abc \u0430\u0431\u0432 " * 2, "zz"), (3, "\U0001f9ff\U00012000 " * 30, "en"), (4, None, "en"), (5, "", None),
-        (6, "x" * 300_000, "de"), (7, " ".join(f"word{i}" for i in range(60_000)), "en"), (7, " ".join(f"word{i}" for i in range(60_000)), "en"), (None, "\u4e2d\u6587 " * 25, ""),
+        (6, "x" * 300_000, "de"), (7, " ".join(f"word{i}" for i in range(60_000)), "en"), (7, " ".join(f"word{i}" for i in range(60_000)), "en"), (8, "a\u00a0b \u00a0c d\u3000 \u3000 e\u2003\u2003f \u00e9\u0301 x " * 4, "fr"), (None, "\u4e2d\u6587 " * 25, ""),
     ]
     got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), QUALITY_MODELS, bands).collect()
     assert len(got) == len(rows)
