@@ -49,7 +49,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Tokenisers, components and automata are beyond SQL; tests/llm holds the operators, not these stages, against brute force.
+#: Tokenisers, components and automata are beyond SQL; tests/llm holds the first four stages against plain Python.
 ORACLE_SQL = None
 
 

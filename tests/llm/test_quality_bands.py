@@ -4,6 +4,7 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import pytest
@@ -22,6 +23,11 @@ def small(spark):
     return spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
 
 
+@cache
+def vocabularies():
+    return sentencepiece.SentencePieceProcessor(model_file=QUALITY_MODELS.pieces), Tokenizer.from_file(BYTE_TOKENIZER)
+
+
 def plain(text):
     """Everything that a row of judge() holds but the verdict, by the plainest way."""
     text = text or ""
@@ -30,7 +36,7 @@ def plain(text):
         at[tuple(words[k : k + 8])].append(k)
     again = {k + j for ks in at.values() if len(ks) > 1 for k in ks for j in range(8)}
     lines = [x for x in text.split("\n") if WORD.search(x)]
-    pieces, by_byte = sentencepiece.SentencePieceProcessor(model_file=QUALITY_MODELS.pieces), Tokenizer.from_file(BYTE_TOKENIZER)
+    pieces, by_byte = vocabularies()
     cut = {w: (pieces.encode(w), by_byte.encode(f" {w}", add_special_tokens=False).ids) for w in set(words)}
     first, second = ([i for w in words for i in cut[w][k]] for k in (0, 1))
     parts = {i for i in set(second) if "\ufffd" in by_byte.decode([i])}
