@@ -49,7 +49,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     lines = each.select("doc", "of", "no", F.trim("line").alias("line")).where("line <> ''")
     # Split at single spaces, which needs no pattern; what lies between two spaces in a row is no word.
     hashed = F.transform(F.split(F.lower("line"), " "), lambda w: F.xxhash64(w))
-    words = F.array_remove(F.sort_array(F.array_distinct(hashed)), F.xxhash64(F.lit("")))
+    words = F.array_remove(F.array_distinct(F.sort_array(hashed)), F.xxhash64(F.lit("")))
     sets = lines.select("doc", "of", "no", words.alias("words"))
     return sets.select(F.monotonically_increasing_id().alias("n"), F.struct("doc", "of", "no").alias("rep"), F.xxhash64("words").alias("a"), F.xxhash64(F.lit(1), "words").alias("b"), F.size("words").alias("size"), "words")
 
@@ -77,14 +77,21 @@ def _parity(words: Column) -> Column:
 
 
 def _wide_parity(words: Column) -> Column:
-    """As _parity(), in 256 bits: four numbers, for sets too large for one."""
+    """As _parity(), in 256 bits, for sets too large for one number: three numbers, as the fourth is what _parity() has besides."""
     one = F.lit(1).cast("long")
 
     def part(k: int) -> Column:
         turned = lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(63).cast("int")))
         return F.aggregate(words, F.lit(0).cast("long"), lambda a, w: F.when(w.bitwiseAND(192) == 64 * k, turned(a, w)).otherwise(a))
 
-    return F.array(*(part(k) for k in range(4)))
+    return F.array(*(part(k) for k in range(3)))
+
+
+def _wide_apart() -> Column:
+    """How many of 256 bits of parity differ between x and y; null where one of them has 64 alone."""
+    parts = [F.col("wide_x")[k].bitwiseXOR(F.col("wide_y")[k]) for k in range(3)]
+    parts.append(reduce(lambda a, b: a.bitwiseXOR(b), parts, F.col("bits_x").bitwiseXOR(F.col("bits_y"))))
+    return reduce(add, map(F.bit_count, parts))
 
 
 def _prefix(size: Column, percent: int) -> Column:
@@ -118,10 +125,9 @@ def _confirmed(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
 
 def _confirmed_once(pairs: DataFrame, classes: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """As _confirmed(): one pair of each later line first, then all pairs of those that this leaves without a match."""
-    of = lambda c: classes.select(F.col("n").alias(c), F.col("rep").alias(f"of_{c}"), F.col("size").alias(f"size_{c}"), F.col("wide").alias(f"wide_{c}"))
-    apart = reduce(add, (F.bit_count(F.col("wide_x")[k].bitwiseXOR(F.col("wide_y")[k])) for k in range(4)))
+    of = lambda c: classes.select(F.col("n").alias(c), *(F.col(k).alias(f"{k}_{c}") for k in ("size", "bits", "wide")), F.col("rep").alias(f"of_{c}"))
     both = F.col("size_x") + F.col("size_y")
-    fits = F.coalesce((100 + percent) * (both - apart) >= 2 * percent * both, F.lit(True))
+    fits = F.coalesce((100 + percent) * (both - _wide_apart()) >= 2 * percent * both, F.lit(True))
     in_order = pairs.distinct().join(of("x"), "x").join(of("y"), "y").where(fits)
     swap = F.col("of_x") > F.col("of_y")
     in_order = saved(in_order.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("y")), "in_order")
@@ -160,8 +166,8 @@ def _in_long_lists(classes: DataFrame, entries: DataFrame, long: DataFrame, line
     members = saved(members, "members", **_DICTIONARY)
     own = saved(lines.join(sent_if_small(members.select("n").distinct(), SENT_LINES), "n", "left_semi").select("n", "rep", "words"), "own", **_DICTIONARY)
     one = _confirmed(_led(members, percent, 1, 1), own, percent)
-    members = _still_open(members, one)
-    two = _confirmed(_led(members, percent, 1, SALTS), own, percent)
+    left = _still_open(members, one)
+    two = _confirmed(_led(left, percent, 1, SALTS), own, percent)
 
     # Two sets that share the list's word first share another one by the place after their prefixes.
     pair = members.select("key", "n", "rep", "size", "bits", "score", F.posexplode("prefix").alias("at", "second"), F.col("at").alias("before")).where("at > before")
@@ -170,7 +176,7 @@ def _in_long_lists(classes: DataFrame, entries: DataFrame, long: DataFrame, line
     three = _confirmed(_led(pair, percent, 2, SALTS), own, percent)
     y = pair.where("open").join(three.select("rep"), "rep", "left_anti")
     rest = _confirmed(_meeting(pair, y, _fit(percent, 2) & (F.col("x.rep") < F.col("y.rep"))), own, percent)
-    drop_saved(pair, own)
+    drop_saved(members, pair, own)
     return one.unionByName(two).unionByName(three).unionByName(rest)
 
 
