@@ -273,12 +273,12 @@ _stream("stream_first_of_each", lambda e: windows.first_of_each(e, ["user_id"]).
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import more, wider  # noqa: F401  register their queries here
+    from . import formats, more, wider  # noqa: F401  register their queries here
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import more, wider  # noqa: F401
+    from . import formats, more, wider  # noqa: F401
 
     return dict(_SQL)
