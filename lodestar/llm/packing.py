@@ -9,6 +9,7 @@ its place by its length and its rank among equal lengths, which salted windows c
 from __future__ import annotations
 
 import bisect
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -17,22 +18,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Words, as_array, saved, slices
+from .shared import as_array, give_back, saved, slices
 
 CAPACITY, END_ID = 4096, 1
-#: Words kept in a task's cache of token ids, and the longest that is kept.
-CACHE_WORDS, CACHED_CHARS = 200_000, 64
+#: Words in a task's cache of token ids (a generation begins at half as many), and the longest that is kept.
+CACHE_WORDS, CACHED_CHARS = 300_000, 64
 #: Bytes of text tokenised at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Pieces of one length that one window ranks, about.
 RANKED_TOGETHER = 1_000_000
 
 
 class WordEncoder:
-    """Token ids of white-space separated words by a public tokenizer that drops white space, cached per word.
+    """Token ids of white-space separated words, or parts of words, by a public tokenizer that drops white space.
 
     Words of ASCII and Latin-1 letters are cut as the tokenizer's pattern cuts them and go to its merges
-    directly; any other word goes through the whole tokenizer.
+    directly; any other word goes through the whole tokenizer. What was met last is kept in two generations.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -48,33 +49,30 @@ class WordEncoder:
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.cache_words = cache_words
 
     def _part(self, part: str) -> bytes:
-        got = self.parts.get(part)
-        if got is None:
-            spelled = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-            got = np.array([t.id for t in self.merges.tokenize(spelled)], np.uint32).tobytes()
-            if len(part) <= CACHED_CHARS:
-                self.parts[part] = got
-        return got
+        spelled = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        return struct.pack(f"={len(ids)}I", *ids) if (ids := [t.id for t in self.merges.tokenize(spelled)]) else b""
 
     def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self._part(word.lower())
         if self.plain(word) and "<|" not in word:
             return b"".join(map(self._part, self.cut(word.lower())))
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def __call__(self, vocabulary: list[str]) -> list[bytes]:
-        if len(self.words) + len(vocabulary) > self.cache_words:
-            self.words.clear()
-        if len(self.parts) > self.cache_words:
-            self.parts.clear()
-        known, out = self.words, []
+        if len(self.words) > self.cache_words // 2:
+            self.words, self.older = {}, self.words
+        known, older, out = self.words, self.older, []
         for word in vocabulary:
             got = known.get(word)
             if got is None:
-                got = self._word(word)
+                got = older.get(word)
+                if got is None:
+                    got = self._word(word)
                 if len(word) <= CACHED_CHARS:
                     known[word] = got
             out.append(got)
@@ -82,9 +80,8 @@ class WordEncoder:
 
     def forget(self) -> None:
         """Empty the caches and give back unused memory: a worker goes on to tasks of other operators."""
-        self.words.clear()
-        self.parts.clear()
-        pa.default_memory_pool().release_unused()
+        self.words, self.older = {}, {}
+        give_back()
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -96,18 +93,73 @@ def _encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def _kinds() -> np.ndarray:
+    """What a byte is to the tokenizer's pattern: 0 space, 1 letter, 2 digit, 3 other, 4 in words that stay whole."""
+    kinds = np.full(256, 4, np.uint8)
+    kinds[33:127] = 3
+    kinds[np.frombuffer(b" \t\n\v\f\r", np.uint8)] = 0
+    kinds[48:58] = 2
+    kinds[65:91] = kinds[97:123] = 1
+    kinds[np.frombuffer(b"'<", np.uint8)] = 4
+    # Of what is not ASCII, the Latin-1 letters alone: byte C3, then 80 to BF; two of these are signs.
+    kinds[0x80:0xC0] = kinds[0xC3] = 1
+    kinds[[0x97, 0xB7]] = 4
+    return kinds
+
+
+_KINDS = _kinds()
+
+
+def parts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The parts that texts' words can be encoded by: text i has codes[starts[i]:starts[i + 1]], codes index the vocabulary.
+
+    Words are cut between letters, digits and other signs and around each digit, as the tokenizer's pattern does, and
+    A-Z are in lower case; words with an apostrophe, which the pattern looks at, a `<`, which may begin a special
+    token, or characters beyond Latin-1 letters stay whole and as they are.
+    """
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.empty(0, np.uint8)
+    bounds = bounds - bounds[0]
+    kind = _KINDS[data]
+    # A byte from 80 to BF is a letter after C3 alone, and C3 only before such a byte, which valid UTF-8 has there.
+    high = np.flatnonzero((data >= 0x80) & (data < 0xC0))
+    kind[high[data[high - 1] != 0xC3]] = 4
+    filled = np.diff(bounds) > 0
+    text_begins = bounds[:-1][filled]
+    inside = kind != 0
+    word_begins = inside.copy()
+    word_begins[1:] &= ~inside[:-1]
+    word_begins[text_begins] = inside[text_begins]
+    number = np.cumsum(word_begins, dtype=np.int32) - 1
+    whole = np.zeros(int(word_begins.sum()) + 1, bool)
+    odd = np.flatnonzero(kind == 4)
+    whole[number[odd]] = True
+    keep = whole[number] & inside
+    begins = word_begins.copy()
+    begins[1:] |= inside[1:] & ~keep[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))
+    first = np.flatnonzero(begins)
+    lengths = np.add.reduceat(inside, first, dtype=np.int64) if len(first) else np.empty(0, np.int64)
+    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    spelled = data.copy()
+    spelled[(data >= 65) & (data <= 90) & ~keep] += 32
+    listed = pa.Array.from_buffers(pa.large_string(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(spelled[inside])]).dictionary_encode()
+    return np.searchsorted(first, bounds), listed.indices.to_numpy(zero_copy_only=False), listed.dictionary
+
+
 def token_ids(texts: pa.Array, encoder: WordEncoder) -> Iterator[np.ndarray]:
     """The ids (uint32) of each text."""
-    words = Words(texts)
-    encoded = encoder(words.vocabulary.to_pylist())
+    starts, codes, vocabulary = parts(texts)
+    encoded = encoder(vocabulary.to_pylist())
     lengths = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
-    firsts = np.concatenate([[0], np.cumsum(lengths)])
+    firsts = np.cumsum(lengths) - lengths
     pool = np.frombuffer(b"".join(encoded), np.uint32)
-    for i in range(len(words)):
-        codes = words.row(i)
-        n = lengths[codes]
-        ends = np.cumsum(n)
-        yield pool[np.repeat(firsts[codes] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+    n = lengths[codes]
+    ends = np.cumsum(n)
+    ids = pool[np.repeat(firsts[codes] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+    bounds = np.concatenate([[0], ends])[starts]
+    for i in range(len(texts)):
+        yield ids[bounds[i] : bounds[i + 1]]
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
