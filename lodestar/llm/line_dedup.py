@@ -1,12 +1,13 @@
 """Line dedup: an exact set-similarity join of lines, after which lines that match an earlier one go.
 
 A line is the set of its lower-cased words, told apart by 64-bit hashes. Lines of equal sets are one class, found
-by two hashes of the set, and the class's first occurrence stands for it. Words are ordered by rarity (counts of
-all words in a table of fixed size, then the word's hash); sets of similarity 0.8 share a word in short prefixes
-of that order. Each prefix word lists its classes, with their sizes, positions and parity words, all of which
-bound the overlap a pair can still have; full sets decide. Pairs of a short list meet directly. In a long list all
-meet its earliest class and its commonest one; those still without a match go on to lists of two prefix words,
-so groups of near copies never make all their pairs. All of it is DataFrame operations.
+by two hashes of the set, and the class's first occurrence stands for it. Words are ordered by rarity (exact counts
+of frequent words in a table of fixed size, then the word's hash); sets of similarity 0.8 share a word in short
+prefixes of that order. Each prefix word lists its classes, with their sizes, positions and parity words, all of which
+bound the overlap a pair can still have; full sets decide. Pairs of a short list meet directly. Classes of a long
+list go on to lists of two prefix words. Where such a list is long too, all meet its earliest class and its commonest
+one, and only those still without a match meet all, so groups of near copies never make all their pairs. All of it
+is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -21,11 +22,17 @@ from .shared import drop_saved, saved, sent_if_small
 
 PERCENT = 80
 #: Counters of the rarity table, a power of two: its size does not depend on the input.
-COUNTERS = 1 << 19
-#: Bits of a word's hash in its key; the bits above hold STEPS * log2 of its count.
-HASH_BITS, STEPS = 52, 1
+COUNTERS = 1 << 21
+#: Words are frequent from this share of all occurrences on, so that there are never more of them, and from this count on.
+SHARE, LEAST_FREQUENT = 1 << 21, 32
+#: Bits of a word's hash in its key; the bits above hold log2 of its count, 0 where it is not frequent.
+HASH_BITS = 52
 #: A list of more classes than this is long.
-LONG = 512
+LONG = 1024
+#: Keys of long lists that are sent to all tasks at most (8 bytes each).
+SENT_KEYS = 1_000_000
+#: Entries for each class that are shuffled at once: lists are dealt to as many passes as that takes, so room stays in proportion.
+AT_ONCE = 8
 #: Leaders of each kind in the later rounds over long lists.
 SALTS = 8
 #: Sets of more words than this have a parity of 256 bits too: of 64 bits, as many differ by chance as may differ.
@@ -54,11 +61,12 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return sets.select(F.monotonically_increasing_id().alias("n"), F.struct("doc", "of", "no").alias("rep"), F.xxhash64("words").alias("a"), F.xxhash64(F.lit(1), "words").alias("b"), F.size("words").alias("size"), "words")
 
 
-def _rarity(lines: DataFrame) -> DataFrame:
-    """One row with one array: for each counter STEPS * log2 of the number of its words in all lines' sets, shifted above HASH_BITS."""
-    each = lines.select(F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND(COUNTERS - 1).cast("int").alias("counter")).agg(F.count("*").alias("n"))
+def _rarity(lines: DataFrame, frequent: int) -> DataFrame:
+    """One row with one array: for each counter log2 of the lines that the commonest of its frequent words is in, 0 without one."""
+    words = lines.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= frequent)
+    each = words.groupBy(F.col("w").bitwiseAND(COUNTERS - 1).cast("int").alias("counter")).agg(F.max("n").alias("n"))
     dense = lines.sparkSession.range(COUNTERS).select(F.col("id").cast("int").alias("counter")).join(each, "counter", "left")
-    value = F.shiftleft(F.floor(STEPS * F.log2(F.coalesce("n", F.lit(1)).cast("double"))).cast("long"), HASH_BITS)
+    value = F.floor(F.log2(F.coalesce("n", F.lit(1)).cast("double"))).cast("tinyint")
     parts = dense.groupBy(F.shiftright("counter", 10).alias("part")).agg(F.array_sort(F.collect_list(F.struct("counter", value.alias("value")))).alias("values"))
     parts = parts.agg(F.array_sort(F.collect_list(F.struct("part", F.col("values.value").alias("values")))).alias("parts"))
     return saved(parts.select(F.flatten("parts.values").alias("rarity")), "rarity")
@@ -66,7 +74,7 @@ def _rarity(lines: DataFrame) -> DataFrame:
 
 def _keys(words: Column, rarity: Column) -> Column:
     """The sorted keys of a set's words: rarest first, in one order for all lines."""
-    key = lambda h: F.get(rarity, h.bitwiseAND(COUNTERS - 1).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
+    key = lambda h: F.shiftleft(F.get(rarity, h.bitwiseAND(COUNTERS - 1).cast("int")).cast("long"), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
     return F.sort_array(F.transform(words, key))
 
 
@@ -158,26 +166,32 @@ def _still_open(members: DataFrame, matched: DataFrame) -> DataFrame:
     return members.drop("open").join(matched.select("rep").distinct().withColumn("matched", F.lit(True)), "rep", "left").withColumn("open", F.col("matched").isNull()).drop("matched")
 
 
-def _in_long_lists(classes: DataFrame, entries: DataFrame, long: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """The reps of later lines of matches in long lists."""
-    score = F.aggregate("prefix", F.lit(0.0), lambda a, k: a + F.shiftrightunsigned(k, HASH_BITS)) / F.greatest(F.size("prefix"), F.lit(1))
-    listed = entries.join(sent_if_small(long, SENT_LINES), "key", "left_semi")
-    members = listed.join(classes.select("n", "rep", score.alias("score"), "prefix"), "n").withColumn("open", F.lit(True))
-    members = saved(members, "members", **_DICTIONARY)
-    own = saved(lines.join(sent_if_small(members.select("n").distinct(), SENT_LINES), "n", "left_semi").select("n", "rep", "words"), "own", **_DICTIONARY)
-    one = _confirmed(_led(members, percent, 1, 1), own, percent)
-    left = _still_open(members, one)
-    two = _confirmed(_led(left, percent, 1, SALTS), own, percent)
+def _passes(lists: DataFrame, rows: int | None, classes: int) -> list[DataFrame]:
+    """lists, of so many rows, in parts of about AT_ONCE rows a class that each have all of a key's rows."""
+    n = -(-(rows or 0) // max(1, AT_ONCE * classes))
+    return [lists.where(F.pmod(F.xxhash64("key"), F.lit(n)) == k) for k in range(n)] if n > 1 else [lists]
+
 
+def _two_words(classes: DataFrame, long: DataFrame, percent: int) -> tuple[DataFrame, int | None]:
+    """The classes of long lists listed by two prefix words, and the number of rows: key (a hash), n, size, at (the second word's place), bits."""
     # Two sets that share the list's word first share another one by the place after their prefixes.
-    pair = members.select("key", "n", "rep", "size", "bits", "score", F.posexplode("prefix").alias("at", "second"), F.col("at").alias("before")).where("at > before")
-    pair = pair.select(F.xxhash64("key", "second").alias("key"), "n", "rep", "size", "at", "bits", "score")
-    pair = saved(_still_open(pair, one.unionByName(two)), "two_words")
-    three = _confirmed(_led(pair, percent, 2, SALTS), own, percent)
-    y = pair.where("open").join(three.select("rep"), "rep", "left_anti")
-    rest = _confirmed(_meeting(pair, y, _fit(percent, 2) & (F.col("x.rep") < F.col("y.rep"))), own, percent)
-    drop_saved(members, pair, own)
-    return one.unionByName(two).unionByName(three).unionByName(rest)
+    listed = classes.select("n", "size", "bits", "prefix", F.posexplode("prefix").alias("before", "first")).where(F.col("before") < _prefix(F.col("size"), percent))
+    listed = listed.join(sent_if_small(long.withColumnRenamed("key", "first"), SENT_KEYS), "first", "left_semi")
+    rows = listed.agg(F.sum(F.size("prefix") - F.col("before") - 1)).first()[0]
+    pair = listed.select("first", "n", "size", "bits", "before", F.posexplode("prefix").alias("at", "second")).where("at > before")
+    return pair.select(F.xxhash64("first", "second").alias("key"), "n", "size", "at", "bits"), rows
+
+
+def _by_leaders(classes: DataFrame, listed: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """The reps of later lines of matches in lists of two words that are long too."""
+    score = F.aggregate("prefix", F.lit(0.0), lambda a, k: a + F.shiftrightunsigned(k, HASH_BITS)) / F.greatest(F.size("prefix"), F.lit(1))
+    members = saved(listed.join(classes.select("n", "rep", score.alias("score")), "n").withColumn("open", F.lit(True)), "members", **_DICTIONARY)
+    one = _confirmed(_led(members, percent, 2, 1), lines, percent)
+    two = _confirmed(_led(_still_open(members, one), percent, 2, SALTS), lines, percent)
+    y = _still_open(members, one.unionByName(two)).where("open")
+    rest = _confirmed(_meeting(members, y, _fit(percent, 2) & (F.col("x.rep") < F.col("y.rep"))), lines, percent)
+    drop_saved(members)
+    return one.unionByName(two).unionByName(rest)
 
 
 def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -193,7 +207,8 @@ def matches_by_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     equal ids and other texts are other documents. An empty table gives no rows.
     """
     lines = saved(_lines(docs, id_col, text_col), "lines", **_DICTIONARY)
-    rarity = _rarity(lines)
+    frequent = max(LEAST_FREQUENT, (lines.agg(F.sum("size")).first()[0] or 0) // SHARE)
+    rarity = _rarity(lines, frequent)
     # Different sets of this similarity have a union of least 100 / (100 - percent) words.
     least = max(1, -(-100 // max(1, 100 - percent)) - 1)
     prefix = F.when(F.col("size") >= least, F.slice(_keys(F.col("words"), F.col("rarity")), 1, _prefix(F.col("size"), percent) + 1)).otherwise(F.array().cast("array<long>"))
@@ -201,21 +216,41 @@ def matches_by_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = lines.withColumn("rarity", rarity.scalar()).select("a", "b", F.struct("rep", "n", "size", _parity(F.col("words")).alias("bits"), prefix.alias("prefix"), F.when(F.col("size") > WIDE, _wide_parity(F.col("words"))).alias("wide")).alias("own"))
     classes = saved(keyed.groupBy("a", "b").agg(F.min("own").alias("own"), F.count("*").alias("lines")).select("a", "b", "lines", "own.*"), "classes", **_DICTIONARY)
 
-    # A word that is alone on its counter occurs in one line only.
-    entries = classes.select("n", "size", "bits", F.posexplode("prefix").alias("at", "key")).where((F.col("at") < _prefix(F.col("size"), percent)) & (F.col("key") >= 1 << HASH_BITS))
-    # Lists can be long only where counters are high.
-    many = entries.where(F.col("key") >= (STEPS * (LONG.bit_length() - 1)) << HASH_BITS).groupBy("key").agg(F.count("*").alias("members"))
+    entries = classes.select("n", "size", "bits", F.posexplode("prefix").alias("at", "key")).where(F.col("at") < _prefix(F.col("size"), percent))
+    # Lists can be long only where counts are high.
+    high = LONG.bit_length() - 1 if frequent <= LONG else 0
+    many = entries.where(F.col("key") >= high << HASH_BITS).groupBy("key").agg(F.count("*").alias("members"))
     long = saved(many.where(F.col("members") > LONG).select("key"), "long")
-    short = entries.join(long, "key", "left_anti")
-    direct = _confirmed_once(_meeting(short, short, _fit(percent) & (F.col("x.n") < F.col("y.n"))), classes, lines, percent)
-    gone = saved(direct.unionByName(_in_long_lists(classes, entries, long, lines, percent)).select("rep").distinct(), "gone")
+    whole = classes.agg(F.count("*"), F.sum(F.when(F.col("size") >= least, _prefix(F.col("size"), percent)))).first()
+    apart, made, met = [], [long], []
+
+    def meet(lists: DataFrame, shared: int) -> None:
+        met.append(saved(_meeting(lists, lists, _fit(percent, shared) & (F.col("x.n") < F.col("y.n"))).distinct(), "met"))
+
+    some = not long.isEmpty()
+    for part in _passes(entries, whole[1], whole[0]):
+        meet(part.join(sent_if_small(long, SENT_KEYS), "key", "left_anti") if some else part, 1)
+    if some:
+        pair, rows = _two_words(classes, long, percent)
+        longer = []
+        for part in _passes(pair, rows, whole[0]):
+            longer.append(saved(part.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > LONG).select("key"), "longer"))
+            meet(part.join(sent_if_small(longer[-1], SENT_KEYS), "key", "left_anti"), 2)
+        made += longer
+        longer = reduce(DataFrame.unionByName, longer)
+        if not longer.isEmpty():
+            apart.append(_by_leaders(classes, pair.join(sent_if_small(longer, SENT_KEYS), "key", "left_semi"), lines, percent))
+    made += met
+    met = reduce(DataFrame.unionByName, met)
+    direct = _confirmed_once(met, classes, lines, percent)
+    gone = saved(reduce(DataFrame.unionByName, apart, direct).select("rep").distinct(), "gone")
 
     later = classes.select("a", "b", "lines", "rep").join(sent_if_small(gone, SENT_LINES).withColumn("gone", F.lit(True)), "rep", "left")
     later = saved(later.where("gone OR lines > 1").select("a", "b", "rep", F.coalesce("gone", F.lit(False)).alias("gone")), "later")
     own = lines.select(F.col("rep").alias("own"), "a", "b").join(sent_if_small(later, SENT_LINES), ["a", "b"])
     found = own.where(F.col("gone") | (F.col("own") > F.col("rep"))).select("own.*").distinct()
     found = saved(found, "found")
-    drop_saved(lines, rarity, classes, long, gone, later)
+    drop_saved(lines, rarity, classes, *made, gone, later)
     return found
 
 
