@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Words, as_array, byte_table, filesystem, new_path, numbered, slices, translated
+from .shared import Words, as_array, byte_table, filesystem, give_back, new_path, numbered, slices, translated
 
 WINDOW = 10
 #: Words of items in one automaton, about (1 kB each in a task): the bound of what a task holds of the items.
@@ -183,7 +183,7 @@ class Blocks:
 
     @property
     def batch_bytes(self) -> int:
-        return HELD_BYTES if len(self.numbers) > 1 else 8 << 20
+        return HELD_BYTES if len(self.numbers) > 1 else 2 << 20
 
 
 def blocks_of(items: DataFrame, id_col: str, text_col: str, window: int, block_words: int = BLOCK_WORDS) -> Blocks:
@@ -232,6 +232,7 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
                     ],
                     names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
                 )
+        give_back()
 
     return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<array<long>>")
 
@@ -270,5 +271,6 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: st
                 if chars_at >= 0:
                     columns[chars_at] = pc.utf8_length(columns[text_at]).cast(columns[chars_at].type)
                 yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return own.mapInArrow(run, own.schema).toDF(*docs.columns)

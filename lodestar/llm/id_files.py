@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import as_array, drop_saved, new_path, saved, sent_if_small, slices
+from .shared import as_array, drop_saved, give_back, new_path, saved, sent_if_small, slices
 from .warc import _filesystem
 
 END_ID = 2
@@ -233,7 +233,7 @@ class PartEncoder:
     def forget(self) -> None:
         """Empty the caches and give back unused memory: a worker goes on to tasks of other operators."""
         self.known, self.before = {}, {}
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each text, with its end id, and all ids."""

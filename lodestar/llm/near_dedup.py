@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Words, as_array, byte_table, drop_saved, hashes, mixed, saved, sent_if_small, slices, translated, windows
+from .shared import Words, as_array, byte_table, drop_saved, give_back, hashes, mixed, saved, sent_if_small, slices, translated, windows
 
 SHINGLE, PERCENT = 4, 80
 #: Values in a sketch; of these, the first LISTED are compared by lists.
@@ -34,6 +34,8 @@ DEVIATIONS = 4.9
 #: Rows of ids that are sent to all tasks at most (some 40 bytes each); more of them are shuffled.
 SENT_ROWS = 300_000
 TABLE = byte_table()
+#: Bytes of text whose shingles are made at once.
+SLICE_BYTES = 2 << 20
 
 
 def shingles(words: Words, hashed: np.ndarray, i: int, n: int) -> np.ndarray:
@@ -60,7 +62,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "t"):
+            for batch in slices(whole, "t", SLICE_BYTES):
                 size, a, b, listed, kept = [], [], [], [], []
                 for s in _each(batch, shingle):
                     size.append(len(s))
@@ -70,6 +72,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
                     listed.append(signed[:LISTED])
                     kept.append((signed >> 32).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(size, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(listed, pa.list_(pa.int64())), pa.array(kept, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "set_a", "set_b", "listed", "sketch"])
+        give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, f"doc_id {kind}, n_shingles long, set_a long, set_b long, listed array<long>, sketch array<int>")
@@ -80,10 +83,11 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "t"):
+            for batch in slices(whole, "t", SLICE_BYTES):
                 sets = list(_each(batch, shingle))
                 right = pa.array([_set_hash(s) == want for s, want in zip(sets, batch.column("want").to_pylist(), strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "packed"]).filter(right)
+        give_back()
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['i'].dataType.simpleString()}, packed binary")
 
@@ -100,6 +104,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     full = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("packed").alias("set_of_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("packed").alias("set_of_b")), "b")
     return full.mapInArrow(run, f"a {kind}, b {kind}")

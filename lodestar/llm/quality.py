@@ -24,12 +24,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Words, as_array, hashes, mixed, numbered, slices, windows
+from .shared import Words, as_array, give_back, hashes, mixed, numbered, slices, windows
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 SYMBOLS = "#*$%&|<>"
 #: Words kept in a task's cache of token ids, and the longest that is kept; bytes of text measured at once.
-CACHE_WORDS, CACHED_CHARS, SLICE_BYTES = 60_000, 64, 4 << 20
+CACHE_WORDS, CACHED_CHARS, SLICE_BYTES = 60_000, 64, 2 << 20
 #: Words that the vocabularies cut at once.
 BATCH_WORDS = 4096
 
@@ -137,7 +137,7 @@ def _forget() -> None:
     """Empty the caches and give back unused memory: a worker goes on to tasks of other operators."""
     for *_, cache in _caches.values():
         cache.clear()
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def repeated(hashed: np.ndarray, n: int = WINDOW) -> int:

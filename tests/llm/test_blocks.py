@@ -43,3 +43,10 @@ def test_archives_by_join_and_by_sent_digests_agree(spark, monkeypatch, least):
         h = html or ""
         want = last[h] if count[h] > 1 and len(h) >= least and i != last[h] else None
         assert any(r[0] == i and r[1] == len(h) and r[4] == want for r in sent)
+
+
+def test_tasks_hold_little_text_at_once():
+    from lodestar.llm import near_dedup, packing, quality
+
+    sizes = [decontam.Blocks("", [0], 10).batch_bytes, near_dedup.SLICE_BYTES, packing.SLICE_BYTES, quality.SLICE_BYTES]
+    assert max(sizes) <= 2 << 20  # an executor holds two such workers beside its heap, see README
