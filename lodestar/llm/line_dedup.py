@@ -3,9 +3,11 @@
 A line is the set of its lower-cased words, told apart by 64-bit hashes. Lines of equal sets are one class, found
 by two hashes of the set, and the class's first occurrence stands for it. Words are ordered by rarity (exact counts
 of frequent words in a table of fixed size, then the word's hash); sets of similarity 0.8 share a word in short
-prefixes of that order. Each prefix word lists its classes, with their sizes, positions and parity words, all of which
-bound the overlap a pair can still have; full sets decide. Pairs of a short list meet directly. Classes of a long
-list go on to lists of two prefix words. Where such a list is long too, all meet its earliest class and its commonest
+prefixes of that order. First every class meets the earliest one of those whose prefixes end with the same two words or have the
+same two before the last: this finds a match for most members of groups of near copies, in rows in proportion to classes.
+Then each prefix word lists its classes, with their sizes, positions and parity words, all of which bound the overlap a pair can still have; full sets decide.
+Pairs of a short list in which one has no match yet meet directly. Classes of a long list go on to lists of two prefix
+words. Where such a list is long too, all meet its earliest class and its commonest
 one, and only those still without a match meet all, so groups of near copies never make all their pairs. All of it
 is DataFrame operations.
 """
@@ -35,6 +37,8 @@ SENT_KEYS = 1_000_000
 AT_ONCE = 8
 #: Leaders of each kind in the later rounds over long lists.
 SALTS = 8
+#: Pairs of neighbouring last prefix words by which classes meet the earliest one before all else.
+LEADING = 2
 #: Sets of more words than this have a parity of 256 bits too: of 64 bits, as many differ by chance as may differ.
 WIDE = 48
 #: Lines to cut whose numbers are sent to all tasks at most (4 bytes each and some 50 a document); beyond that, texts are shuffled.
@@ -132,12 +136,13 @@ def _confirmed(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
 
 
 def _confirmed_once(pairs: DataFrame, classes: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """As _confirmed(): one pair of each later line first, then all pairs of those that this leaves without a match."""
-    of = lambda c: classes.select(F.col("n").alias(c), *(F.col(k).alias(f"{k}_{c}") for k in ("size", "bits", "wide")), F.col("rep").alias(f"of_{c}"))
+    """As _confirmed() for later lines that are open: one pair of each first, then all pairs of those that this leaves without a match."""
+    of = lambda c: classes.select(F.col("n").alias(c), *(F.col(k).alias(f"{k}_{c}") for k in ("size", "bits", "wide", "open")), F.col("rep").alias(f"of_{c}"))
     both = F.col("size_x") + F.col("size_y")
     fits = F.coalesce((100 + percent) * (both - _wide_apart()) >= 2 * percent * both, F.lit(True))
-    in_order = pairs.distinct().join(of("x"), "x").join(of("y"), "y").where(fits)
     swap = F.col("of_x") > F.col("of_y")
+    # A later line that has a match already needs no other.
+    in_order = pairs.distinct().join(of("x"), "x").join(of("y"), "y").where(fits & F.when(swap, F.col("open_x")).otherwise(F.col("open_y")))
     in_order = saved(in_order.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("y")), "in_order")
     first = saved(in_order.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), "first")
     one = _confirmed(first, lines, percent)
@@ -153,6 +158,16 @@ def _meeting(x: DataFrame, y: DataFrame, fit: Column) -> DataFrame:
     return met.select(F.least("x.n", "y.n").alias("x"), F.greatest("x.n", "y.n").alias("y"))
 
 
+def _with_earliest(classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs of classes with the earliest of those that have two neighbouring last words of their prefixes in common, LEADING for each class at most."""
+    # The words need not be the first that two of them share, so their place bounds nothing.
+    own = F.struct("rep", "n", "size", F.lit(0).alias("at"), "bits")
+    keys = F.array(*(F.when(F.size("prefix") >= k, F.xxhash64(F.slice("prefix", -k, 2))) for k in range(2, 2 + LEADING)))
+    ends = classes.where(F.size("prefix") > 1).select(F.explode(keys).alias("key"), own.alias("own")).where("key IS NOT NULL")
+    leaders = ends.groupBy("key").agg(F.min("own").alias("own"), F.count("*").alias("members")).where("members > 1")
+    return _meeting(leaders.select("key", "own.*"), ends.select("key", "own.*"), _fit(percent) & (F.col("x.n") != F.col("y.n")))
+
+
 def _led(members: DataFrame, percent: int, shared: int, salts: int) -> DataFrame:
     """The pairs of a list's leaders with the others that have no match yet; leaders are the earliest and the commonest class of each salt."""
     own = F.struct("n", "size", "at", "bits")
@@ -162,8 +177,8 @@ def _led(members: DataFrame, percent: int, shared: int, salts: int) -> DataFrame
 
 
 def _still_open(members: DataFrame, matched: DataFrame) -> DataFrame:
-    """members, open where their rep is not among the matched ones."""
-    return members.drop("open").join(matched.select("rep").distinct().withColumn("matched", F.lit(True)), "rep", "left").withColumn("open", F.col("matched").isNull()).drop("matched")
+    """members, open where they were and their rep is not among the matched ones."""
+    return members.join(sent_if_small(matched.select("rep").distinct(), SENT_LINES).withColumn("matched", F.lit(True)), "rep", "left").withColumn("open", F.col("open") & F.col("matched").isNull()).drop("matched")
 
 
 def _passes(lists: DataFrame, rows: int | None, classes: int) -> list[DataFrame]:
@@ -173,19 +188,19 @@ def _passes(lists: DataFrame, rows: int | None, classes: int) -> list[DataFrame]
 
 
 def _two_words(classes: DataFrame, long: DataFrame, percent: int) -> tuple[DataFrame, int | None]:
-    """The classes of long lists listed by two prefix words, and the number of rows: key (a hash), n, size, at (the second word's place), bits."""
+    """The classes of long lists listed by two prefix words, and the number of rows: key (a hash), n, size, at (the second word's place), bits, open."""
     # Two sets that share the list's word first share another one by the place after their prefixes.
-    listed = classes.select("n", "size", "bits", "prefix", F.posexplode("prefix").alias("before", "first")).where(F.col("before") < _prefix(F.col("size"), percent))
+    listed = classes.select("n", "size", "bits", "open", "prefix", F.posexplode("prefix").alias("before", "first")).where(F.col("before") < _prefix(F.col("size"), percent))
     listed = listed.join(sent_if_small(long.withColumnRenamed("key", "first"), SENT_KEYS), "first", "left_semi")
     rows = listed.agg(F.sum(F.size("prefix") - F.col("before") - 1)).first()[0]
-    pair = listed.select("first", "n", "size", "bits", "before", F.posexplode("prefix").alias("at", "second")).where("at > before")
-    return pair.select(F.xxhash64("first", "second").alias("key"), "n", "size", "at", "bits"), rows
+    pair = listed.select("first", "n", "size", "bits", "open", "before", F.posexplode("prefix").alias("at", "second")).where("at > before")
+    return pair.select(F.xxhash64("first", "second").alias("key"), "n", "size", "at", "bits", "open"), rows
 
 
 def _by_leaders(classes: DataFrame, listed: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """The reps of later lines of matches in lists of two words that are long too."""
     score = F.aggregate("prefix", F.lit(0.0), lambda a, k: a + F.shiftrightunsigned(k, HASH_BITS)) / F.greatest(F.size("prefix"), F.lit(1))
-    members = saved(listed.join(classes.select("n", "rep", score.alias("score")), "n").withColumn("open", F.lit(True)), "members", **_DICTIONARY)
+    members = saved(listed.join(classes.select("n", "rep", score.alias("score")), "n"), "members", **_DICTIONARY)
     one = _confirmed(_led(members, percent, 2, 1), lines, percent)
     two = _confirmed(_led(_still_open(members, one), percent, 2, SALTS), lines, percent)
     y = _still_open(members, one.unionByName(two)).where("open")
@@ -216,16 +231,21 @@ def matches_by_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = lines.withColumn("rarity", rarity.scalar()).select("a", "b", F.struct("rep", "n", "size", _parity(F.col("words")).alias("bits"), prefix.alias("prefix"), F.when(F.col("size") > WIDE, _wide_parity(F.col("words"))).alias("wide")).alias("own"))
     classes = saved(keyed.groupBy("a", "b").agg(F.min("own").alias("own"), F.count("*").alias("lines")).select("a", "b", "lines", "own.*"), "classes", **_DICTIONARY)
 
-    entries = classes.select("n", "size", "bits", F.posexplode("prefix").alias("at", "key")).where(F.col("at") < _prefix(F.col("size"), percent))
+    early = _confirmed(_with_earliest(classes, percent), lines, percent)
+    every, classes = classes, _still_open(classes.withColumn("open", F.lit(True)), early)
+
+    entries = classes.select("n", "size", "bits", "open", F.posexplode("prefix").alias("at", "key")).where(F.col("at") < _prefix(F.col("size"), percent))
     # Lists can be long only where counts are high.
     high = LONG.bit_length() - 1 if frequent <= LONG else 0
     many = entries.where(F.col("key") >= high << HASH_BITS).groupBy("key").agg(F.count("*").alias("members"))
     long = saved(many.where(F.col("members") > LONG).select("key"), "long")
     whole = classes.agg(F.count("*"), F.sum(F.when(F.col("size") >= least, _prefix(F.col("size"), percent)))).first()
-    apart, made, met = [], [long], []
+    apart, made, met = [early], [long], []
 
     def meet(lists: DataFrame, shared: int) -> None:
-        met.append(saved(_meeting(lists, lists, _fit(percent, shared) & (F.col("x.n") < F.col("y.n"))).distinct(), "met"))
+        # Of each pair that has an open class, y is one.
+        once = (F.col("x.n") != F.col("y.n")) & ((F.col("x.n") < F.col("y.n")) | ~F.col("x.open"))
+        met.append(saved(_meeting(lists, lists.where("open"), _fit(percent, shared) & once).distinct(), "met"))
 
     some = not long.isEmpty()
     for part in _passes(entries, whole[1], whole[0]):
@@ -250,7 +270,7 @@ def matches_by_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = lines.select(F.col("rep").alias("own"), "a", "b").join(sent_if_small(later, SENT_LINES), ["a", "b"])
     found = own.where(F.col("gone") | (F.col("own") > F.col("rep"))).select("own.*").distinct()
     found = saved(found, "found")
-    drop_saved(lines, rarity, classes, *made, gone, later)
+    drop_saved(lines, rarity, every, *made, gone, later)
     return found
 
 

@@ -46,3 +46,19 @@ def test_rare_words_come_before_frequent_ones_however_many_share_a_counter(spark
     rows = spark.range(2000).select(F.array(F.lit(7).cast("long"), F.xxhash64("id")).alias("words"))
     (row,) = line_dedup._rarity(rows, 32).collect()
     assert row.rarity[7] == 10 and sum(row.rarity) == 10
+
+
+def test_group_of_near_copies_in_short_lists_does_not_make_all_its_pairs(spark, monkeypatch):
+    base = [f"w{k}" for k in range(40)]
+    copies = [[*base[: k % 40], f"other{k}", *base[k % 40 + 1 :]] for k in range(400)]
+    docs = spark.createDataFrame([(k, " ".join(words)) for k, words in enumerate(copies)], "doc_id long, text string").repartition(7)
+    made = {}
+
+    def saved(df, name, *args, own=line_dedup.saved, **options):
+        out = own(df, name, *args, **options)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "saved", saved)
+    assert {tuple(r) for r in line_dedup.matches(docs).collect()} == {(k, 0) for k in range(1, 400)}
+    assert made["long"] == 0 and made["met"] + made["pairs"] + made["in_order"] < 10_000, made
