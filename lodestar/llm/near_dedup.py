@@ -33,6 +33,8 @@ SALTS = 4
 DEVIATIONS = 4.9
 #: Rows of ids that are sent to all tasks at most (some 40 bytes each); more of them are shuffled.
 SENT_ROWS = 300_000
+#: Tasks that write what is at most SENT_ROWS narrow rows, and tasks that compare at most that many pairs of full sets, where more would only cost their starts.
+FEW, SOME = 8, 48
 TABLE = byte_table()
 #: Bytes of text whose shingles are made at once.
 SLICE_BYTES = 2 << 20
@@ -106,23 +108,27 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
         give_back()
 
+    few = pairs.count() <= SENT_ROWS
     full = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("packed").alias("set_of_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("packed").alias("set_of_b")), "b")
-    return full.mapInArrow(run, f"a {kind}, b {kind}")
+    return (full.coalesce(SOME) if few else full).mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node in edges (a, b): component is the smallest node reachable.
 
-    Each round gives a node the smallest label around it and then its label's label, until nothing changes;
-    rounds follow the logarithm of the longest path about.
+    Each round gives a node the smallest label around it and then what was that label's label, until nothing changes;
+    rounds follow the logarithm of the longest path about. Labels are sent to all tasks while edges are few.
     """
     both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = saved(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("component")), "labels")
+    few = both.count() <= SENT_ROWS
+    sent = lambda df, *columns: F.broadcast(df.select(*columns)) if few else df.select(*columns)
+    kept = lambda df: saved(df.coalesce(FEW) if few else df, "labels")
+    node, component = F.col("node"), F.col("component")
+    labels = kept(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("component")))
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("near"))
-        closer = labels.join(near, labels.node == near.a).select("node", F.col("component").alias("before"), F.least("component", "near").alias("component"))
-        up = closer.select(F.col("node").alias("component"), F.col("component").alias("jump"))
-        moved = saved(closer.join(up, "component").select("node", "before", F.col("jump").alias("component")), "labels")
+        near = both.join(sent(labels, node.alias("b"), component), "b").groupBy("a").agg(F.min("component").alias("near"))
+        closer = near.join(sent(labels, node.alias("a"), component.alias("before")), "a").select(F.col("a").alias("node"), "before", F.least("before", "near").alias("component"))
+        moved = kept(closer.join(sent(labels, node.alias("component"), component.alias("jump")), "component").select("node", "before", F.col("jump").alias("component")))
         labels = moved.select("node", "component")
         if moved.where("before <> component").isEmpty():
             drop_saved(both)
@@ -233,8 +239,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     # Then, wherever a list has several components, the best-known of each salt.
     known = _several(lists, labels)
     salted = known.groupBy("list", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")).agg(best("component"))
-    links = links.unionByName(verify(_led(known, salted, percent)))
-    labels = components(links)
+    more = verify(_led(known, salted, percent))
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        labels = components(links)
     # Then all that is left, across components.
     met = saved(_several(lists, labels).join(classes.select("doc_id", "sketch"), "doc_id"), "met")
     x, y = met.alias("x"), met.alias("y")
@@ -243,7 +251,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
         (F.col("x.list") == F.col("y.list")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
         & _sizes_fit("x.n_shingles", "y.n_shingles", percent) & _places_fit(percent) & ~F.arrays_overlap("x.before", "y.before") & _enough_shared("x.", "y.", percent),
     ).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-    labels = components(links.unionByName(verify(rest)))
+    more = verify(rest)
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
     drop_saved(met, lists)
 
     named_heads = heads.join(labels.withColumnRenamed("node", "head"), "head", "left").select(*same, F.coalesce("component", "head").alias("component"))
@@ -275,12 +285,16 @@ def _verified(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent
     x, y = (classes.select(F.col("doc_id").alias(c), F.struct("sketch", "n_shingles").alias(f"of_{c}")) for c in ("a", "b"))
     pairs = pairs.join(x, "a").join(y, "b").where(_estimate_fits("of_a.", "of_b.", percent)).select("a", "b")
     pairs = saved(pairs, "candidates")
-    needed = saved(pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct(), "needed")
+    n = pairs.count()
+    if not n:
+        return pairs
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("i"))
+    needed = F.broadcast(needed) if 2 * n <= SENT_ROWS else needed.distinct()
     wanted = saved(classes.select(F.col("doc_id").alias("i"), F.col("set_a").alias("want")).join(needed, "i", "left_semi"), "wanted")
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(sent_if_small(wanted, SENT_ROWS), "i")
     sets = saved(shingle_sets(texts, shingle).dropDuplicates(["doc_id"]), "sets")
     links = saved(_linked(pairs, sets, percent), "links")
-    drop_saved(pairs, needed, wanted, sets)
+    drop_saved(pairs, wanted, sets)
     return links
 
 
