@@ -3,10 +3,10 @@
 A line is the set of its lower-cased words, told apart by 64-bit hashes. Lines of equal sets are one class, found
 by two hashes of the set, and the class's first occurrence stands for it. Words are ordered by rarity (exact counts
 of frequent words in a table of fixed size, then the word's hash); sets of similarity 0.8 share a word in short
-prefixes of that order. First every class meets the earliest one of those whose prefixes end with the same two words or have the
-same two before the last: this finds a match for most members of groups of near copies, in rows in proportion to classes.
+prefixes of that order. First the classes of all but small groups whose prefixes end with the same two words, or have the same two before
+the last, meet the group's earliest one: this finds a match for most members of groups of near copies, in rows in proportion to classes.
 Then each prefix word lists its classes, with their sizes, positions and parity words, all of which bound the overlap a pair can still have; full sets decide.
-Pairs of a short list in which one has no match yet meet directly. Classes of a long list go on to lists of two prefix
+Pairs of a short list in which one has no match yet meet directly; the smaller set of a pair needs but a part of its prefix. Classes of a long list go on to lists of two prefix
 words. Where such a list is long too, all meet its earliest class and its commonest
 one, and only those still without a match meet all, so groups of near copies never make all their pairs. All of it
 is DataFrame operations.
@@ -15,7 +15,7 @@ is DataFrame operations.
 from __future__ import annotations
 
 from functools import reduce
-from operator import add, or_
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +39,10 @@ AT_ONCE = 8
 SALTS = 8
 #: Pairs of neighbouring last prefix words by which classes meet the earliest one before all else.
 LEADING = 2
-#: Sets of more words than this have a parity of 256 bits too: of 64 bits, as many differ by chance as may differ.
-WIDE = 48
+#: Sets of more words than this have a parity of 256 bits too: of 64 bits, hardly more differ by chance than may differ.
+WIDE = 112
+#: Groups of more classes than this that have such a pair in common meet their earliest one; smaller ones make few pairs anyway.
+LED = 8
 #: Lines to cut whose numbers are sent to all tasks at most (4 bytes each and some 50 a document); beyond that, texts are shuffled.
 CUT_LINES = 1_000_000
 #: Lines to verify that are sent to all tasks at most (some 40 bytes each); beyond that, their sets are shuffled.
@@ -49,14 +51,18 @@ SENT_LINES = 300_000
 _SPACE = " \t\v\f\r"
 #: Larger dictionaries than usual, as hashes of frequent words repeat and nothing else makes them smaller.
 _DICTIONARY = {"parquet.dictionary.page.size": str(8 << 20)}
+#: For tables of words of whole lines: looking each up in a dictionary costs more than zstd's own search for what repeats.
+_PLAIN = {f"parquet.enable.dictionary#{c}": "false" for c in ("n", "a", "b", "words.list.element", "line.words.list.element")}
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Every line that has a word: n (a number), rep (id, hash of the text, line number), a and b (hashes of the set), size, words (sorted hashes)."""
     text = F.col(text_col)
     odd = [c for c in _SPACE if c != " "]
-    spaced = F.when(reduce(or_, (F.contains(text, F.lit(c)) for c in odd)), F.translate(text, "".join(odd), " " * len(odd))).otherwise(text)
-    each = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("of"), F.posexplode(F.split(spaced, "\n")).alias("no", "line"))
+    spaced = F.when(F.rlike(text, F.lit(f"[{''.join(odd)}]")), F.translate(text, "".join(odd), " " * len(odd))).otherwise(text)
+    # Texts are hashed before they are exploded, once each and not once a line; split in the generator, they are split once, as no filter is inferred from it.
+    whole = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("of"), spaced.alias("spaced"))
+    each = whole.select("doc", "of", F.posexplode(F.split("spaced", "\n")).alias("no", "line"))
     lines = each.select("doc", "of", "no", F.trim("line").alias("line")).where("line <> ''")
     # Split at single spaces, which needs no pattern; what lies between two spaces in a row is no word.
     hashed = F.transform(F.split(F.lower("line"), " "), lambda w: F.xxhash64(w))
@@ -78,7 +84,11 @@ def _rarity(lines: DataFrame, frequent: int) -> DataFrame:
 
 def _keys(words: Column, rarity: Column) -> Column:
     """The sorted keys of a set's words: rarest first, in one order for all lines."""
-    key = lambda h: F.shiftleft(F.get(rarity, h.bitwiseAND(COUNTERS - 1).cast("int")).cast("long"), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
+    def key(h: Column) -> Column:
+        rare = F.get(rarity, h.bitwiseAND(COUNTERS - 1).cast("int")).cast("long")
+        # Keys that cannot be null are sorted as numbers, not as objects.
+        return F.coalesce(F.shiftleft(rare, HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS)), F.lit(0).cast("long"))
+
     return F.sort_array(F.transform(words, key))
 
 
@@ -111,9 +121,15 @@ def _prefix(size: Column, percent: int) -> Column:
     return size - F.ceil(size * percent / 100).cast("int") + 1
 
 
-def _fit(percent: int, shared: int = 1) -> Column:
-    """Length, positional and parity filters for entries x and y (size, at, bits) of one list of `shared` words."""
-    small, large = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
+def _smaller(percent: int, shared: int = 1) -> Column:
+    """Whether an entry (size, at) of a list of `shared` words lies where a set shares its first words with any set of its size or larger."""
+    # The overlap is percent / (100 + percent) of both sizes, and so of twice the smaller one, at least.
+    return F.col("at") < F.col("size") - F.ceil(F.col("size") * (2 * percent) / (100 + percent)).cast("int") + shared
+
+
+def _fit(percent: int, shared: int = 1, ordered: bool = False) -> Column:
+    """Length, positional and parity filters for entries x and y (size, at, bits) of one list of `shared` words; ordered: x is not the larger one."""
+    small, large = (F.col("x.size"), F.col("y.size")) if ordered else (F.least("x.size", "y.size"), F.greatest("x.size", "y.size"))
     left = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) + (shared - 1)
     both = F.col("x.size") + F.col("y.size")
     apart = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits")))
@@ -126,7 +142,7 @@ def _confirmed(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     pairs = saved(pairs.distinct(), "pairs")
     needed = saved(pairs.select(F.explode(F.array("x", "y")).alias("n")).distinct(), "needed")
     sets = lines.join(sent_if_small(needed, SENT_LINES), "n", "left_semi").select("n", F.struct(F.struct("rep", "n").alias("own"), "words").alias("line"))
-    sets = saved(sets, "sets", **_DICTIONARY)
+    sets = saved(sets, "sets", **_PLAIN)
     full = pairs.join(sets.withColumnsRenamed({"n": "x", "line": "of_x"}), "x").join(sets.withColumnsRenamed({"n": "y", "line": "of_y"}), "y")
     both = F.size(F.array_intersect("of_x.words", "of_y.words"))
     found = full.where(100 * both >= percent * (F.size("of_x.words") + F.size("of_y.words") - both))
@@ -158,13 +174,18 @@ def _meeting(x: DataFrame, y: DataFrame, fit: Column) -> DataFrame:
     return met.select(F.least("x.n", "y.n").alias("x"), F.greatest("x.n", "y.n").alias("y"))
 
 
-def _with_earliest(classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs of classes with the earliest of those that have two neighbouring last words of their prefixes in common, LEADING for each class at most."""
+def _ends(classes: DataFrame) -> DataFrame:
+    """Classes by the pairs of neighbouring last words of their prefixes, LEADING each at most: key (a hash), own."""
     # The words need not be the first that two of them share, so their place bounds nothing.
     own = F.struct("rep", "n", "size", F.lit(0).alias("at"), "bits")
     keys = F.array(*(F.when(F.size("prefix") >= k, F.xxhash64(F.slice("prefix", -k, 2))) for k in range(2, 2 + LEADING)))
-    ends = classes.where(F.size("prefix") > 1).select(F.explode(keys).alias("key"), own.alias("own")).where("key IS NOT NULL")
-    leaders = ends.groupBy("key").agg(F.min("own").alias("own"), F.count("*").alias("members")).where("members > 1")
+    return classes.where(F.size("prefix") > 1).select(F.explode(keys).alias("key"), own.alias("own")).where("key IS NOT NULL")
+
+
+def _with_earliest(ends: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """The pairs of classes with the earliest one of each of the groups (keys) that they are in."""
+    ends = ends.join(sent_if_small(groups, SENT_KEYS), "key", "left_semi")
+    leaders = ends.groupBy("key").agg(F.min("own").alias("own"))
     return _meeting(leaders.select("key", "own.*"), ends.select("key", "own.*"), _fit(percent) & (F.col("x.n") != F.col("y.n")))
 
 
@@ -221,7 +242,7 @@ def matches_by_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts have no lines. Rows with equal ids and texts have equal lines, of which none is earlier; rows with
     equal ids and other texts are other documents. An empty table gives no rows.
     """
-    lines = saved(_lines(docs, id_col, text_col), "lines", **_DICTIONARY)
+    lines = saved(_lines(docs, id_col, text_col), "lines", **_PLAIN)
     frequent = max(LEAST_FREQUENT, (lines.agg(F.sum("size")).first()[0] or 0) // SHARE)
     rarity = _rarity(lines, frequent)
     # Different sets of this similarity have a union of least 100 / (100 - percent) words.
@@ -231,7 +252,9 @@ def matches_by_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = lines.withColumn("rarity", rarity.scalar()).select("a", "b", F.struct("rep", "n", "size", _parity(F.col("words")).alias("bits"), prefix.alias("prefix"), F.when(F.col("size") > WIDE, _wide_parity(F.col("words"))).alias("wide")).alias("own"))
     classes = saved(keyed.groupBy("a", "b").agg(F.min("own").alias("own"), F.count("*").alias("lines")).select("a", "b", "lines", "own.*"), "classes", **_DICTIONARY)
 
-    early = _confirmed(_with_earliest(classes, percent), lines, percent)
+    ends = _ends(classes)
+    groups = saved(ends.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > LED).select("key"), "groups")
+    early = _confirmed(_with_earliest(ends, groups, percent), lines, percent)
     every, classes = classes, _still_open(classes.withColumn("open", F.lit(True)), early)
 
     entries = classes.select("n", "size", "bits", "open", F.posexplode("prefix").alias("at", "key")).where(F.col("at") < _prefix(F.col("size"), percent))
@@ -240,12 +263,13 @@ def matches_by_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     many = entries.where(F.col("key") >= high << HASH_BITS).groupBy("key").agg(F.count("*").alias("members"))
     long = saved(many.where(F.col("members") > LONG).select("key"), "long")
     whole = classes.agg(F.count("*"), F.sum(F.when(F.col("size") >= least, _prefix(F.col("size"), percent)))).first()
-    apart, made, met = [early], [long], []
+    apart, made, met = [early], [groups, long], []
 
     def meet(lists: DataFrame, shared: int) -> None:
-        # Of each pair that has an open class, y is one.
-        once = (F.col("x.n") != F.col("y.n")) & ((F.col("x.n") < F.col("y.n")) | ~F.col("x.open"))
-        met.append(saved(_meeting(lists, lists.where("open"), _fit(percent, shared) & once).distinct(), "met"))
+        # Of each pair x is the smaller set, which needs fewer entries, or of equal ones the first.
+        once = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.n") < F.col("y.n")))
+        fit = once & _fit(percent, shared, ordered=True) & (F.col("x.open") | F.col("y.open"))
+        met.append(saved(_meeting(lists.where(_smaller(percent, shared)), lists, fit).distinct(), "met"))
 
     some = not long.isEmpty()
     for part in _passes(entries, whole[1], whole[0]):
