@@ -10,11 +10,14 @@ of length, the Benjamini-Hochberg rule over these p-values of all candidates of
 of bounded size, sets how large a ratio must be.
 
 Everything is DataFrame expressions. Positions come from the lengths of matches and of the text between them.
+Spark computes what a lambda names for each element again, so all that is costly is bound to a variable before.
 """
 
 from __future__ import annotations
 
 import math
+import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,13 +27,16 @@ from .shared import saved
 # The listed patterns; the shortest match (of the value, for assign) that counts.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 LEAST_VALUE = 8
+#: Any match of ASSIGN with such a value has this, which is far quicker to look for: the end of a name, the sign, the value.
+SIGN = r"""[:=](?<=[dDtTnNyY"'\x20][:=])\x20*["']?[A-Za-z0-9+/_.=-]{%d}""" % LEAST_VALUE
 #: Runs are maximal here, so a least length in the pattern finds the runs that a later test of length would keep.
 ACCESS = "AKIA[A-Z0-9]{12,}"
 HEX = "[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex")
 #: The kind of the spans that the tests add.
 RANDOM = "random"
-CANDIDATE = "[A-Za-z0-9+/_-]{20,}={0,2}"
+#: Characters are listed, as Java tests a list in one step but each range by itself.
+CANDIDATE = f"[{string.ascii_letters}{string.digits}+/_-]{{20,}}={{0,2}}"
 #: (pattern, alphabet, shares of lower case, upper case, digits, others) of the encodings, first fit first.
 ENCODINGS = (
     ("^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$", "0123456789abcdef", (6 / 16, 0, 10 / 16, 0)),
@@ -57,26 +63,51 @@ FALSE_SHARE = 0.01
 BINS, LAST_BIN = 10, 400
 
 
-def _sums_before(lengths: Column) -> Column:
-    """Of an array of lengths, the sum before each; blocks of about the root of the size keep it near linear."""
-    size = F.ceil(F.sqrt(F.size(lengths))).cast("int")
-    add = lambda a, x: a + x
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), value computed once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _powers(size: Column) -> Column:
+    """The powers of two 1, 2, 4, ..., the last not below size."""
+    return F.transform(F.sequence(F.lit(0), F.ceil(F.log2(size + 1.0)).cast("int")), lambda e: F.pow(F.lit(2.0), e).cast("int"))
+
+
+def _sums(lengths: Column) -> Column:
+    """Of an array of lengths, the sum up to each: in step s every place adds what lies s before it."""
     zero = F.lit(0).cast("long")
-    chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(lengths) / size).cast("int") - 1), lambda c: F.slice(lengths, c * size + 1, size))
-    totals = F.transform(chunks, lambda x: F.aggregate(x, zero, add))
-    before = F.transform(totals, lambda _, c: F.aggregate(F.slice(totals, 1, c), zero, add))
-    whole = F.zip_with(chunks, before, lambda x, b: F.struct(x.alias("x"), b.alias("b")))
-    return F.flatten(F.transform(whole, lambda z: F.transform(z["x"], lambda _, i: z["b"] + F.aggregate(F.slice(z["x"], 1, i), zero, add))))
+    return _bound(lengths, lambda all_: F.aggregate(_powers(F.size(all_)), all_, lambda sums, s: F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - s), zero))))
+
+
+def _below(ordered: Column, steps: Column, bound: Column) -> Column:
+    """How many numbers of an ascending array are less than bound; steps: powers of two, descending from its size."""
+    return F.aggregate(steps, F.lit(0), lambda n, s: F.when(F.get(ordered, n + s - 1) < bound, n + s).otherwise(n))
+
+
+def _spans(text: Column, pattern: str, given: Column) -> Column:
+    """Array of (start, end, found) of the leftmost non-overlapping matches, in code points; empty without a match.
+
+    given must hold for texts with a match that counts; the others are not searched.
+    """
+
+    def placed(found: Column) -> Column:
+        between = F.slice(F.transform(F.split(text, pattern, -1), lambda x: F.length(x).cast("long")), 1, F.size(found))
+        ends = _sums(F.zip_with(between, found, lambda b, x: b + F.length(x)))
+        return F.zip_with(ends, found, lambda e, x: F.struct((e - F.length(x)).alias("start"), e.alias("end"), x.alias("found")))
+
+    spans = _bound(F.regexp_extract_all(text, F.lit(pattern), 0), placed)
+    return F.when(given & text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,found:string>>"))
+
 
+def _apart(spans: Column, others: Column) -> Column:
+    """The spans that no other overlaps: as many others end before each as start before its end."""
 
-def _spans(text: Column, pattern: str) -> Column:
-    """Array of (start, end, found) of the leftmost non-overlapping matches, in code points; empty without a match."""
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    between = F.slice(F.transform(F.split(text, pattern, -1), lambda x: F.length(x).cast("long")), 1, F.size(found))
-    taken = F.transform(found, lambda x: F.length(x).cast("long"))
-    starts = F.zip_with(_sums_before(F.zip_with(between, taken, lambda b, t: b + t)), between, lambda s, b: s + b)
-    spans = F.zip_with(starts, found, lambda s, x: F.struct(s.alias("start"), (s + F.length(x)).alias("end"), x.alias("found")))
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,found:string>>"))
+    def kept(all_: Column) -> Column:
+        below = lambda name, bound: _below(all_[name], all_["steps"], bound)
+        return F.filter(spans, lambda s: below("starts", s["end"]) == below("ends", s["start"] + 1))
+
+    starts, ends = F.array_sort(F.transform(others, lambda o: o["start"])), F.array_sort(F.transform(others, lambda o: o["end"]))
+    return _bound(F.struct(starts.alias("starts"), ends.alias("ends"), F.reverse(_powers(F.size(others))).alias("steps")), kept)
 
 
 def _kind(spans: Column, kind: int | str, order: int) -> Column:
@@ -109,34 +140,42 @@ def _letter_ratios(alphabet: str) -> list[float]:
     return [math.log10(sum(written) / x / letters) if c in own else 0.0 for c, x in zip(_LOWER, written, strict=True)]
 
 
-def _tested(span: Column) -> Column:
-    """Struct (start, end, length, evidence, random) of a candidate: evidence is at most -log10 p against written text."""
-    code = F.translate(F.rtrim(span["found"], F.lit("=")), "-_", "+/")
-    n = F.length(code).cast("double")
-    alphabet = _by_encoding(code, lambda a, _: a)
-    k = F.length(alphabet).cast("double")
-    symbols = F.split(code, "")
+def _scored(code: Column, alphabet: Column, values: Column, steps: Column) -> tuple[Column, Column]:
+    """(evidence, random) of a code: its symbols' places in its alphabet, from the middle, and the products of neighbours."""
+    n, k = F.length(code).cast("double"), F.length(alphabet).cast("double")
     zero = F.lit(0.0)
     add = lambda a, x: a + x
-    squares = F.aggregate(F.array_distinct(symbols), zero, lambda a, c: a + F.pow(n - F.length(F.replace(code, c, F.lit(""))), F.lit(2.0)))
+    squares = F.aggregate(F.array_distinct(F.split(code, "")), zero, lambda a, c: a + F.pow(n - F.length(F.replace(code, c, F.lit(""))), F.lit(2.0)))
     uniform = (k / n * squares - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
-    values = F.transform(symbols, lambda c: F.instr(alphabet, c) - (k + 1) / 2)
-    steps = F.zip_with(F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values) - 1), lambda a, b: a * b)
     # Every alphabet has an even number of symbols, so half of all neighbours lie on both sides of its middle.
     crossings = F.aggregate(steps, zero, lambda a, x: a + F.when(x < 0, 1.0).otherwise(0.0))
     runs = (2 * crossings - (n - 1)) / F.sqrt(n - 1)
     serial = F.aggregate(steps, zero, add) / F.aggregate(F.transform(values, lambda v: v * v), F.lit(1e-9), add) * F.sqrt(n - 1)
-    battery = uniform * uniform + runs * runs + serial * serial
+    battery = _bound(uniform, lambda x: x * x) + _bound(runs, lambda x: x * x) + _bound(serial, lambda x: x * x)
     changes = F.length(F.regexp_replace(code, "[a-z]+|[A-Z]+|[0-9]+|[+/]+", "x")).cast("double") - 1
     changed, same = (_by_encoding(code, lambda _, s, i=i: _change_ratios(s)[i]) for i in (0, 1))
-    ratios = _by_encoding(code, lambda a, _: _letter_ratios(a))
     places = F.transform(F.filter(F.split(F.lower(code), ""), lambda c: F.instr(F.lit(_LOWER), c) > 0), lambda c: F.instr(F.lit(_LOWER), c) - 1)
-    letters = F.aggregate(places, zero, lambda a, i: a + F.get(ratios, i))
-    evidence = F.greatest(changes * changed + (n - 1 - changes) * same + letters, zero)
-    return F.struct(
-        span["start"].alias("start"), span["end"].alias("end"), n.cast("int").alias("length"), evidence.alias("evidence"),
-        (battery < ACCEPTED).alias("random"),
-    )
+    letters = _bound(_by_encoding(code, lambda a, _: _letter_ratios(a)), lambda ratios: F.aggregate(places, zero, lambda a, i: a + F.get(ratios, i)))
+    evidence = F.greatest(_bound(changes, lambda c: c * changed + (n - 1 - c) * same) + letters, zero)
+    return evidence, battery < ACCEPTED
+
+
+def _tested(span: Column) -> Column:
+    """Struct (start, end, length, evidence, random) of a candidate: evidence is at most -log10 p against written text."""
+
+    def result(code: Column, *parts: Column) -> Column:
+        evidence, random = _scored(code, *parts)
+        n = F.length(code).cast("int")
+        return F.struct(span["start"].alias("start"), span["end"].alias("end"), n.alias("length"), evidence.alias("evidence"), random.alias("random"))
+
+    def placed(code: Column, alphabet: Column) -> Column:
+        middle = (F.length(alphabet).cast("double") + 1) / 2
+        values = F.transform(F.split(code, ""), lambda c: F.instr(alphabet, c) - middle)
+        steps = lambda v: F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), lambda a, b: a * b)
+        return _bound(values, lambda v: _bound(steps(v), lambda s: result(code, alphabet, v, s)))
+
+    code = F.translate(F.rtrim(span["found"], F.lit("=")), "-_", "+/")
+    return _bound(code, lambda c: _bound(_by_encoding(c, lambda a, _: a), lambda a: placed(c, a)))
 
 
 def _stratum(length: Column) -> Column:
@@ -166,11 +205,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", false_
     an empty table gives no rows; other columns are not read. Added spans touch no span of the listed patterns.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    assigned = F.filter(_spans(text, ASSIGN), lambda s: F.length(F.regexp_extract(s["found"], ASSIGN, 1)) >= LEAST_VALUE)
-    base = F.concat(_kind(assigned, "assign", 0), _kind(_spans(text, ACCESS), "access", 1), _kind(_spans(text, HEX), "hex", 2))
-    found = docs.select(F.col(id_col).alias("doc_id"), base.alias("base"), _spans(text, CANDIDATE).alias("runs"))
-    free = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    tested = saved(found.select("doc_id", F.array_sort("base").alias("base"), F.transform(free, _tested).alias("candidates")), "tested")
+    # Codes in hex are runs too, so one search clears most texts of both.
+    texts = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), text.rlike(CANDIDATE).alias("runs"))
+    text, some = F.col("text"), F.col("runs")
+    assigned = F.filter(_spans(text, ASSIGN, text.rlike(SIGN)), lambda s: F.length(F.regexp_extract(s["found"], ASSIGN, 1)) >= LEAST_VALUE)
+    base = F.concat(_kind(assigned, "assign", 0), _kind(_spans(text, ACCESS, F.lit(True)), "access", 1), _kind(_spans(text, HEX, some), "hex", 2))
+    found = texts.select("doc_id", base.alias("base"), _spans(text, CANDIDATE, some).alias("runs"))
+    tested = saved(found.select("doc_id", F.array_sort("base").alias("base"), F.transform(_apart(F.col("runs"), F.col("base")), _tested).alias("candidates")), "tested")
 
     least = _thresholds(tested, false_share).agg(F.map_from_entries(F.collect_list(F.struct("stratum", "bin")))).scalar()
     strong = F.filter("candidates", lambda c: c["random"] & F.coalesce(_bin(c["evidence"]) >= F.try_element_at(F.col("least"), _stratum(c["length"])), F.lit(False)))
